@@ -1,8 +1,65 @@
-"""A corpus pipeline over documents; see STAGES."""
+"""A corpus pipeline over `documents`: each stage reads what its predecessor kept.
 
+Counted as part of the subpackage codeloom.llm.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codeloom.llm.decontaminate import decontaminate
+from codeloom.llm.jaccard import jaccard_dedup
+from codeloom.llm.pieces import encode_decode, model_file
+from codeloom.llm.quality import quality_rules
+from codeloom.llm.substring import substring_dedup
+from codeloom.llm._tables import stored
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality_rules(docs.select(*COLUMNS, F.col("text").alias("__words")), text="__words", keep=COLUMNS).filter("kept").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one of least doc_id."""
+    return jaccard_dedup(docs).select(*COLUMNS)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the words of windows that stand elsewhere too; every document stays."""
+    out = substring_dedup(docs, removed_text=True)
+    return out.withColumn("text", F.col("__kept")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the words of benchmark windows; every document stays."""
+    out = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), removed=True)
+    return out.withColumn("text", F.col("__cut")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and the text they decode to."""
+    return encode_decode(docs, model_file(), keep=["doc_id", "lang", "source"])
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", substrings),
+    ("benchmark decontamination", benchmark),
+    ("SentencePiece encoding and decoding", pieces),
+]
+
+#: SQL can't segment words as SentencePiece does; tests hold run() against a brute-force version.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`, each written and read again before the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
