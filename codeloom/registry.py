@@ -1,13 +1,21 @@
 """Registered queries of the code-graph operators."""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
 
+from codeloom.plans import graph_queries  # noqa: F401  registers its queries
+from codeloom.plans.registered import QUERIES, SQL
 
-def queries():
-    return {}
 
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Call sites, resolved first, of every symbol."""
+    return QUERIES["agg_02_site_counts"](spark, sf_dir)
 
-def oracle_sql():
-    return {}
+
+def queries() -> dict:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict:
+    return dict(SQL)
