@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.plans import graph_queries  # noqa: F401  registers its queries
+from codeloom.plans import graph_queries, traversal_queries  # noqa: F401  register their queries
 from codeloom.plans.registered import QUERIES, SQL
 
 
