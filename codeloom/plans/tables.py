@@ -28,6 +28,8 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/codeloom-{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _made.append((weakref.ref(spark), path))
+    # shuffle files of finished work stay on the executors' disks until the driver collects its garbage
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
