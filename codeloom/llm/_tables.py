@@ -1,48 +1,14 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables, and columns by their exact name."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
-import weakref
+from pyspark.sql import Column, DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from codeloom.plans.tables import shared_dir, stored
 
-#: Used where spark.checkpoint.dir is unset, as in local tests.
-LOCAL_DIR = "/tmp/checkpoints"
-_made: list[tuple[weakref.ref, str]] = []
+__all__ = ["column", "shared_dir", "stored"]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir, or LOCAL_DIR where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DIR
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again, which cuts its lineage.
-
-    Executors may be lost later without the work being repeated. The files go when the driver's
-    Python ends (an interrupted driver leaves them to the folder's own clean-up).
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/codeloom-{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _made.append((weakref.ref(spark), path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _sweep() -> None:
-    for ref, path in _made:
-        spark = ref()
-        try:
-            jvm, jsc = spark._jvm, spark._jsc
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  the session has ended already
-            return
-
-
-def column(df: DataFrame, name: str):
+def column(df: DataFrame, name: str) -> Column:
     """A column by its exact name; dots in names are not paths."""
     return df["`" + name.replace("`", "``") + "`"]
