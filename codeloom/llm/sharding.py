@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from codeloom.llm._tables import column
 
-#: Hex digits of a record's digest that name its slot bucket: 16**3 buckets, each ordered by itself.
-BUCKET_DIGITS = 3
+#: Hex digits of a record's digest that name its slot bucket: 16**2 buckets, each ordered by itself.
+BUCKET_DIGITS = 2
 SHARDS = 24
 
 
@@ -67,6 +67,6 @@ best AS (SELECT doc_id, CAST(arg_min(s, cost) FILTER (s < 24) AS INTEGER) AS sha
 crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i)))
 SELECT doc_id, CAST(octet_length(encode(text)) + 8 AS BIGINT) AS size,
     xor(list_reduce([4294967295::BIGINT] || list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32, 'key' AS law, shard,
-    row_number() OVER (PARTITION BY shard ORDER BY substr(md5(name), 1, 3), doc_id) - 1 AS slot, grown_shard
+    row_number() OVER (PARTITION BY shard ORDER BY substr(md5(name), 1, 2), doc_id) - 1 AS slot, grown_shard
 FROM k JOIN best USING (doc_id), crc
 """
