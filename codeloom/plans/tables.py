@@ -25,11 +25,12 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     Python ends (an interrupted driver leaves them to the folder's own clean-up).
     """
     spark = df.sparkSession
+    # shuffle files of finished work stay on the executors' disks until the driver collects its garbage;
+    # just after a job its listeners still hold its plan, so this frees what earlier tables left
+    spark._jvm.System.gc()
     path = f"{shared_dir(spark).rstrip('/')}/codeloom-{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _made.append((weakref.ref(spark), path))
-    # shuffle files of finished work stay on the executors' disks until the driver collects its garbage
-    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
