@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import time
 import uuid
 import weakref
 
@@ -25,15 +26,24 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     Python ends (an interrupted driver leaves them to the folder's own clean-up).
     """
     spark = df.sparkSession
-    # shuffle files of finished work stay on the executors' disks until the driver collects its garbage;
-    # just after a job its listeners still hold its plan, so this frees what earlier tables left
-    spark._jvm.System.gc()
     path = f"{shared_dir(spark).rstrip('/')}/codeloom-{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _made.append((weakref.ref(spark), path))
+    free_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished work now.
+
+    They stay on the executors' disks until the driver collects its garbage; a first collection
+    releases the finished plan, a second the shuffles that only it held.
+    """
+    spark._jvm.System.gc()
+    time.sleep(0.2)
+    spark._jvm.System.gc()
+
+
 @atexit.register
 def _sweep() -> None:
     for ref, path in _made:
