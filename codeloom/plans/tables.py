@@ -19,17 +19,19 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DIR
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+def stored(df: DataFrame, what: str, free: bool = False) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again, which cuts its lineage.
 
     Executors may be lost later without the work being repeated. The files go when the driver's
-    Python ends (an interrupted driver leaves them to the folder's own clean-up).
+    Python ends (an interrupted driver leaves them to the folder's own clean-up). With `free`, the
+    shuffles behind the table are removed at once; worth its half second where they are large.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/codeloom-{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _made.append((weakref.ref(spark), path))
-    free_shuffles(spark)
+    if free:
+        free_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
