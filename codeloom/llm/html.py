@@ -262,7 +262,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: list[s
     added = ["text", "n_chars"]
     names = [c for c in (keep if keep is not None else pages.columns) if c not in added]
     inner = [f"c{k}" for k in range(len(names))]
-    low = stored(unimportant(pages, url, html), "style")
+    low = stored(unimportant(pages, url, html), "style", free=True)
     rows = pages.select(column(pages, html).cast("string").alias("html"), column(pages, url).cast("string").alias("url"), *[column(pages, c).alias(i) for c, i in zip(names, inner, strict=True)])
     small = low.count() <= max_broadcast
     if small:

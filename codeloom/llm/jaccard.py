@@ -177,21 +177,21 @@ def rooted(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: in
                 if sizes:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(np.repeat(part.column(0).to_numpy(), sizes)), pa.array(np.repeat(part.column(1).to_numpy(), sizes))], names=["t", "v", "n"])
 
-    named = stored(rows.mapInArrow(name_nodes, f"key {key_type}, row long, node long, n long"), "nodes")
+    named = stored(rows.mapInArrow(name_nodes, f"key {key_type}, row long, node long, n long"), "nodes", free=True)
     same = Window.partitionBy("key").orderBy("node")
     tokens = rows.select("text").mapInArrow(first_tokens, "key long, node long, n int")
     again = tokens.select("node", "n", (F.lag("key").over(same).isNotNull() | F.lead("key").over(same).isNotNull()).alias("again"))
     counted = again.filter("n < 0 or (n > 0 and again)").groupBy("node").agg(F.sum(F.abs("n")).alias("shared"))
     nodes = named.groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"))
     alive = nodes.join(counted, "node").filter(F.col("shared") >= F.greatest(F.lit(1), F.floor(F.lit(SLACK) * F.col("n") / 100)))
-    sets = stored(rows.join(alive.select("row"), "row", "left_semi").select("text").mapInArrow(whole_sets, "v long, n long, tokens binary").dropDuplicates(["v"]), "sets")
+    sets = stored(rows.join(alive.select("row"), "row", "left_semi").select("text").mapInArrow(whole_sets, "v long, n long, tokens binary").dropDuplicates(["v"]), "sets", free=True)
 
     every = sets.mapInArrow(tokens_of, "t long, v long, n long")
     counts = every.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1")
     mine = Window.partitionBy("v")
     rare = every.join(counts, "t").select("t", "v", "n", F.row_number().over(mine.orderBy("df", "t")).alias("at"), F.count("*").over(mine).alias("common"))
     # tokens of no other set come first in the order by rarity
-    rare = stored(rare.filter(F.col("at") <= F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1 - (F.col("n") - F.col("common"))).select("t", "v", "n"), "rare")
+    rare = stored(rare.filter(F.col("at") <= F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1 - (F.col("n") - F.col("common"))).select("t", "v", "n"), "rare", free=True)
 
     links, roots = [], None
     for turn in range(ROUNDS + 1):

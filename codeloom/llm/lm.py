@@ -152,7 +152,7 @@ def lm_scores(docs: DataFrame, training, text: str = "text", keep: list[str] | N
             yield from pool.add(token_stream(split_words(texts, lower=True))[0])
         yield from pool.flush()
 
-    counts = stored(train.mapInArrow(words_of, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), "words")
+    counts = stored(train.mapInArrow(words_of, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), "words", free=True)
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     least = max(1.0, share * total)
     frequent = counts.filter(F.col("c") >= least).toArrow()  # 1 / share rows at most

@@ -133,7 +133,7 @@ def substring_dedup(docs: DataFrame, text: str = "text", keep: list[str] | None
             yield from pool.add(h[fits], doc[text_[fits]], place[fits])
         yield from pool.flush()
 
-    shared = stored(_repeated(rows.select("doc", "text").mapInArrow(anchors, schema), "near"), "anchors")
+    shared = stored(_repeated(rows.select("doc", "text").mapInArrow(anchors, schema), "near"), "anchors", free=True)
     texts = rows.join(shared, "doc", "left")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
