@@ -136,8 +136,8 @@ def rooted(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: in
     found by an exact bound: of the first tokens of a set in hash order, a partner must share
     `SLACK` hundredths of the set. These nodes' tokens are counted, and each node's rarest tokens,
     one of which any partner must share, name its possible partners. Similar nodes gather around
-    those they share most with, over a few rounds; the components so far, cut into groups of at
-    most `GROUP` nodes with the union of their tokens, are the token-group matrix. Every node then
+    those they share most with, over a few rounds; the components so far, cut into groups of
+    about `GROUP` nodes at most with the union of their tokens, are the token-group matrix. Every node then
     asks each group of a larger component with which it shares a rare token: the union bounds its
     overlap, and only groups that can hold a link are opened. All links between different sets are
     so found or are inside one component already. `row` is a hash of key and text.
@@ -215,9 +215,10 @@ def rooted(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: in
     # groups: the components so far, cut by size; a node asks groups of larger components
     where = stored(where, "where")
     sizes = where.select("v", "root", "n").distinct()
-    place = sizes.select("v", "root", "n", F.row_number().over(Window.partitionBy("root").orderBy("n", "v")).alias("at"))
-    weight = place.groupBy("root").agg(F.count("*").alias("weight"))
-    grouped = stored(place.join(weight, "root").select("v", "root", "weight", "n", F.xxhash64("root", F.floor((F.col("at") - 1) / GROUP)).alias("g")), "groups")
+    weight = sizes.groupBy("root").agg(F.count("*").alias("weight"))
+    # by length and hash, so no task holds a whole component
+    part = F.pmod(F.xxhash64("v"), F.ceil(F.col("weight") / GROUP))
+    grouped = stored(sizes.join(weight, "root").select("v", "root", "weight", "n", F.xxhash64("root", F.floor(F.log("n") / F.log(F.lit(1.1))), part).alias("g")), "groups")
     spread = grouped.groupBy("g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     cells = where.select("t", "v").join(grouped, "v")
     by_group = cells.select("t", "g", F.col("root").alias("other"), F.col("weight").alias("heft")).distinct().join(spread, "g")
