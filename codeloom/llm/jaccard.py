@@ -17,10 +17,10 @@ from codeloom.llm._text import Words, blocks, mix, signed, split_words, windows
 SHINGLE, PERCENT = 5, 75
 #: A set can link only if so many hundredths of it stand among the first of it that others have too.
 SLACK = 15
-#: Rounds in which sets try single partners before groups are opened, and partners a round.
+#: Rounds in which sets ask a few groups before all that may hold a link, and groups a round.
 ROUNDS, PARTNERS = 3, 2
 #: Sets in a group, queries that meet a group in one task, and tokens that a task holds at once.
-GROUP, QUERIES, POOL = 64, 512, 3_000_000
+GROUP, QUERIES, POOL = 128, 512, 3_000_000
 _SALT = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -135,9 +135,9 @@ def rooted(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: in
     A-Z are lower-cased. Rows with equal shingle sets are one node. Nodes that can link at all are
     found by an exact bound: of the first tokens of a set in hash order, a partner must share
     `SLACK` hundredths of the set. These nodes' tokens are counted, and each node's rarest tokens,
-    one of which any partner must share, name its possible partners. Similar nodes gather around
-    those they share most with, over a few rounds; the components so far, cut into groups of
-    about `GROUP` nodes at most with the union of their tokens, are the token-group matrix. Every node then
+    one of which any partner must share, name its possible partners. Over a few
+    rounds each node asks the groups of the nodes that it shares most with. The components so far,
+    cut into groups of about `GROUP` nodes with the union of their tokens, are the token-group matrix. Every node then
     asks each group of a larger component with which it shares a rare token: the union bounds its
     overlap, and only groups that can hold a link are opened. All links between different sets are
     so found or are inside one component already. `row` is a hash of key and text.
@@ -190,39 +190,42 @@ def rooted(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: in
     counts = every.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1")
     mine = Window.partitionBy("v")
     rare = every.join(counts, "t").select("t", "v", "n", F.row_number().over(mine.orderBy("df", "t")).alias("at"), F.count("*").over(mine).alias("common"))
-    # tokens of no other set come first in the order by rarity
-    rare = stored(rare.filter(F.col("at") <= F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1 - (F.col("n") - F.col("common"))).select("t", "v", "n"), "rare", free=True)
+    # tokens of no other set come first in the order by rarity; `left` counts a token and those behind it
+    rare = stored(rare.filter(F.col("at") <= F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1 - (F.col("n") - F.col("common"))).select("t", "v", "n", (F.col("common") - F.col("at") + 1).alias("left")), "rare", free=True)
 
     links, roots = [], None
     for turn in range(ROUNDS + 1):
         if links:
             roots = stored(components(_all(links)), "roots")
-            where = rare.join(roots, "v", "left").select("t", "v", "n", F.coalesce("root", "v").alias("root"))
+            where = rare.join(roots, "v", "left").select("t", "v", "n", "left", F.coalesce("root", "v").alias("root"))
         else:
-            where = rare.select("t", "v", "n", F.col("v").alias("root"))
+            where = rare.select("t", "v", "n", "left", F.col("v").alias("root"))
+        # groups of about GROUP nodes of a component, by hash, so no task holds a whole component
+        weight = where.select("v", "root").distinct().groupBy("root").agg(F.count("*").alias("weight"))
+        group = F.xxhash64("root", F.pmod(F.xxhash64("v"), F.ceil(F.col("weight") / GROUP)))
+        where = where.join(weight, "root").withColumn("g", group)
+        members = where.select("g", "v").distinct()
         open_ = where.groupBy("t").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("t")
         where = where.join(open_, "t")
         if turn == ROUNDS:
             break
         order = Window.partitionBy("t", F.floor(F.log("n") / F.log(F.lit(100 / percent)))).orderBy(F.xxhash64("v", F.lit(turn)), "v")
         near = Window.partitionBy("t").orderBy("n", F.xxhash64("v", F.lit(turn)), "v")
-        tries = where.select("v", "root", F.first(F.struct("v", "root")).over(order).alias("x")).union(where.select("v", "root", F.lag(F.struct("v", "root")).over(near).alias("x"))).filter("x is not null and x.root != root")
+        tries = where.select("v", "root", F.first(F.struct("v", "root", "g")).over(order).alias("x")).union(where.select("v", "root", F.lag(F.struct("v", "root", "g")).over(near).alias("x"))).filter("x is not null and x.root != root")
         best = Window.partitionBy("v").orderBy(F.desc("k"), "g")
-        chosen = tries.groupBy("v", F.col("x.v").alias("g")).agg(F.count("*").alias("k")).select("v", "g", F.row_number().over(best).alias("r")).filter(F.col("r") <= PARTNERS).select("v", "g")
+        chosen = tries.groupBy("v", F.col("x.g").alias("g")).agg(F.count("*").alias("k")).select("v", "g", F.row_number().over(best).alias("r")).filter(F.col("r") <= PARTNERS).select("v", "g")
         chosen = stored(chosen, "tries")
-        found = stored(_open(chosen, chosen.select("g", F.col("g").alias("v")).distinct(), sets, percent), "found")
+        found = stored(_open(chosen, members, sets, percent), "found")
         links.append(found)
     # groups: the components so far, cut by size; a node asks groups of larger components
     where = stored(where, "where")
-    sizes = where.select("v", "root", "n").distinct()
-    weight = sizes.groupBy("root").agg(F.count("*").alias("weight"))
-    # by length and hash, so no task holds a whole component
-    part = F.pmod(F.xxhash64("v"), F.ceil(F.col("weight") / GROUP))
-    grouped = stored(sizes.join(weight, "root").select("v", "root", "weight", "n", F.xxhash64("root", F.floor(F.log("n") / F.log(F.lit(1.1))), part).alias("g")), "groups")
+    grouped = stored(where.select("v", "root", "weight", "n", "g").distinct(), "groups")
     spread = grouped.groupBy("g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    cells = where.select("t", "v").join(grouped, "v")
-    by_group = cells.select("t", "g", F.col("root").alias("other"), F.col("weight").alias("heft")).distinct().join(spread, "g")
+    cells = where.select("t", "v", "left").join(grouped, "v")
+    by_group = cells.groupBy("t", "g", F.col("root").alias("other"), F.col("weight").alias("heft")).agg(F.max("left").alias("most")).join(spread, "g")
     asks = cells.drop("g").join(by_group, "t").filter("other != root and (heft > weight or (heft = weight and other > root))")
+    # at the first token that both have, what is left of either bounds their overlap
+    asks = asks.filter(F.least("left", "most") * (100 + percent) >= (F.col("n") + F.col("low")) * percent)
     asks = asks.filter(F.col("n") * 100 >= F.col("low") * percent).filter(F.col("high") * 100 >= F.col("n") * percent).select("v", "g").distinct()
     links.append(stored(_open(stored(asks, "asks"), grouped.select("g", "v"), sets, percent), "found"))
     roots = components(_all(links))
