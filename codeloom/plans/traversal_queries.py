@@ -55,7 +55,7 @@ _COVER = _CALLS + ", seeds AS (SELECT symbol_id FROM symbols WHERE kind = 'Proje
 
 
 def _covered(m):
-    seeds = coverage_seeds(m.symbols).filter("symbol_seq % 20 = 0").select(F.col("symbol_id").alias("seed"))
+    seeds = coverage_seeds(m.symbols).select(F.col("symbol_id").alias("seed"))
     steps = lookup.is_invocation(m.edges, m.symbols).select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"))
     return graph.closure_by_seed(steps, seeds)
 
@@ -302,7 +302,7 @@ def cov_02(m):
 @query("agg_13_coverage_maps", _COVER + ", d AS (SELECT DISTINCT src AS seed, dst AS id FROM inv JOIN seeds ON symbol_id = src) SELECT c.id AS symbol_id, count(*) AS n_transitive, count(d.seed) AS n_direct FROM c LEFT JOIN d USING (seed, id) GROUP BY 1")
 def agg_13(m):
     pairs = _covered(m)
-    seeds = coverage_seeds(m.symbols).filter("symbol_seq % 20 = 0").select(F.col("symbol_id").alias("from_id"))
+    seeds = coverage_seeds(m.symbols).select(F.col("symbol_id").alias("from_id"))
     direct = lookup.is_invocation(m.edges, m.symbols).join(seeds, "from_id", "left_semi").select(F.col("from_id").alias("seed"), F.col("to_id").alias("id"), F.lit(1).alias("d")).distinct()
     return pairs.join(direct, ["seed", "id"], "left").groupBy(F.col("id").alias("symbol_id")).agg(F.count("*").alias("n_transitive"), F.count("d").alias("n_direct"))
 
