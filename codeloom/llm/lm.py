@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +18,8 @@ from codeloom.llm._text import Words, blocks, hash_word, mix, signed, split_word
 #: Add-k of the unigrams, and the discount of the bigrams.
 ADD, DISCOUNT = 0.1, 0.6
 #: Words and word pairs that make up at least this share of the training tokens are in the
-#: automaton, so it has at most 1 / SHARE states and as many arcs, whatever the corpus.
+#: broadcast automaton, at most 1 / SHARE states and as many arcs. It is a cache: the counts of all
+#: other words and pairs are joined to the texts.
 SHARE = 2.5e-7
 #: Distinct n-grams that a task holds before it sends their counts.
 POOL = 3_000_000
@@ -60,6 +62,32 @@ class Counts:
                 yield pa.RecordBatch.from_arrays([pa.array(signed(key[part])), pa.array(count[part])], names=["key", "c"])
 
 
+class PairCounts:
+    """Counts of pairs of 64-bit keys, sent when the pool is full."""
+
+    def __init__(self):
+        self.parts, self.size = [], 0
+
+    def add(self, left: np.ndarray, right: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append(_count_pairs(left, right, np.ones(len(left), np.int64)))
+        self.size += len(self.parts[-1][0])
+        if self.size >= POOL:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            columns = _count_pairs(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))
+            self.__init__()
+            for at in range(0, len(columns[0]), 1 << 17):
+                l, r, c = (x[at : at + (1 << 17)] for x in columns)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(l)), pa.array(signed(r)), pa.array(c)], names=["l", "r", "c"])
+
+
+def _count_pairs(left: np.ndarray, right: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    _, first, inverse = np.unique(pair_keys(left, right), return_index=True, return_inverse=True)
+    return left[first], right[first], np.bincount(inverse, count, len(first)).astype(np.int64)
+
+
 @dataclass
 class Automaton:
     """States are the root and one for each frequent word (the history).
@@ -67,7 +95,8 @@ class Automaton:
     `arcs` are the pairs kept of a history, with the log10 of their smoothed probability; a word
     without an arc takes the state's failure arc to the root (its weight is the log10 of the mass
     that discounting left) and then the root's own arc, the word's unigram. After a word the state
-    is the word's own, or the root if it is rare. Absolute discounting, interpolated.
+    is the word's own, or the root if it is rare: then the caller adds the word's failure arc, and
+    the gain of a pair without an arc here over its backoff. Absolute discounting, interpolated.
     """
 
     words: np.ndarray  # sorted hashes of the states' words
@@ -80,28 +109,30 @@ class Automaton:
         """The state after each token; -1 is the root."""
         return _find(self.words, tokens)
 
-    def walk(self, tokens: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of each token as far as the automaton knows it, and its root arc or 0 for a rare word.
+    def walk(self, tokens: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 of each token as far as the automaton knows it, its root arc or 0 for a rare word, and whether an arc was found.
 
         A rare word has the weight of the failure arc only; its unigram is added by the caller.
         """
         after = self.state(tokens)
-        before = np.concatenate([[-1], after[:-1]])
-        before[np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))] = self.begin
+        before = self.state(histories(tokens, text))
         root = np.where(after >= 0, self.unigram[np.maximum(after, 0)] if len(self.unigram) else 0.0, 0.0)
-        out = root.copy()
+        out, found = root.copy(), np.zeros(len(tokens), bool)
         if len(self.words):
             out = out + np.where(before >= 0, self.failure[np.maximum(before, 0)], 0.0)
             both = np.flatnonzero((before >= 0) & (after >= 0))
             arc = _find(self.arcs, pair_keys(self.words[before[both]], tokens[both]))
             hit = arc >= 0
             out[both[hit]] = self.weight[arc[hit]]
-        return out, root
+            found[both[hit]] = True
+        return out, root, found
+
 
-    @property
-    def begin(self) -> int:
-        """A text begins where another has ended."""
-        return int(_find(self.words, np.array([END]))[0])
+def histories(tokens: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """The word before each token; a text begins where another has ended."""
+    out = np.concatenate([[END], tokens[:-1]])
+    out[np.flatnonzero(text[1:] != text[:-1]) + 1] = END
+    return out
 
 
 def _find(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -112,16 +143,21 @@ def _find(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(sorted_[at] == x, at, -1)
 
 
-def build(words: np.ndarray, count: np.ndarray, total: int, kinds: int, left: np.ndarray, pair: np.ndarray, right: np.ndarray, pairs: np.ndarray) -> Automaton:
-    """From counts of frequent words, and of kept pairs (histories and words as places in `words`)."""
+def build(words: np.ndarray, count: np.ndarray, total: int, kinds: int, left: np.ndarray, pair: np.ndarray, right: np.ndarray, pairs: np.ndarray, follow: np.ndarray | None = None) -> Automaton:
+    """From counts of frequent words, and of kept pairs (histories and words as places in `words`).
+
+    `follow` is the number of distinct words after each word, where not all its pairs are given.
+    """
     order = np.argsort(words)
     words, count = words[order], count[order]
     back = np.empty(len(order), np.int64)
     back[order] = np.arange(len(order))
     left, right = back[left], back[right]
     unigram = (count + ADD) / (total + ADD * (kinds + 1))
-    gone = np.bincount(left, pairs - DISCOUNT, len(words))
-    failure = 1 - gone / np.maximum(count, 1)
+    if follow is None:
+        failure = 1 - np.bincount(left, pairs - DISCOUNT, len(words)) / np.maximum(count, 1)
+    else:
+        failure = DISCOUNT * follow[order] / count
     prob = (pairs - DISCOUNT) / count[left] + failure[left] * unigram[right]
     by = np.argsort(pair)
     return Automaton(words, np.log10(unigram), np.log10(np.maximum(failure, 1e-12)), pair[by], np.log10(prob[by]))
@@ -133,9 +169,10 @@ def lm_scores(docs: DataFrame, training, text: str = "text", keep: list[str] | N
     `training` is a boolean column: the rows that the model learns from (null: not). A-Z are
     lower-cased; the tokens of a text are its words and one end. Counts of words and of word pairs
     cover all training rows. Words and pairs of at least `share` of the tokens become the states
-    and arcs of the automaton, which is therefore of bounded size and broadcast; of all other words
-    the exact counts are joined to the texts by a shuffle. base_score is the add-0.1 unigram score,
-    score the automaton's log10 probability of the text.
+    and arcs of the automaton, which is therefore of bounded size and broadcast; the weights of all
+    other words and pairs are joined to the texts by a shuffle, so `share` changes no score.
+    base_score is the add-0.1 unigram score, score the log10 probability of the text by the whole
+    automaton.
 
     A null or empty text is its end alone. Without training rows all words are unknown. Repeated
     rows count each. Input columns named like an output give way. Words are 64-bit hashes.
@@ -159,60 +196,102 @@ def lm_scores(docs: DataFrame, training, text: str = "text", keep: list[str] | N
     words, count = frequent["key"].to_numpy().view(np.uint64), frequent["c"].to_numpy()
     order = np.argsort(words)
     words, count = words[order], count[order]
-    known = spark.sparkContext.broadcast(words)
+    unit = float(total + ADD * (kinds + 1))
 
     def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool = Counts()
+        pool = PairCounts()
         for _, texts in blocks(batches, "text"):
-            tokens, text_ = token_stream(split_words(texts, lower=True))
-            # a pair is no more frequent than its words
-            at = _find(known.value, tokens)
-            begin = int(_find(known.value, np.array([END]))[0])
-            before = np.concatenate([[-1], at[:-1]])
-            before[np.flatnonzero(np.concatenate([[True], text_[1:] != text_[:-1]]))] = begin
-            both = (before >= 0) & (at >= 0)
-            yield from pool.add((before[both].astype(np.uint64) << np.uint64(32)) | at[both].astype(np.uint64))
+            tokens, owner = token_stream(split_words(texts, lower=True))
+            yield from pool.add(histories(tokens, owner), tokens)
         yield from pool.flush()
 
-    kept = train.mapInArrow(pairs_of, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).filter(F.col("c") >= least).toArrow()
-    key = kept["key"].to_numpy().view(np.uint64)
-    left, right = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(2**32 - 1)).astype(np.int64)
-    machine = build(words, count, total, kinds, left, pair_keys(words[left], words[right]), right, kept["c"].to_numpy())
+    pairs = stored(train.mapInArrow(pairs_of, "l long, r long, c long").groupBy("l", "r").agg(F.sum("c").alias("c")), "pairs", free=True)
+    # every word of the training rows is some pair's left word, if only as the end before the first
+    follow = stored(counts.join(pairs.groupBy(F.col("l").alias("key")).agg(F.count("*").alias("n")), "key"), "follow")
+    table = follow.filter(F.col("c") >= least).select("key", "n").toArrow().sort_by("key")
+    follows = np.empty(len(words), np.int64)
+    follows[np.searchsorted(words, table["key"].to_numpy().view(np.uint64))] = table["n"].to_numpy()
+    known = spark.sparkContext.broadcast((words, count, follows))
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Key and count of a pair, n and u of the words that are frequent, and the words that are not."""
+        w, c, n = known.value
+        for batch in batches:
+            l, r = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+            at, to = _find(w, l), _find(w, r)
+            rare_l, rare_r = at < 0, to < 0
+            have_n = n[at].astype(np.float64) if len(w) else np.zeros(len(l))
+            have_u = (c[to] + ADD) / unit if len(w) else np.zeros(len(l))
+            columns = [pa.array(signed(pair_keys(l, r))), batch.column(2), pa.array(have_n, mask=rare_l), pa.array(have_u, mask=rare_r), pa.array(signed(l), mask=~rare_l), pa.array(signed(r), mask=~rare_r)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "c", "n", "u", "l", "r"])
+
+    pair = pairs.mapInArrow(weighed, "key long, c long, n double, u double, l long, r long")
+    kept = pairs.filter(F.col("c") >= least).toArrow()  # 1 / share rows at most
+    l, r = (kept[k].to_numpy().view(np.uint64) for k in "lr")
+    machine = build(words, count, total, kinds, _find(words, l), pair_keys(l, r), _find(words, r), kept["c"].to_numpy(), follows)
     sent = spark.sparkContext.broadcast(machine)
 
+    # what the automaton lacks: u of a rare word, its failure arc f, and the gain d of a pair over its backoff
+    rare = follow.filter(F.col("c") < least)
+    rest = pair.filter(F.col("c") < least)
+    by_left = rare.select(F.col("key").alias("l"), F.col("n").cast("double").alias("__n"))
+    by_right = rare.select(F.col("key").alias("r"), ((F.col("c") + F.lit(ADD)) / F.lit(unit)).alias("__u"))
+    left = rest.filter("l is not null").join(by_left, "l").select("key", "c", F.col("__n").alias("n"), "u", "r")
+    left = left.union(rest.filter("l is null").select("key", "c", "n", "u", "r"))
+    right = left.filter("r is not null").join(by_right, "r").select("key", "c", "n", F.col("__u").alias("u"))
+    right = right.union(left.filter("r is null").select("key", "c", "n", "u"))
+    gain = F.log10(1 + (F.col("c") - F.lit(DISCOUNT)) / (F.lit(DISCOUNT) * F.col("n") * F.col("u")))
+    null = F.lit(None).cast("double")
+    weights = right.select("key", null.alias("u"), null.alias("f"), gain.alias("d"))
+    fail = F.log10(F.lit(DISCOUNT) * F.col("n") / F.col("c"))
+    weights = weights.union(rare.select("key", F.log10((F.col("c") + F.lit(ADD)) / F.lit(unit)), fail, null))
+    whole = least <= 1
+
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row a text (token null), and one for each of its rare words."""
+        """One row a text (with a head), and one for each of its rare words and each pair without an arc.
+
+        ku, kf and kd are how often the key counts as a word, a history and a pair. The key of a
+        head is arbitrary and counts as nothing.
+        """
         m, seen, part = sent.value, 0, TaskContext.get().partitionId()
+        names_ = ["row", "key", "ku", "kf", "kd", "head"]
         for batch, texts in blocks(batches, "text"):
             tokens, owner = token_stream(split_words(texts, lower=True))
             n = len(texts)
-            full, root = m.walk(tokens, owner)
-            rare = m.state(tokens) < 0
+            full, root, found = m.walk(tokens, owner)
+            before = histories(tokens, owner)
+            rare_, lost = m.state(tokens) < 0, m.state(before) < 0
             size = np.bincount(owner, minlength=n)
-            known_ = size - np.bincount(owner, rare, n).astype(np.int64)
+            known_ = size - np.bincount(owner, rare_, n).astype(np.int64)
             row = (np.int64(part) << 36) + seen + np.arange(n)
             seen += n
             head = pa.StructArray.from_arrays([*batch.columns[1:], pa.array(size.astype(np.int64)), pa.array(known_), pa.array(np.bincount(owner, root, n)), pa.array(np.bincount(owner, full, n))], names=[*inner, "size", "known", "base", "full"])
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array([None] * n, pa.int64()), pa.array(np.zeros(n, np.int32)), head], names=["row", "key", "k", "head"])
-            which = np.flatnonzero(rare)
-            if len(which):
-                by = np.lexsort((tokens[which], owner[which]))
-                t, o = tokens[which][by], owner[which][by]
-                new = np.concatenate([[True], (t[1:] != t[:-1]) | (o[1:] != o[:-1])])
-                first = np.flatnonzero(new)
-                times = np.diff(np.append(first, len(t))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(row[o[first]]), pa.array(signed(t[first])), pa.array(times), pa.nulls(len(first), head.type)], names=["row", "key", "k", "head"])
+            zero = pa.array(np.zeros(n, np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(signed(mix(row.view(np.uint64)))), zero, zero, zero, head], names=names_)
+            # with least = 1 the automaton has every pair there is
+            asks = [(tokens, rare_, 0)] if whole else [(tokens, rare_, 0), (before, lost, 1), (None, ~found, 2)]
+            for key, which, kind in asks:
+                which = np.flatnonzero(which)
+                if not len(which):
+                    continue
+                t, o = pair_keys(before[which], tokens[which]) if key is None else key[which], owner[which]
+                by = np.lexsort((t, o))
+                t, o = t[by], o[by]
+                first = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (o[1:] != o[:-1])]))
+                times = pa.array(np.diff(np.append(first, len(t))).astype(np.int32))
+                none = pa.array(np.zeros(len(first), np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(row[o[first]]), pa.array(signed(t[first])), *[times if k == kind else none for k in range(3)], pa.nulls(len(first), head.type)], names=names_)
 
     inner = [f"c{k}" for k in range(len(names))]
     rows = docs.select(body, *[column(docs, c).alias(i) for c, i in zip(names, inner, strict=True)])
     fields = ", ".join([*[f"{i}: {f.dataType.simpleString()}" for i, f in zip(inner, rows.schema.fields[1:], strict=True)], "size: bigint, known: bigint, base: double, full: double"])
-    parts = rows.mapInArrow(scored, f"row long, key long, k int, head struct<{fields}>")
-    rare_counts = counts.filter(F.col("c") < least)
-    unit = float(total + ADD * (kinds + 1))
-    joined = parts.join(rare_counts, "key", "left")
-    value = F.when(F.col("key").isNotNull(), F.col("k") * F.log10((F.coalesce("c", F.lit(0)) + F.lit(ADD)) / F.lit(unit)))
-    sums = joined.groupBy("row").agg(F.max_by("head", F.col("head").isNotNull()).alias("h"), F.coalesce(F.sum(value), F.lit(0.0)).alias("rare"), F.coalesce(F.sum(F.when(F.col("c") > 0, F.col("k"))), F.lit(0)).alias("more"))
-    out = sums.select(*[F.col(f"h.{i}").alias(c) for i, c in zip(inner, names, strict=True)], F.col("h.size").alias("n_tokens"), (F.col("h.known") + F.col("more")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("h.base") + F.col("rare")).alias("base_score"), (F.col("h.full") + F.col("rare")).alias("score"))
+    parts = rows.mapInArrow(scored, f"row long, key long, ku int, kf int, kd int, head struct<{fields}>")
+    joined = parts.join(weights, "key", "left")
+    unseen = math.log10(ADD / unit)
+    base = F.col("ku") * F.coalesce("u", F.lit(unseen))
+    more = base + F.col("kf") * F.coalesce("f", F.lit(0.0)) + F.col("kd") * F.coalesce("d", F.lit(0.0))
+    sums = joined.groupBy("row").agg(F.max_by("head", F.col("head").isNotNull()).alias("h"), F.sum(base).alias("base"), F.sum(more).alias("more"), F.coalesce(F.sum(F.when(F.col("u").isNotNull(), F.col("ku"))), F.lit(0)).alias("known"))
+    out = sums.select(*[F.col(f"h.{i}").alias(c) for i, c in zip(inner, names, strict=True)], F.col("h.size").alias("n_tokens"), (F.col("h.known") + F.col("known")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("h.base") + F.col("base")).alias("base_score"), (F.col("h.full") + F.col("more")).alias("score"))
     return out
 
 

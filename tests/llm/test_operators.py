@@ -183,3 +183,15 @@ def test_toxicity_pairs_and_held_out(spark, docs, none):
     assert len(scored) == len(ROWS) and all(0 <= r.score <= 1 for r in scored)
     assert toxicity.score_toxicity(none, machine).collect() == []
     assert 0 <= toxicity.train(df, df.limit(0)).score(*toxicity.text_terms([b"x", None]))[1] <= 1
+
+
+def test_lm_scores_do_not_depend_on_the_share(docs):
+    from pyspark.sql import functions as F
+
+    whole = {tuple(r[:2]): r for r in lm.lm_scores(docs, F.col("row") % 3 != 0, keep=["row", "doc_id"], share=0).collect()}
+    for share in (0.002, 0.02, 2.0):  # more words and pairs each time that the automaton lacks, at last all
+        cut = {tuple(r[:2]): r for r in lm.lm_scores(docs, F.col("row") % 3 != 0, keep=["row", "doc_id"], share=share).collect()}
+        assert set(cut) == set(whole)
+        for k, r in whole.items():
+            assert (cut[k].n_tokens, cut[k].n_known) == (r.n_tokens, r.n_known)
+            assert math.isclose(cut[k].base_score, r.base_score, rel_tol=1e-9) and math.isclose(cut[k].score, r.score, rel_tol=1e-9)
