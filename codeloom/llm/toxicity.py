@@ -19,25 +19,35 @@ SLOTS, FACTORS = 1 << 18, 4
 MAX_LABELLED = 12_000
 #: Passes over the sample, step size, weight decay and texts in a step.
 EPOCHS, RATE, L2, BATCH = 10, 0.05, 1e-4, 64
+#: What a pass takes off a linear weight, over all its steps: weights that only follow noise stay 0.
+L1 = 0.2
 #: Besides its words a text's terms are the stems of longer words: their first so many bytes.
 STEMS = (4, 5)
-#: Terms are learned if at least so many texts of the sample have them and their share of label 1
-#: differs from the sample's by so many standard deviations.
-MIN_TEXTS, MIN_DEVIATIONS = 3, 2.5
+#: Terms are learned, and count in a score, if at least so many texts of the sample have them.
+MIN_TEXTS = 3
 #: predicted is 1 from this score on.
 THRESHOLD = 0.3
 
 
 @dataclass
 class FactorizationMachine:
-    """score = sigmoid(bias + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j); x is 1 for a term in the text, over the root of the number of terms."""
+    """score = sigmoid(bias + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j); x is 1 for a known term in the text.
+
+    The pair part is over the root of the text's number of known terms.
+    """
 
     bias: float
     w: np.ndarray
     v: np.ndarray
+    known: np.ndarray  # whether a slot's terms were learned
+
+    def learned(self, terms: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The runs of `terms` without those that were not learned."""
+        known = self.known[terms]
+        return terms[known], np.concatenate([[0], np.cumsum(known)])[first]
 
     def raw(self, terms: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Scores before the sigmoid; texts are runs of `terms` that begin at `first` (one longer)."""
+        """Scores before the sigmoid; texts are runs of learned `terms` that begin at `first` (one longer)."""
         out = np.full(len(first) - 1, self.bias)
         full = np.flatnonzero(np.diff(first))
         if len(full):
@@ -50,7 +60,7 @@ class FactorizationMachine:
         return out
 
     def score(self, terms: np.ndarray, first: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.raw(terms, first), -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.raw(*self.learned(terms, first)), -30, 30)))
 
 
 def text_terms(texts: list[bytes | None], slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray]:
@@ -69,16 +79,12 @@ def text_terms(texts: list[bytes | None], slots: int = SLOTS) -> tuple[np.ndarra
 def fit(terms: np.ndarray, first: np.ndarray, labels: np.ndarray, slots: int = SLOTS, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = 7) -> FactorizationMachine:
     """AdaGrad on the log loss over shuffled batches; the same input gives the same machine."""
     rng = np.random.default_rng(seed)
-    share = float(labels.mean()) if len(labels) else 0.0
-    seen = np.bincount(terms, minlength=slots)
-    ones = np.bincount(terms, np.repeat(labels, np.diff(first)), slots)
-    known = ((seen >= MIN_TEXTS) & (np.abs(ones - share * seen) >= MIN_DEVIATIONS * np.sqrt(share * (1 - share) * seen)))[terms]
-    first = np.concatenate([[0], np.cumsum(known)])[first]
-    terms = terms[known]
     rate = float(np.clip(labels.mean() if len(labels) else 0.5, 1e-3, 1 - 1e-3))
-    m = FactorizationMachine(float(np.log(rate / (1 - rate))), np.zeros(slots), rng.normal(0, 0.01, (slots, factors)))
+    m = FactorizationMachine(float(np.log(rate / (1 - rate))), np.zeros(slots), rng.normal(0, 0.01, (slots, factors)), np.bincount(terms, minlength=slots) >= MIN_TEXTS)
+    terms, first = m.learned(terms, first)
     gw, gv, gb = np.full(slots, 1e-2), np.full((slots, factors), 1e-2), 1.0
     n = len(labels)
+    shrink = L1 / max(1, -(-n // BATCH))
     for _ in range(epochs):
         order = rng.permutation(n)
         for k in range(0, n, BATCH):
@@ -102,7 +108,9 @@ def fit(terms: np.ndarray, first: np.ndarray, labels: np.ndarray, slots: int = S
             dv = np.stack([np.bincount(inverse, dv[:, f], len(slot)) for f in range(factors)], 1) + L2 * m.v[slot]
             gw[slot] += dw * dw
             gv[slot] += dv * dv
-            m.w[slot] -= RATE * 4 * dw / np.sqrt(gw[slot])
+            step = RATE * 4 / np.sqrt(gw[slot])
+            w = m.w[slot] - step * dw
+            m.w[slot] = np.sign(w) * np.maximum(np.abs(w) - step * shrink, 0)
             m.v[slot] -= RATE * dv / np.sqrt(gv[slot])
             gb += err.sum() ** 2
             m.bias -= RATE * err.sum() / np.sqrt(gb)
@@ -137,13 +145,13 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 def score_toxicity(docs: DataFrame, machine: FactorizationMachine, text: str = "text", keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """The columns `keep` (all by default) of every row, then score (0 to 1) and predicted.
 
-    All distinct terms of the whole text count. A null or empty text has no terms: its score is the
+    All distinct terms of the whole text that were learned count. A null or empty text has no terms: its score is the
     machine's bias alone. Repeated rows score alike. Input columns named score or predicted give
     way. No shuffle; the broadcast machine has a fixed size.
     """
     names = [c for c in (keep if keep is not None else docs.columns) if c not in ("score", "predicted")]
     rows = docs.select(column(docs, text).cast("string").alias("__text"), *[column(docs, c) for c in names])
-    sent = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.w.astype(np.float32), machine.v.astype(np.float32)))
+    sent = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.w.astype(np.float32), machine.v.astype(np.float32), machine.known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = FactorizationMachine(*sent.value)

@@ -195,3 +195,26 @@ def test_lm_scores_do_not_depend_on_the_share(docs):
         for k, r in whole.items():
             assert (cut[k].n_tokens, cut[k].n_known) == (r.n_tokens, r.n_known)
             assert math.isclose(cut[k].base_score, r.base_score, rel_tol=1e-9) and math.isclose(cut[k].score, r.score, rel_tol=1e-9)
+
+
+def test_toxicity_learns_terms_that_tell_only_in_pairs():
+    import numpy as np
+
+    own = random.Random(3)
+    rows = []
+    for _ in range(3000):
+        a, b = own.random() < 0.5, own.random() < 0.5
+        w = [f"w{own.randrange(60)}" for _ in range(20)] + ["verdict"] * a + ["tribe"] * b
+        rows.append((" ".join(w).encode(), int(a == b)))  # either word alone is as common in both classes
+    y = np.array([r[1] for r in rows], float)
+    machine = toxicity.fit(*toxicity.text_terms([r[0] for r in rows[:2000]]), y[:2000])
+    score = machine.score(*toxicity.text_terms([r[0] for r in rows[2000:]]))
+    assert ((score >= 0.5) == y[2000:]).mean() > 0.95
+    # words that were never learned don't thin out the pairs
+    far = b" " + b" ".join(b"x%d" % k for k in range(2000))
+    terms, _ = toxicity.text_terms([far])
+    both = b"verdict tribe w1 w2"
+    slots = np.setdiff1d(terms, np.flatnonzero(machine.known))
+    base = toxicity.text_terms([both])[0]
+    long = np.union1d(base, slots)
+    assert len(slots) > 1000 and np.array_equal(machine.score(base, np.array([0, len(base)])), machine.score(long, np.array([0, len(long)])))
