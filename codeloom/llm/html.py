@@ -184,18 +184,22 @@ def main_text(root: Node, low: set[int]) -> str:
     return "\n".join(t for t, _ in kept)
 
 
-def style_rows(root: Node) -> Iterator[tuple[int, int, int]]:
-    """(node, feature, 1) of a page: 0 for the node itself, a text block under it, or its children's styles."""
-    seen: set[int] = set()
+def style_rows(root: Node) -> Iterator[tuple[int, int]]:
+    """Distinct (node, feature) of a page: 0 for the node itself, a text block under it, or its children's styles.
+
+    Every node above a block counts, save those of prose, which are never judged.
+    """
+    seen: set[int | tuple[int, int]] = set()
     for text, holder in text_blocks(root, aside=False):
         feature = xxhash.xxh3_64_intdigest(text) | 1
-        chain, up = [], holder
+        up = holder
         while up.parent:
-            chain.append(up)
-            up = up.parent
-        # the block's own node, and the branches that hang from the body and below
-        for node in {*chain[:1], *chain[-4:]}:
-            yield node.path, feature
+            node, up = up, up.parent
+            if node.tag in PROSE:
+                continue
+            if (node.path, feature) not in seen:
+                seen.add((node.path, feature))
+                yield node.path, feature
             if node.path not in seen:
                 seen.add(node.path)
                 yield node.path, 0
@@ -225,8 +229,8 @@ def unimportant(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
             for u, t in zip(batch.column(0).to_pylist(), texts, strict=True):
                 host = xxhash.xxh3_64_intdigest(split_url(u)[0])
                 held.extend((host, p, f) for p, f in style_rows(parse(t.decode())))
-            if len(held) > 300_000:
-                yield send()
+                if len(held) > 300_000:
+                    yield send()
         if held:
             yield send()
 

@@ -218,3 +218,16 @@ def test_toxicity_learns_terms_that_tell_only_in_pairs():
     base = toxicity.text_terms([both])[0]
     long = np.union1d(base, slots)
     assert len(slots) > 1000 and np.array_equal(machine.score(base, np.array([0, len(base)])), machine.score(long, np.array([0, len(long)])))
+
+
+def test_html_judges_every_level(spark):
+    menu = "<div><div><ul>" + "".join(f"<li><a href='/{k}'>place {k}</a></li>" for k in range(4)) + "</ul></div></div>"
+    deep = "<div><section><div><div><table><tr><td>all rights held</td></tr></table></div></div></section></div>"
+    rows = [(i, f"http://deep.x/{i}", f"<html><body>{menu}<section><div><p>own {i} {text(9)}</p></div></section>{deep}</body></html>") for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+    for limit in (html.MAX_BROADCAST, 0):
+        out = html.extract(df, max_broadcast=limit).collect()
+        assert len(out) == 12 and all(r.text.startswith(f"own {r.page_id} ") and "place" not in r.text and "rights" not in r.text for r in out)
+    # a text that a page repeats under one node is on one page
+    rows = list(html.style_rows(html.parse("<body><ul><li>same</li><li>same</li></ul></body>")))
+    assert len(rows) == len(set(rows))
