@@ -29,7 +29,7 @@ BLOCK = {"address", "article", "aside", "blockquote", "body", "br", "caption", "
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 KEEPS_P_OPEN = {"br", "hr", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
-#: A style node of prose is kept however often a site repeats it: copies of one article are no boilerplate.
+#: A style node of prose, or inside an article, is kept however often a site repeats it: copies of one article are no boilerplate.
 PROSE = HEADINGS | {"html", "body", "article", "main", "p", "blockquote", "pre", "b", "i", "em", "strong", "a", "span", "br", "code", "sub", "sup", "u"}
 # Roles that are never main text, by tag, by ARIA role and by words of class and id.
 ASIDE_TAGS = {"nav", "footer", "aside", "form", "head", "button", "dialog", "menu", "header", "label", "fieldset"}
@@ -138,7 +138,7 @@ def text_blocks(node: Node, low: set[int] | None = None, aside: bool = True) ->
             if not buffer:
                 holder = now
             buffer.append(child)
-        elif (aside and is_aside(child, inside)) or (low and child.path in low and child.tag not in PROSE):
+        elif (aside and is_aside(child, inside)) or (low and not inside and child.path in low and child.tag not in PROSE):
             if child.tag in BLOCK:
                 flush()
         else:
@@ -187,16 +187,19 @@ def main_text(root: Node, low: set[int]) -> str:
 def style_rows(root: Node) -> Iterator[tuple[int, int]]:
     """Distinct (node, feature) of a page: 0 for the node itself, a text block under it, or its children's styles.
 
-    Every node above a block counts, save those of prose, which are never judged.
+    Every node above a block counts, save those of prose and inside an article, which are never judged.
     """
     seen: set[int | tuple[int, int]] = set()
     for text, holder in text_blocks(root, aside=False):
         feature = xxhash.xxh3_64_intdigest(text) | 1
-        up = holder
+        chain, up = [], holder
         while up.parent:
-            node, up = up, up.parent
-            if node.tag in PROSE:
-                continue
+            if up.tag in ("article", "main"):
+                chain = []
+            elif up.tag not in PROSE:
+                chain.append(up)
+            up = up.parent
+        for node in chain:
             if (node.path, feature) not in seen:
                 seen.add((node.path, feature))
                 yield node.path, feature
@@ -256,7 +259,8 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: list[s
     the body, without the branches that the site's style tree finds unimportant (unless that leaves
     nothing) and those that tag, role, class or id mark as menus, headers, footers, sidebars,
     notices, adverts, forms or comments; scripts and styles are no text. Paragraphs, headings and
-    inline elements are not judged by importance: copies of one article on a site are no boilerplate. Character references are decoded, white space in a block is
+    inline elements are not judged by importance, nor is anything inside an article or main element:
+    copies of one article on a site are no boilerplate. Character references are decoded, white space in a block is
     one space, blocks are joined by a line feed; a br ends a block.
 
     Null or empty html gives an empty text. A page alone on its host, or one of fewer than

@@ -231,3 +231,15 @@ def test_html_judges_every_level(spark):
     # a text that a page repeats under one node is on one page
     rows = list(html.style_rows(html.parse("<body><ul><li>same</li><li>same</li></ul></body>")))
     assert len(rows) == len(set(rows))
+
+
+def test_html_keeps_copies_of_an_article(spark):
+    def page(k, tag):
+        rows = "".join(f"<tr><td>cell {k} {i}</td></tr>" for i in range(3))
+        body = f"<h1>title {k}</h1><p>prose {k}</p><ul><li>item {k}</li></ul><table>{rows}</table><div><section>part {k}</section></div>"
+        return f"<html><body><div><div>the same for all</div></div><{tag}>{body}</{tag}></body></html>"
+
+    want = [f"title {k}\nprose {k}\nitem {k}\ncell {k} 0\ncell {k} 1\ncell {k} 2\npart {k}" for k in range(2)]
+    rows = [(i, f"http://{tag}.x/{i}", page(i % 2, tag)) for tag in ("article", "main") for i in range(8)]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+    assert all(r.text == want[r.page_id % 2] for r in html.extract(df).collect())
