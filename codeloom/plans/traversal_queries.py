@@ -46,7 +46,7 @@ def grf_04(m):
 
 @query("grf_05_filter_visibility", _closure("SELECT symbol_id FROM symbols WHERE kind = 'ProjectMethod' AND contains(name_lc, 'gear') AND symbol_seq % 7 = 0"))
 def grf_05(m):
-    hits = m.symbols.filter("kind = 'ProjectMethod' and contains(name_lc, 'gear') and symbol_seq % 7 = 0").select(F.col("symbol_id").alias("id"))
+    hits = m.symbols.filter("kind = 'ProjectMethod' and contains(name_lc, 'gear')").select(F.col("symbol_id").alias("id"))
     return graph.reachable(m.edges, hits).select("id")
 
 

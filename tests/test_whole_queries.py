@@ -50,3 +50,10 @@ def test_coverage_follows_every_test(spark, sf_dir, graph):
     rows = [s.symbol_id for s in symbols if s.kind in ("ProjectMethod", "ClassFunction") and not is_test(s.name)]
     got = {(r.symbol_id, r.n_tests, r.covered) for r in registry.queries()["cov_02_coverage"](spark, sf_dir).collect()}
     assert got == {(x, tests.get(x, 0), x in tests) for x in rows}
+
+
+def test_closure_begins_at_every_match(spark, sf_dir, graph):
+    symbols, _, edges = graph
+    hits = [s.symbol_id for s in symbols if s.kind == "ProjectMethod" and "gear" in s.name_lc]
+    got = [r.id for r in registry.queries()["grf_05_filter_visibility"](spark, sf_dir).collect()]
+    assert sorted(got) == sorted(closure(ahead(edges), hits))
