@@ -318,7 +318,7 @@ def win_07(m):
 def win_08(m):
     c = F.coalesce("column_no", F.lit(0))
     w = Window.partitionBy("from_id").orderBy("line", c, "edge_seq", "to_id")
-    t = m.edges.filter(F.col("from_id").startswith("ProjectMethod:Order")).select("from_id", "line", c.alias("c"), F.lag("line").over(w).alias("pl"), F.lag(c).over(w).alias("pc"))
+    t = m.edges.select("from_id", "line", c.alias("c"), F.lag("line").over(w).alias("pl"), F.lag(c).over(w).alias("pc"))
     return t.groupBy("from_id").agg(F.sum(F.col("line") - F.coalesce("pl", F.lit(0))).alias("sum_line"), F.sum(F.when(F.col("pl") == F.col("line"), F.col("c") - F.col("pc")).otherwise(F.col("c"))).alias("sum_start"))
 
 

@@ -79,7 +79,7 @@ def snk_04(m):
 def snk_05(m):
     c = F.coalesce("column_no", F.lit(0))
     w = Window.partitionBy("from_id").orderBy("line", c, "edge_seq", "to_id")
-    t = m.edges.filter(F.col("from_id").startswith("ProjectMethod:Order1")).select("from_id", "line", c.alias("c"), F.row_number().over(w).cast("long").alias("k"), F.lag("line", 1, 0).over(w).alias("pl"), F.lag(c, 1, 0).over(w).alias("pc"))
+    t = m.edges.select("from_id", "line", c.alias("c"), F.row_number().over(w).cast("long").alias("k"), F.lag("line", 1, 0).over(w).alias("pl"), F.lag(c, 1, 0).over(w).alias("pc"))
     return t.select("from_id", "k", (F.col("line") - F.col("pl")).cast("long").alias("delta_line"), F.when(F.col("line") == F.col("pl"), F.col("c") - F.col("pc")).otherwise(F.col("c")).cast("long").alias("delta_start"))
 
 

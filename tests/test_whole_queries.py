@@ -57,3 +57,21 @@ def test_closure_begins_at_every_match(spark, sf_dir, graph):
     hits = [s.symbol_id for s in symbols if s.kind == "ProjectMethod" and "gear" in s.name_lc]
     got = [r.id for r in registry.queries()["grf_05_filter_visibility"](spark, sf_dir).collect()]
     assert sorted(got) == sorted(closure(ahead(edges), hits))
+
+
+def test_tokens_of_every_caller(spark, sf_dir, graph):
+    by_caller = {}
+    for e in graph[2]:
+        by_caller.setdefault(e.from_id, []).append((e.line, e.column_no or 0, e.edge_seq, e.to_id))
+    tokens, sums = set(), set()
+    for caller, rows in by_caller.items():
+        line = start = n_line = n_start = 0
+        for k, (at, c, *_) in enumerate(sorted(rows)):
+            first = k == 0
+            tokens.add((caller, k + 1, at - line, c - start if at == line else c))
+            n_line, n_start = n_line + at - line, n_start + (c - start if at == line and not first else c)
+            line, start = at, c
+        sums.add((caller, n_line, n_start))
+    got = [tuple(r) for r in registry.queries()["snk_05_semantic_token_deltas"](spark, sf_dir).select("from_id", "k", "delta_line", "delta_start").collect()]
+    assert len(got) == len(graph[2]) and set(got) == tokens
+    assert {tuple(r) for r in registry.queries()["win_08_token_deltas"](spark, sf_dir).select("from_id", "sum_line", "sum_start").collect()} == sums
