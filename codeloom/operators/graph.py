@@ -101,11 +101,12 @@ def expand_tree(edges: DataFrame, root: str, depth: int) -> DataFrame:
     return rows.join(again, "id", "left").select("path", "id", "depth", F.coalesce("has_next", F.lit(False)).alias("has_next"))
 
 
-def ancestors(symbols: DataFrame, max_depth: int = 32) -> DataFrame:
+def ancestors(symbols: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(class_lc, ancestor_lc, depth) of every class, nearest first; a cycle stops the walk.
 
     A class has one parent at most, so a level is one join with the class table. Of classes with one
-    name the first counts; an unknown parent ends the walk.
+    name the first counts; an unknown parent ends the walk. Without a depth it runs until a level is
+    empty.
     """
     first = Window.partitionBy("name_lc").orderBy("symbol_seq")
     classes = symbols.filter(F.col("kind") == "Class").withColumn("r", F.row_number().over(first)).filter("r = 1")
@@ -114,7 +115,7 @@ def ancestors(symbols: DataFrame, max_depth: int = 32) -> DataFrame:
     links = stored(parent.filter("up is not null").join(known, "up", "left_semi"), "extends")
     level = links.filter("child != up").select(F.col("child").alias("class_lc"), F.col("up").alias("ancestor_lc"), F.lit(1).alias("depth"), F.array("child", "up").alias("path"))
     out = []
-    for _ in range(max_depth):
+    while max_depth is None or len(out) < max_depth:
         level = stored(level, "ancestors")
         out.append(level)
         nxt = level.join(links.withColumnRenamed("child", "ancestor_lc"), "ancestor_lc").filter(~F.array_contains("path", F.col("up")))

@@ -59,9 +59,14 @@ def on_class(sites: DataFrame, resolution: DataFrame, miss: Column | None, own:
     return out if miss is not None else out.filter("resolved")
 
 
-def walk_chain(sites: DataFrame, prop_types: DataFrame, ancestors: DataFrame, max_steps: int = 6) -> DataFrame:
+def walk_chain(sites: DataFrame, prop_types: DataFrame, ancestors: DataFrame, max_steps: int | None = None) -> DataFrame:
     """sites (class_lc, path array) with the class at the end of the path: each step takes the type of the
-    nearest declaration of the property on the chain; an unknown step gives null."""
+    nearest declaration of the property on the chain; an unknown step gives null.
+
+    Without `max_steps` (which must not be less) the longest path is found first.
+    """
+    if max_steps is None:
+        max_steps = sites.agg(F.max(F.size("path"))).first()[0] or 0
     near = ancestors.join(prop_types.select(F.col("class_lc").alias("ancestor_lc"), "member", "type_lc"), "ancestor_lc")
     w = Window.partitionBy("class_lc", "member").orderBy("depth")
     table = near.withColumn("r", F.row_number().over(w)).filter("r = 1").select("class_lc", "member", "type_lc")
