@@ -3,56 +3,68 @@
 from __future__ import annotations
 
 import atexit
-import time
 import uuid
 import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used where spark.checkpoint.dir is unset, as in local tests.
+#: Used by a local master where spark.checkpoint.dir is unset, as in tests.
 LOCAL_DIR = "/tmp/checkpoints"
-_made: list[tuple[weakref.ref, str]] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_made: dict[str, weakref.ref] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir, or LOCAL_DIR where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DIR
+    """The session's spark.checkpoint.dir; LOCAL_DIR where a local master has none.
+
+    On a cluster the driver's and the executors' own folders differ, so there the setting must be given.
+    """
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return where or LOCAL_DIR
 
 
-def stored(df: DataFrame, what: str, free: bool = False) -> DataFrame:
+def stored(df: DataFrame, what: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again, which cuts its lineage.
 
-    Executors may be lost later without the work being repeated. The files go when the driver's
-    Python ends (an interrupted driver leaves them to the folder's own clean-up). With `free`, the
-    shuffles behind the table are removed at once; worth its half second where they are large.
+    Executors may be lost later without the work being repeated. Spark removes the shuffles behind
+    the table when it is written. `discard` deletes the table; the files of others go when the
+    driver's Python ends (an interrupted driver leaves them to the folder's own clean-up).
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/codeloom-{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _made.append((weakref.ref(spark), path))
-    if free:
-        free_shuffles(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    _made[path] = weakref.ref(spark)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished work now.
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing will read any more."""
+    for df in tables:
+        _delete(df.sparkSession, df._stored_path)
+        _made.pop(df._stored_path, None)
 
-    They stay on the executors' disks until the driver collects its garbage; a first collection
-    releases the finished plan, a second the shuffles that only it held.
-    """
-    spark._jvm.System.gc()
-    time.sleep(0.2)
-    spark._jvm.System.gc()
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 @atexit.register
 def _sweep() -> None:
-    for ref, path in _made:
-        spark = ref()
+    for path, ref in _made.items():
         try:
-            jvm, jsc = spark._jvm, spark._jsc
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
+            _delete(ref(), path)
         except Exception:  # noqa: BLE001  the session has ended already
             return
