@@ -11,25 +11,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm._suffix import FMIndex
-from codeloom.llm._tables import column
-from codeloom.llm._text import NOT_ALNUM, Words, blocks, spans_to_mask, split_words
+from codeloom.llm._tables import carry, column, stored
+from codeloom.llm._text import NOT_ALNUM, Words, blocks, per_text, spans_to_mask, split_words, windows
 
 #: Words of a test phrase; an item with fewer is one phrase.
 WINDOW = 10
 #: Test texts of more bytes are searched in several rounds, so what is broadcast stays bounded.
-MAX_PHRASE_BYTES = 32 << 20
+MAX_PHRASE_BYTES = 4 << 20
 #: Bytes of training text in one shard's index.
 SHARD_BYTES = 4 << 20
-_SCHEMA = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+@dataclass
+class Group:
+    """Distinct phrases of one length as rows of word numbers, and the items that have each: runs of `items` that begin at `first`."""
+
+    rows: np.ndarray
+    items: np.ndarray
+    first: np.ndarray
 
 
 @dataclass
 class Phrases:
-    """Test phrases as rows of word numbers (1 up), by length, with the items of each."""
+    """Test phrases over word numbers (1 up: the place in `vocabulary`, which is sorted), by length."""
 
     vocabulary: np.ndarray
-    numbers: np.ndarray
-    groups: list[tuple[np.ndarray, list[np.ndarray]]]
+    groups: list[Group]
     names: list[str]
     shortest: int
 
@@ -38,14 +46,16 @@ def build_phrases(ids: list[str], texts: list[bytes | None], window: int) -> Phr
     """Every distinct window of the items, and the whole of items with fewer words."""
     w = split_words(texts, lower=True, breaks=NOT_ALNUM)
     vocabulary, inverse = np.unique(w.hash, return_inverse=True)
-    found: dict[int, dict[bytes, set[int]]] = {}
-    for i in range(len(texts)):
-        words = inverse[w.first[i] : w.first[i + 1]].astype(np.int64) + 1
-        size = min(window, len(words))
-        for k in range(len(words) - size + 1 if size else 0):
-            found.setdefault(size, {}).setdefault(words[k : k + size].tobytes(), set()).add(i)
-    groups = [(np.array([np.frombuffer(p, np.int64) for p in by]), [np.fromiter(sorted(x), np.int64) for x in by.values()]) for by in found.values()]
-    return Phrases(vocabulary, np.arange(1, len(vocabulary) + 1), groups, ids, min(found, default=0))
+    number = (inverse + 1).astype(np.int32)
+    length = np.minimum(w.counts, window)[w.text]  # of the phrases of each word's item
+    begins = np.arange(len(number)) + length <= w.first[1:][w.text]
+    groups = []
+    for size in np.unique(length):
+        at = np.flatnonzero(begins & (length == size))
+        _, first, which = np.unique(windows(w.hash, size)[at], return_index=True, return_inverse=True)
+        pairs = np.unique(which * len(texts) + w.text[at])
+        groups.append(Group(number[at[first][:, None] + np.arange(size)], pairs % len(texts), np.searchsorted(pairs // len(texts), np.arange(len(first) + 1))))
+    return Phrases(vocabulary, groups, ids, int(length.min(initial=window)) if len(length) else 0)
 
 
 def search_shard(w: Words, phrases: Phrases) -> tuple[np.ndarray, list[list[str]]]:
@@ -79,26 +89,22 @@ def search_shard(w: Words, phrases: Phrases) -> tuple[np.ndarray, list[list[str]
     tokens = np.where(place == np.repeat(end, size), 0, number[np.minimum(place, n - 1)])
     index = FMIndex(tokens, len(phrases.vocabulary))
     spans, found = [], []
-    for rows, owners in phrases.groups:
-        lo, hi = index.search(rows)
+    for group in phrases.groups:
+        lo, hi = index.search(group.rows)
         there = np.flatnonzero(hi > lo)
         if not len(there):
             continue
         count = (hi - lo)[there]
         ranks = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo[there], count)
         at = place[index.locate(ranks)]
-        spans.append((at, at + rows.shape[1]))
-        owned = [owners[p] for p in there]
-        many = np.fromiter(map(len, owned), np.int64, len(owned))
-        # one (text, item) for each occurrence and item that has the phrase
+        spans.append((at, at + group.rows.shape[1]))
+        # one (text, item) for each text, phrase in it and item that has the phrase
         phrase = np.repeat(np.arange(len(there)), count)
         pairs = np.unique(w.text[at] * len(there) + phrase)
-        text, phrase = pairs // len(there), pairs % len(there)
-        begin = np.cumsum(many) - many
-        flat = np.concatenate(owned)
-        per = many[phrase]
-        pick = np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per) + np.repeat(begin[phrase], per)
-        found.append(np.repeat(text, per) * len(phrases.names) + flat[pick])
+        text, phrase = pairs // len(there), there[pairs % len(there)]
+        per = group.first[phrase + 1] - group.first[phrase]
+        pick = np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per) + np.repeat(group.first[phrase], per)
+        found.append(np.unique(np.repeat(text, per) * len(phrases.names) + group.items[pick]))
     if spans:
         hit = spans_to_mask(np.concatenate([s for s, _ in spans]), np.concatenate([e for _, e in spans]), n)
         for x in np.unique(np.concatenate(found)).tolist():
@@ -148,65 +154,61 @@ def phrase_blocks(benchmark: DataFrame, item: str, text: str, max_bytes: int) ->
         yield part["i"].to_pylist(), [x.encode() for x in part["t"].to_pylist()]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", keep: list[str] | None = None, window: int = WINDOW, removed: bool = False, max_phrase_bytes: int = MAX_PHRASE_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", keep: list[str] | None = None, window: int = WINDOW, cut: str | None = None, max_phrase_bytes: int = MAX_PHRASE_BYTES) -> DataFrame:
     """The columns `keep` (all by default) of every row, then n_words, n_hit, items, spans.
 
     A-Z are lower-cased; words are runs outside ASCII non-alphanumerics. Each task indexes its
     shard of texts (a wavelet-tree FM-index), searches every test phrase backwards, locates its
     occurrences through sampled suffix positions and merges the spans. `items` lists the items with
-    a phrase in the text (sorted as strings), `spans` the merged spans of word numbers. With
-    `removed`, `__cut` holds the text without its hit words (null for a null text).
+    a phrase in the text (sorted as strings), `spans` the merged spans of word numbers. `cut` names
+    a column for the text without its hit words (null for a null text).
 
     A null text, or one without words, has no hits; items that are null or have no words match
     nothing; two items with the same id count as one. Repeated rows are treated alike. Input
-    columns with the name of an output column give way to it. A test set beyond
-    `max_phrase_bytes` is searched in several rounds over the texts. No shuffle.
+    columns with the name of an output column give way to it, other names don't clash; an empty
+    table has no rows. A test set beyond `max_phrase_bytes` is searched in rounds: each but the last
+    is stored with the spans so far, and its phrases are given up before the next are built. No shuffle.
     """
-    added = ["n_words", "n_hit", "items", "spans"] + ["__cut"] * removed
-    names = [c for c in (keep if keep is not None else docs.columns) if c not in added]
-    out = docs.select(column(docs, text).cast("string").alias("__text"), F.lit(None).cast("array<struct<start:long,end:long>>").alias("__spans"), F.lit(None).cast("array<string>").alias("__items"), *[column(docs, c) for c in names])
-    spark = docs.sparkSession
-    for ids, texts in phrase_blocks(benchmark, item, item_text, max_phrase_bytes):
-        phrases = spark.sparkContext.broadcast(build_phrases(ids, texts, window))
-
-        def run(batches: Iterator[pa.RecordBatch], phrases=phrases) -> Iterator[pa.RecordBatch]:
-            for batch, texts in blocks(batches, "__text", SHARD_BYTES):
+    added = ["n_words", "n_hit", "items", "spans", *([cut] if cut else [])]
+    kept = carry(docs, text, keep, added)
+    spark, width = docs.sparkSession, len(kept.rows.columns)
+    found = "items array<string>, spans array<struct<start:long,end:long>>"
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.rows.schema.fields)
+    some = phrase_blocks(benchmark, item, item_text, max_phrase_bytes)
+    out, turn, now = kept.rows, 0, next(some)
+    while now is not None:
+        after = next(some, None)
+        phrases = spark.sparkContext.broadcast(build_phrases(*now, window))
+
+        def run(batches: Iterator[pa.RecordBatch], phrases=phrases, turn=turn, last=after is None) -> Iterator[pa.RecordBatch]:
+            for batch, texts in blocks(batches, "text", SHARD_BYTES):
                 w = split_words(texts, lower=True, breaks=NOT_ALNUM)
                 hit, items = search_shard(w, phrases.value)
-                spans = hit_spans(hit, w)
-                for t, (s, i) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                    spans[t], items[t] = _merged((s or []) + spans[t]), sorted({*(i or []), *items[t]})
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, batch.schema.field(1).type), pa.array(items, batch.schema.field(2).type), *batch.columns[3:]], schema=batch.schema)
-
-        out = out.mapInArrow(run, out.schema)
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in blocks(batches, "__text"):
-            w = split_words(texts, lower=True, breaks=NOT_ALNUM)
-            spans = batch.column(1).to_pylist()
-            n_hit = [sum(x["end"] - x["start"] for x in s or []) for s in spans]
-            columns = [*batch.columns[3:], pa.array(w.counts.astype(np.int64)), pa.array(n_hit, pa.int64()), batch.column(2), batch.column(1)]
-            if removed:
-                hit = np.zeros(len(w.hash), bool)
-                for t, s in enumerate(spans):
-                    for x in s or []:
-                        hit[w.first[t] + x["start"] : w.first[t] + x["end"]] = True
-                cut = [None if batch.column(0)[t].is_valid is False else (_cut(texts[t], w, t, hit) if n_hit[t] else texts[t]) for t in range(len(texts))]
-                columns.append(pa.array([None if x is None else x.decode() for x in cut], pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names=names + added)
-
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in out.schema.fields[3:])
-    return out.mapInArrow(finish, kept + _SCHEMA + ", __cut string" * removed)
-
-
-def _merged(spans: list[dict]) -> list[dict]:
-    out: list[dict] = []
-    for x in sorted(spans, key=lambda x: x["start"]):
-        if out and x["start"] <= out[-1]["end"]:
-            out[-1] = {"start": out[-1]["start"], "end": max(out[-1]["end"], x["end"])}
-        else:
-            out.append(x)
-    return out
+                if turn:
+                    old_items, old = (c.to_pylist() for c in batch.columns[width:])
+                    items = [i + j for i, j in zip(old_items, items, strict=True)]
+                    for t, s in enumerate(old):
+                        for x in s:
+                            hit[w.first[t] + x["start"] : w.first[t] + x["end"]] = True
+                spans = pa.array(hit_spans(hit, w), _SPANS)
+                items = pa.array([sorted(set(i)) for i in items], pa.list_(pa.string()))
+                if not last:
+                    arrays = [*batch.columns[:width], items, spans]
+                else:
+                    n_hit = per_text(hit, w)
+                    arrays = [*kept.take(batch), pa.array(w.counts.astype(np.int64)), pa.array(n_hit), items, spans]
+                    if cut:
+                        whole = batch.column(0)
+                        less = [_cut(x, w, t, hit).decode() if n_hit[t] else whole[t].as_py() for t, x in enumerate(texts)]
+                        arrays.append(pa.array(less, pa.string()))
+                yield pa.RecordBatch.from_arrays(arrays, names=[str(k) for k in range(len(arrays))])
+
+        if after is None:
+            own = "n_words long, n_hit long, " + found + (", less string" if cut else "")
+            return kept.named(out.mapInArrow(run, kept.schema + own), added)
+        out = stored(out.mapInArrow(run, f"{kinds}, {found}"), "phrases")
+        phrases.destroy()
+        turn, now = turn + 1, after
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -2,297 +2,194 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm._tables import column, stored
-from codeloom.llm._text import Words, blocks, hash_word, mix, signed, split_words
+from codeloom.llm._exchange import Part, corpus
+from codeloom.llm._tables import column
+from codeloom.llm._text import hash_word, mix, split_words
 
-#: Add-k of the unigrams, and the discount of the bigrams.
-ADD, DISCOUNT = 0.1, 0.6
-#: Words and word pairs that make up at least this share of the training tokens are in the
-#: broadcast automaton, at most 1 / SHARE states and as many arcs. It is a cache: the counts of all
-#: other words and pairs are joined to the texts.
-SHARE = 2.5e-7
-#: Distinct n-grams that a task holds before it sends their counts.
-POOL = 3_000_000
+#: Add-k of the unigrams; how many tokens the shorter history's distribution counts as (chosen on a fold of training rows).
+ADD, WEIGHTS = 0.1, (1000.0, 5.0)
+#: Tokens that one step of the traversal takes side by side from as many segments of texts.
+SEGMENT = 256
 END = np.uint64(hash_word(b"\n"))  # no word holds a line feed
-
-
-def token_stream(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of every text's words, each text closed by END; and the text of each token."""
-    n, m = len(w.hash), len(w.counts)
-    out = np.full(n + m, END)
-    out[np.arange(n) + w.text] = w.hash
-    return out, np.repeat(np.arange(m), w.counts + 1)
-
-
-def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return mix(left * np.uint64(0x9E3779B97F4A7C15) ^ mix(right))
-
-
-class Counts:
-    """Counts of 64-bit keys, sent when the pool is full."""
-
-    def __init__(self):
-        self.keys, self.counts, self.size = [], [], 0
-
-    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        key, count = np.unique(keys, return_counts=True)
-        self.keys.append(key)
-        self.counts.append(count)
-        self.size += len(key)
-        if self.size >= POOL:
-            yield from self.flush()
-
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        if self.size:
-            key, inverse = np.unique(np.concatenate(self.keys), return_inverse=True)
-            count = np.bincount(inverse, np.concatenate(self.counts)).astype(np.int64)
-            self.__init__()
-            for at in range(0, len(key), 1 << 17):
-                part = slice(at, at + (1 << 17))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(key[part])), pa.array(count[part])], names=["key", "c"])
-
-
-class PairCounts:
-    """Counts of pairs of 64-bit keys, sent when the pool is full."""
-
-    def __init__(self):
-        self.parts, self.size = [], 0
-
-    def add(self, left: np.ndarray, right: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.parts.append(_count_pairs(left, right, np.ones(len(left), np.int64)))
-        self.size += len(self.parts[-1][0])
-        if self.size >= POOL:
-            yield from self.flush()
-
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        if self.size:
-            columns = _count_pairs(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))
-            self.__init__()
-            for at in range(0, len(columns[0]), 1 << 17):
-                l, r, c = (x[at : at + (1 << 17)] for x in columns)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(l)), pa.array(signed(r)), pa.array(c)], names=["l", "r", "c"])
-
-
-def _count_pairs(left: np.ndarray, right: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    _, first, inverse = np.unique(pair_keys(left, right), return_index=True, return_inverse=True)
-    return left[first], right[first], np.bincount(inverse, count, len(first)).astype(np.int64)
+_SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
 @dataclass
-class Automaton:
-    """States are the root and one for each frequent word (the history).
+class Grams:
+    """The n-grams of a part of the corpus: sorted distinct keys of order 1, 2 and 3, and which one ends at each token.
 
-    `arcs` are the pairs kept of a history, with the log10 of their smoothed probability; a word
-    without an arc takes the state's failure arc to the root (its weight is the log10 of the mass
-    that discounting left) and then the root's own arc, the word's unigram. After a word the state
-    is the word's own, or the root if it is rare: then the caller adds the word's failure arc, and
-    the gain of a pair without an arc here over its backoff. Absolute discounting, interpolated.
+    A text's tokens are its words and one END, and END stands before its first; the first token of a text ends no trigram (-1).
     """
 
-    words: np.ndarray  # sorted hashes of the states' words
-    unigram: np.ndarray  # log10 of the root's arc
-    failure: np.ndarray
-    arcs: np.ndarray  # sorted keys of pairs
-    weight: np.ndarray
-
-    def state(self, tokens: np.ndarray) -> np.ndarray:
-        """The state after each token; -1 is the root."""
-        return _find(self.words, tokens)
+    keys: list[np.ndarray]
+    at: list[np.ndarray]
+    owner: np.ndarray  # the text of each token
+    first: np.ndarray  # where the tokens of each text begin (one longer)
+    end: int  # END among the unigrams
 
-    def walk(self, tokens: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """log10 of each token as far as the automaton knows it, its root arc or 0 for a rare word, and whether an arc was found.
-
-        A rare word has the weight of the failure arc only; its unigram is added by the caller.
-        """
-        after = self.state(tokens)
-        before = self.state(histories(tokens, text))
-        root = np.where(after >= 0, self.unigram[np.maximum(after, 0)] if len(self.unigram) else 0.0, 0.0)
-        out, found = root.copy(), np.zeros(len(tokens), bool)
-        if len(self.words):
-            out = out + np.where(before >= 0, self.failure[np.maximum(before, 0)], 0.0)
-            both = np.flatnonzero((before >= 0) & (after >= 0))
-            arc = _find(self.arcs, pair_keys(self.words[before[both]], tokens[both]))
-            hit = arc >= 0
-            out[both[hit]] = self.weight[arc[hit]]
-            found[both[hit]] = True
-        return out, root, found
-
-
-def histories(tokens: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """The word before each token; a text begins where another has ended."""
-    out = np.concatenate([[END], tokens[:-1]])
-    out[np.flatnonzero(text[1:] != text[:-1]) + 1] = END
-    return out
 
+def grams(texts: list[bytes | None]) -> Grams:
+    w = split_words(texts, lower=True)
+    n, m = len(w.hash), len(w.counts)
+    tokens = np.full(n + m, END)
+    tokens[np.arange(n) + w.text] = w.hash
+    size = w.counts + 1
+    first = np.concatenate([[0], np.cumsum(size)])
+    owner = np.repeat(np.arange(m), size)
+    starts = np.zeros(n + m, bool)
+    starts[first[:-1]] = True
+    before = np.concatenate([[END], tokens[:-1]])
+    before[starts] = END
+    pair = mix(mix(before ^ _SALTS[1]) + tokens)
+    triple = mix(np.concatenate([pair[:1], pair[:-1]]) ^ mix(tokens ^ _SALTS[2]))
+    one, at1 = np.unique(mix(tokens ^ _SALTS[0]), return_inverse=True)
+    two, at2 = np.unique(pair, return_inverse=True)
+    three, inner = np.unique(triple[~starts], return_inverse=True)
+    at3 = np.full(n + m, -1)
+    at3[~starts] = inner
+    end = int(at1[first[1] - 1]) if m else -1
+    return Grams([one, two, three], [at1, at2, at3], owner, first, end)
 
-def _find(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
-    if not len(sorted_):
-        return np.full(len(x), -1)
-    at = np.searchsorted(sorted_, x)
-    at[at == len(sorted_)] = 0
-    return np.where(sorted_[at] == x, at, -1)
 
+class Automaton:
+    """The part of the model that can be reached from the texts of a part of the corpus.
 
-def build(words: np.ndarray, count: np.ndarray, total: int, kinds: int, left: np.ndarray, pair: np.ndarray, right: np.ndarray, pairs: np.ndarray, follow: np.ndarray | None = None) -> Automaton:
-    """From counts of frequent words, and of kept pairs (histories and words as places in `words`).
+    States are the root, every word and every pair of words that the training texts have. The arcs
+    of a state are the n-grams that extend it, weighted with the log10 of their smoothed
+    probability; a token without an arc takes the state's failure arc, which has a weight of its
+    own, to the state of the history without its first word. The root has an arc for every token,
+    unknown ones included. Smoothing is Dirichlet: a history h of k words seen c(h) times counts
+    as c(h) + WEIGHTS[k - 1] tokens, of which the shorter history's distribution gives the rest:
+    p(w | h) = (c(hw) + WEIGHTS[k - 1] * p(w | h')) / (c(h) + WEIGHTS[k - 1]).
 
-    `follow` is the number of distinct words after each word, where not all its pairs are given.
+    State 0 is the root, then come the part's unigrams and bigrams, in the order of Grams.
     """
-    order = np.argsort(words)
-    words, count = words[order], count[order]
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
-    left, right = back[left], back[right]
-    unigram = (count + ADD) / (total + ADD * (kinds + 1))
-    if follow is None:
-        failure = 1 - np.bincount(left, pairs - DISCOUNT, len(words)) / np.maximum(count, 1)
-    else:
-        failure = DISCOUNT * follow[order] / count
-    prob = (pairs - DISCOUNT) / count[left] + failure[left] * unigram[right]
-    by = np.argsort(pair)
-    return Automaton(words, np.log10(unigram), np.log10(np.maximum(failure, 1e-12)), pair[by], np.log10(prob[by]))
-
 
-def lm_scores(docs: DataFrame, training, text: str = "text", keep: list[str] | None = None, share: float = SHARE) -> DataFrame:
+    def __init__(self, g: Grams, counts: list[np.ndarray], total: int, kinds: int):
+        one, two, three = (c.astype(np.float64) for c in counts)
+        at1, at2, at3 = g.at
+        n1, n2 = len(one), len(two)
+        before = np.concatenate([[g.end], at1[:-1]])
+        before[g.first[:-1]] = g.end
+        word = np.empty(n2, np.int64)  # of each bigram
+        word[at2] = at1
+        history = np.empty(n2, np.int64)
+        history[at2] = before
+        has = at3 >= 0
+        long, short = np.empty(len(three), np.int64), np.empty(len(three), np.int64)  # of each trigram: its history, and itself without its first word
+        long[at3[has]] = np.concatenate([[0], at2[:-1]])[has]
+        short[at3[has]] = at2[has]
+        p1 = (one + ADD) / (total + ADD * (kinds + 1))
+        p2 = (two + WEIGHTS[0] * p1[word]) / (one[history] + WEIGHTS[0])
+        p3 = (three + WEIGHTS[1] * p2[short]) / (two[long] + WEIGHTS[1])
+        self.arcs = [np.log10(p1), np.log10(p2), np.log10(p3)]
+        self.there = [one > 0, two > 0, three > 0]
+        self.failure = np.concatenate([[0.0], np.log10(WEIGHTS[0] / (one + WEIGHTS[0])), np.log10(WEIGHTS[1] / (two + WEIGHTS[1]))])
+        #: Where the failure arc leads: from a word to the root, from a pair to its last word.
+        self.shorter = np.concatenate([[0], np.zeros(n1, np.int64), word + 1])
+        self.order = np.concatenate([[0], np.ones(n1, np.int64), np.full(n2, 2)])
+        self.pairs = n1 + 1
+        self.start = g.end + 1 if n1 and one[g.end] else 0
+        self.g = g
+
+    def step(self, state: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after the tokens at `pos`, and the weights of the failure arcs and the arc taken."""
+        at1, at2, at3 = (a[pos] for a in self.g.at)
+        weight = np.zeros(len(pos))
+        three = (self.order[state] == 2) & (at3 >= 0)
+        three[three] = self.there[2][at3[three]]
+        fails = (self.order[state] == 2) & ~three
+        weight[fails] += self.failure[state[fails]]
+        state = np.where(fails, self.shorter[state], state)
+        two = self.order[state] == 1
+        two[two] = self.there[1][at2[two]]
+        fails = (self.order[state] == 1) & ~two
+        weight[fails] += self.failure[state[fails]]
+        one = ~(three | two)
+        weight[three] += self.arcs[2][at3[three]]
+        weight[two] += self.arcs[1][at2[two]]
+        weight[one] += self.arcs[0][at1[one]]
+        # an arc leads to the longest history that is a state: two words, or one behind the root, or none behind an unknown word
+        after = np.where(one, np.where(self.there[0][at1], at1 + 1, 0), at2 + self.pairs)
+        return after, weight
+
+    def walk(self) -> np.ndarray:
+        """The weight of every token: one traversal of each text from left to right that carries the state.
+
+        Long texts are walked as several segments side by side; after two tokens a state doesn't
+        depend on where the walk began, so a later segment begins two tokens early.
+        """
+        out = np.zeros(len(self.g.owner))
+        size = np.diff(self.g.first)
+        many = -(-size // SEGMENT)
+        text = np.repeat(np.arange(len(size)), many)
+        k = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+        low = self.g.first[text] + k * SEGMENT
+        high = np.minimum(low + SEGMENT, self.g.first[text + 1])
+        begin = np.where(k > 0, low - 2, low)
+        order = np.argsort(begin - high, kind="stable")  # longest first
+        begin, low, high = begin[order], low[order], high[order]
+        state = np.where(begin == low, self.start, 0)
+        for t in range(int((high - begin).max(initial=0))):
+            live = int(np.searchsorted(begin - high, -t))
+            pos = begin[:live] + t
+            state, weight = self.step(state[:live], pos)
+            counts = pos >= low[:live]
+            out[pos[counts]] = weight[counts]
+        return out
+
+
+def lm_scores(docs: DataFrame, training, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of every row, then n_tokens, n_known, train_tokens, base_score, score.
 
     `training` is a boolean column: the rows that the model learns from (null: not). A-Z are
-    lower-cased; the tokens of a text are its words and one end. Counts of words and of word pairs
-    cover all training rows. Words and pairs of at least `share` of the tokens become the states
-    and arcs of the automaton, which is therefore of bounded size and broadcast; the weights of all
-    other words and pairs are joined to the texts by a shuffle, so `share` changes no score.
-    base_score is the add-0.1 unigram score, score the log10 probability of the text by the whole
-    automaton.
+    lower-cased; the tokens of a text are its words and one end. Every word, pair and triple of
+    the training rows counts, at any size of the corpus; nothing is pruned. Each part of the corpus asks for
+    the counts of the n-grams that its texts hold, builds the automaton over these, and walks its
+    texts through it once. base_score is the add-0.1 unigram score, score the log10 probability of
+    the text by the automaton; see `Automaton` for the smoothing.
 
     A null or empty text is its end alone. Without training rows all words are unknown. Repeated
-    rows count each. Input columns named like an output give way. Words are 64-bit hashes.
+    rows count each. Input columns named like an output give way. N-grams are 64-bit hashes.
     """
-    spark = docs.sparkSession
     added = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     names = [c for c in (keep if keep is not None else docs.columns) if c not in added]
-    body = column(docs, text).cast("string").alias("text")
-    train = docs.filter(F.coalesce(training, F.lit(False))).select(body)
-
-    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool = Counts()
-        for _, texts in blocks(batches, "text"):
-            yield from pool.add(token_stream(split_words(texts, lower=True))[0])
-        yield from pool.flush()
-
-    counts = stored(train.mapInArrow(words_of, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), "words", free=True)
-    total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least = max(1.0, share * total)
-    frequent = counts.filter(F.col("c") >= least).toArrow()  # 1 / share rows at most
-    words, count = frequent["key"].to_numpy().view(np.uint64), frequent["c"].to_numpy()
-    order = np.argsort(words)
-    words, count = words[order], count[order]
-    unit = float(total + ADD * (kinds + 1))
-
-    def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool = PairCounts()
-        for _, texts in blocks(batches, "text"):
-            tokens, owner = token_stream(split_words(texts, lower=True))
-            yield from pool.add(histories(tokens, owner), tokens)
-        yield from pool.flush()
-
-    pairs = stored(train.mapInArrow(pairs_of, "l long, r long, c long").groupBy("l", "r").agg(F.sum("c").alias("c")), "pairs", free=True)
-    # every word of the training rows is some pair's left word, if only as the end before the first
-    follow = stored(counts.join(pairs.groupBy(F.col("l").alias("key")).agg(F.count("*").alias("n")), "key"), "follow")
-    table = follow.filter(F.col("c") >= least).select("key", "n").toArrow().sort_by("key")
-    follows = np.empty(len(words), np.int64)
-    follows[np.searchsorted(words, table["key"].to_numpy().view(np.uint64))] = table["n"].to_numpy()
-    known = spark.sparkContext.broadcast((words, count, follows))
-
-    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Key and count of a pair, n and u of the words that are frequent, and the words that are not."""
-        w, c, n = known.value
-        for batch in batches:
-            l, r = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
-            at, to = _find(w, l), _find(w, r)
-            rare_l, rare_r = at < 0, to < 0
-            have_n = n[at].astype(np.float64) if len(w) else np.zeros(len(l))
-            have_u = (c[to] + ADD) / unit if len(w) else np.zeros(len(l))
-            columns = [pa.array(signed(pair_keys(l, r))), batch.column(2), pa.array(have_n, mask=rare_l), pa.array(have_u, mask=rare_r), pa.array(signed(l), mask=~rare_l), pa.array(signed(r), mask=~rare_r)]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "c", "n", "u", "l", "r"])
-
-    pair = pairs.mapInArrow(weighed, "key long, c long, n double, u double, l long, r long")
-    kept = pairs.filter(F.col("c") >= least).toArrow()  # 1 / share rows at most
-    l, r = (kept[k].to_numpy().view(np.uint64) for k in "lr")
-    machine = build(words, count, total, kinds, _find(words, l), pair_keys(l, r), _find(words, r), kept["c"].to_numpy(), follows)
-    sent = spark.sparkContext.broadcast(machine)
-
-    # what the automaton lacks: u of a rare word, its failure arc f, and the gain d of a pair over its backoff
-    rare = follow.filter(F.col("c") < least)
-    rest = pair.filter(F.col("c") < least)
-    by_left = rare.select(F.col("key").alias("l"), F.col("n").cast("double").alias("__n"))
-    by_right = rare.select(F.col("key").alias("r"), ((F.col("c") + F.lit(ADD)) / F.lit(unit)).alias("__u"))
-    left = rest.filter("l is not null").join(by_left, "l").select("key", "c", F.col("__n").alias("n"), "u", "r")
-    left = left.union(rest.filter("l is null").select("key", "c", "n", "u", "r"))
-    right = left.filter("r is not null").join(by_right, "r").select("key", "c", "n", F.col("__u").alias("u"))
-    right = right.union(left.filter("r is null").select("key", "c", "n", "u"))
-    gain = F.log10(1 + (F.col("c") - F.lit(DISCOUNT)) / (F.lit(DISCOUNT) * F.col("n") * F.col("u")))
-    null = F.lit(None).cast("double")
-    weights = right.select("key", null.alias("u"), null.alias("f"), gain.alias("d"))
-    fail = F.log10(F.lit(DISCOUNT) * F.col("n") / F.col("c"))
-    weights = weights.union(rare.select("key", F.log10((F.col("c") + F.lit(ADD)) / F.lit(unit)), fail, null))
-    whole = least <= 1
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row a text (with a head), and one for each of its rare words and each pair without an arc.
-
-        ku, kf and kd are how often the key counts as a word, a history and a pair. The key of a
-        head is arbitrary and counts as nothing.
-        """
-        m, seen, part = sent.value, 0, TaskContext.get().partitionId()
-        names_ = ["row", "key", "ku", "kf", "kd", "head"]
-        for batch, texts in blocks(batches, "text"):
-            tokens, owner = token_stream(split_words(texts, lower=True))
-            n = len(texts)
-            full, root, found = m.walk(tokens, owner)
-            before = histories(tokens, owner)
-            rare_, lost = m.state(tokens) < 0, m.state(before) < 0
-            size = np.bincount(owner, minlength=n)
-            known_ = size - np.bincount(owner, rare_, n).astype(np.int64)
-            row = (np.int64(part) << 36) + seen + np.arange(n)
-            seen += n
-            head = pa.StructArray.from_arrays([*batch.columns[1:], pa.array(size.astype(np.int64)), pa.array(known_), pa.array(np.bincount(owner, root, n)), pa.array(np.bincount(owner, full, n))], names=[*inner, "size", "known", "base", "full"])
-            zero = pa.array(np.zeros(n, np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(signed(mix(row.view(np.uint64)))), zero, zero, zero, head], names=names_)
-            # with least = 1 the automaton has every pair there is
-            asks = [(tokens, rare_, 0)] if whole else [(tokens, rare_, 0), (before, lost, 1), (None, ~found, 2)]
-            for key, which, kind in asks:
-                which = np.flatnonzero(which)
-                if not len(which):
-                    continue
-                t, o = pair_keys(before[which], tokens[which]) if key is None else key[which], owner[which]
-                by = np.lexsort((t, o))
-                t, o = t[by], o[by]
-                first = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (o[1:] != o[:-1])]))
-                times = pa.array(np.diff(np.append(first, len(t))).astype(np.int32))
-                none = pa.array(np.zeros(len(first), np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(row[o[first]]), pa.array(signed(t[first])), *[times if k == kind else none for k in range(3)], pa.nulls(len(first), head.type)], names=names_)
-
-    inner = [f"c{k}" for k in range(len(names))]
-    rows = docs.select(body, *[column(docs, c).alias(i) for c, i in zip(names, inner, strict=True)])
-    fields = ", ".join([*[f"{i}: {f.dataType.simpleString()}" for i, f in zip(inner, rows.schema.fields[1:], strict=True)], "size: bigint, known: bigint, base: double, full: double"])
-    parts = rows.mapInArrow(scored, f"row long, key long, ku int, kf int, kd int, head struct<{fields}>")
-    joined = parts.join(weights, "key", "left")
-    unseen = math.log10(ADD / unit)
-    base = F.col("ku") * F.coalesce("u", F.lit(unseen))
-    more = base + F.col("kf") * F.coalesce("f", F.lit(0.0)) + F.col("kd") * F.coalesce("d", F.lit(0.0))
-    sums = joined.groupBy("row").agg(F.max_by("head", F.col("head").isNotNull()).alias("h"), F.sum(base).alias("base"), F.sum(more).alias("more"), F.coalesce(F.sum(F.when(F.col("u").isNotNull(), F.col("ku"))), F.lit(0)).alias("known"))
-    out = sums.select(*[F.col(f"h.{i}").alias(c) for i, c in zip(inner, names, strict=True)], F.col("h.size").alias("n_tokens"), (F.col("h.known") + F.col("known")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("h.base") + F.col("base")).alias("base_score"), (F.col("h.full") + F.col("more")).alias("score"))
-    return out
+    inner = ["learn", *[f"c{k}" for k in range(len(names))]]
+    learn = F.coalesce(training, F.lit(False))
+    own = [column(docs, c) for c in names]
+    hashed = [c for c, n in zip(own, names, strict=True) if "map<" not in docs.schema[n].dataType.simpleString()]
+    texts = corpus(docs, column(docs, text).cast("string"), [learn, *own], [learn, *hashed], inner)
+
+    def questions(part: Part) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        g = grams(part.texts)
+        learned = part.columns[0].to_numpy(zero_copy_only=False).astype(bool)[g.owner]
+        for kind in range(3):
+            n = np.bincount(g.at[kind][learned & (g.at[kind] >= 0)], minlength=len(g.keys[kind]))
+            yield kind, g.keys[kind], n
+
+    answers = texts.ask(questions, "ngrams")
+    kinds, total = answers.filter("kind = 0").agg(F.coalesce(F.sum("keys_seen"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+
+    def scored(part: Part) -> Iterator[pa.RecordBatch]:
+        g = grams(part.texts)
+        none = np.zeros(0, np.uint64)
+        m = Automaton(g, [part.answers.get(k, none) for k in range(3)], total, kinds)
+        at, size, n = g.at[0], np.diff(g.first), len(part.texts)
+        known = np.bincount(g.owner, m.there[0][at], n).astype(np.int64)
+        base, score = np.bincount(g.owner, m.arcs[0][at], n), np.bincount(g.owner, m.walk(), n)
+        columns = [*part.columns[1:], pa.array(size.astype(np.int64)), pa.array(known), pa.array(np.full(n, total, np.int64)), pa.array(base), pa.array(score)]
+        yield pa.RecordBatch.from_arrays(columns, names=inner[1:] + added)
+
+    fields = "".join(f"{i} {texts.rows.schema[i].dataType.simpleString()}, " for i in inner[1:])
+    return texts.map(scored, fields + "n_tokens long, n_known long, train_tokens long, base_score double, score double", answers).toDF(*names, *added)
 
 
 def held_out(key: str = "doc_id"):

@@ -9,9 +9,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from codeloom.llm._tables import column
+from codeloom.llm._tables import carry
 from codeloom.llm._text import blocks
 
 #: Chunks that a task's table keeps from one block of texts to the next; a fuller one is begun anew.
@@ -87,13 +86,12 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", keep: li
     with open(model_path, "rb") as f:
         proto = docs.sparkSession.sparkContext.broadcast(f.read())
     added = ["n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"])]
-    names = [c for c in (keep if keep is not None else docs.columns) if c not in added]
-    rows = docs.select(column(docs, text).cast("string").alias("__text"), *[column(docs, c) for c in names])
+    kept = carry(docs, text, keep, added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ChunkTable(proto.value)
         begin, end = (np.array([x], "<u4").tobytes() for x in (table.model.bos_id(), table.model.eos_id()))
-        for batch, texts in blocks(batches, "__text"):
+        for batch, texts in blocks(batches, "text"):
             out = table.encode([t.decode() if t else "" for t in texts])
             ids = [begin + i + end for i, _ in out]
             columns = [pa.array([len(i) // 4 for i in ids], pa.int64())]
@@ -103,10 +101,10 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", keep: li
                 flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
                 offsets = np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids])]).astype(np.int32)
                 columns += [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([d for _, d in out], pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], names=names + added)
+            arrays = [*kept.take(batch), *columns]
+            yield pa.RecordBatch.from_arrays(arrays, names=[str(k) for k in range(len(arrays))])
 
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, kept + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "n_tokens long, ids array<int>, decoded string"))
+    return kept.named(kept.rows.mapInArrow(run, kept.schema + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "n_tokens long, ids array<int>, decoded string")), added)
 
 
 def model_file() -> str:

@@ -7,10 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from codeloom.llm._suffix import common_prefixes, longest_repeats, suffix_array
-from codeloom.llm._tables import column
+from codeloom.llm._tables import carry
 from codeloom.llm._text import blocks, per_text, spans_to_mask, split_words
 
 #: Repeats of at least so many words count towards the covered fraction.
@@ -100,21 +99,21 @@ def quality_rules(docs: DataFrame, text: str = "text", keep: list[str] | None =
     is `max_longest` words or longer.
 
     A null or empty text has no words and is not kept. Repeated rows are judged alike. Columns of
-    the input that share a name with a rule column are left out in its favour. No shuffle.
+    the input that share a name with a rule column are left out in its favour; other names don't
+    clash. An empty table has no rows. No shuffle.
     """
     own = [x.split()[0] for x in _SCHEMA.replace("array<struct<start:long,end:long>>", "x").split(", ")]
-    names = [c for c in (keep if keep is not None else docs.columns) if c not in own]
-    rows = docs.select(column(docs, text).cast("string").alias("__text"), *[column(docs, c) for c in names])
+    kept = carry(docs, text, keep, own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in blocks(batches, "__text"):
+        for batch, texts in blocks(batches, "text"):
             out = judge(texts, min_repeat, max_covered, max_longest, spans)
             found = pa.array(out[8], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
             columns = [pa.array(x) for x in (*out[:8],)] + [found, pa.array(out[9])]
-            yield pa.RecordBatch.from_arrays(batch.columns[1:] + columns, names=names + own)
+            arrays = kept.take(batch) + columns
+            yield pa.RecordBatch.from_arrays(arrays, names=[str(k) for k in range(len(arrays))])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, f"{kept}, {_SCHEMA}" if kept else _SCHEMA)
+    return kept.named(kept.rows.mapInArrow(run, kept.schema + _SCHEMA), own)
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:

@@ -8,16 +8,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from codeloom.llm._tables import column, stored
-from codeloom.llm._text import Words, blocks, mix, signed, spans_to_mask, split_words, windows
+from codeloom.llm._exchange import Part, corpus
+from codeloom.llm._tables import column
+from codeloom.llm._text import Words, per_text, spans_to_mask, split_words, windows
 
 #: Words of a window, and the period of the cover: anchors have WINDOW - PERIOD + 1 words.
 WINDOW, PERIOD = 35, 21
-#: Places that a task holds to find repeats of its own before it sends them on.
-POOL = 1_500_000
 
 
 def difference_cover(period: int) -> list[int]:
@@ -34,68 +32,41 @@ def difference_cover(period: int) -> list[int]:
         size += 1
 
 
-class Pool:
-    """Places with a key each; those whose key repeats inside the pool are known at once.
+class Windows:
+    """The anchors of a part, and the windows around anchors that stand elsewhere too."""
+
+    def __init__(self, texts: list[bytes | None], window: int, period: int, cover: np.ndarray):
+        self.words = w = split_words(texts)
+        self.window, self.period = window, period
+        short = window - period + 1
+        h = windows(w.hash, short)
+        owner = w.text[: len(h)]
+        place = np.arange(len(h)) - w.first[owner]
+        self.at = np.flatnonzero(cover[place % period] & (place + short <= w.counts[owner]) & (w.counts[owner] >= window))
+        self.anchors, self.which, self.times = np.unique(h[self.at], return_inverse=True, return_counts=True)
+
+    def near(self, seen: np.ndarray) -> np.ndarray:
+        """Where windows begin that hold an anchor seen twice or more: at the anchor or up to period - 1 words before it."""
+        w = self.words
+        hot = self.at[seen[self.which] > 1] if len(seen) else self.at[:0]
+        owner = w.text[hot]
+        low = np.maximum(hot - self.period + 1, w.first[owner])
+        high = np.minimum(hot, w.first[owner] + w.counts[owner] - self.window) + 1
+        ok = low < high
+        return np.flatnonzero(spans_to_mask(low[ok], high[ok], len(w.hash)))
+
+    def whole(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct windows that begin at `near`, which one each is, and how often it does."""
+        return np.unique(windows(self.words.hash, self.window)[near], return_inverse=True, return_counts=True)
+
+
+def _joined(w: Words, t: int, gone: np.ndarray) -> bytes:
+    """The words of a text that stay, joined by one space."""
+    left = np.flatnonzero(~gone[w.first[t] : w.first[t + 1]]) + w.first[t]
+    return b" ".join([w.data[s:e] for s, e in zip(w.start[left].tolist(), w.end[left].tolist(), strict=True)])
 
-    Rows (key, doc, span): a place whose key is alone here; a key that repeats here, once, with no
-    place; a known place under a key of its own, with a negative span, neighbours as one. So a key
-    that fills the corpus is sent once a pool, and its places go to as many tasks as they like.
-    """
 
-    def __init__(self, reach: int):
-        self.reach, self.held, self.size = reach, [], 0
-
-    def add(self, key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.held.append((key, doc, place))
-        self.size += len(key)
-        if self.size >= POOL:
-            yield from self.flush()
-
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        if not self.size:
-            return
-        key, doc, place = (np.concatenate(x) for x in zip(*self.held, strict=True))
-        self.held, self.size = [], 0
-        unique, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-        many = count[inverse] > 1
-        lo = np.maximum(place - self.reach + 1, 0)
-        span = (lo << 31) | (place + 1)
-        d, a, b = doc[many], lo[many], place[many] + 1
-        head = np.ones(len(d), bool)
-        head[1:] = (d[1:] != d[:-1]) | (a[1:] > b[:-1]) | (a[1:] < a[:-1])
-        first = np.flatnonzero(head)
-        last = np.append(first[1:], len(d)) - 1 if len(d) else first
-        sure = -((a[first] << 31) | b[last])
-        alone, marks = ~many, unique[count > 1]
-        keys = np.concatenate([key[alone], marks, mix(d[first].astype(np.uint64) ^ mix(a[first].astype(np.uint64)))])
-        docs = np.concatenate([doc[alone], np.zeros(len(marks), np.int64), d[first]])
-        spans = np.concatenate([span[alone], np.zeros(len(marks), np.int64), sure])
-        for at in range(0, len(keys), 1 << 17):
-            part = slice(at, at + (1 << 17))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(keys[part])), pa.array(docs[part]), pa.array(spans[part])], names=["key", "doc", "span"])
-
-
-def _repeated(rows: DataFrame, name: str) -> DataFrame:
-    """For every doc, the spans of places whose key stands in another row too."""
-    same = Window.partitionBy("key").orderBy("doc")
-    rows = rows.select("doc", "span", (F.lag("key").over(same).isNotNull() | F.lead("key").over(same).isNotNull()).alias("again"))
-    known = rows.filter("span < 0 or (span > 0 and again)").select("doc", F.abs("span").alias("span"))
-    return known.groupBy("doc").agg(F.collect_list("span").alias(name))
-
-
-def _places(lists: pa.Array, w: Words, first: np.ndarray, limit: np.ndarray) -> np.ndarray:
-    """Which words of the block lie in any of their text's spans (before its limit)."""
-    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-    size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    owner = np.repeat(np.arange(len(size)), size)
-    lo, hi = flat >> 31, np.minimum(flat & (2**31 - 1), np.maximum(limit, 0)[owner])
-    ok = lo < hi
-    base = first[:-1][owner[ok]]
-    return spans_to_mask(base + lo[ok], base + hi[ok], len(w.hash))
-
-
-def substring_dedup(docs: DataFrame, text: str = "text", keep: list[str] | None = None, window: int = WINDOW, period: int = PERIOD, removed_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, text: str = "text", keep: list[str] | None = None, window: int = WINDOW, period: int = PERIOD, digests: bool = True, kept_text: str | None = None) -> DataFrame:
     """The columns `keep` (all by default) of every row, then n_words, n_removed, kept_sha256.
 
     A word is removed if a window of `window` words that covers it starts anywhere else too, in
@@ -103,78 +74,53 @@ def substring_dedup(docs: DataFrame, text: str = "text", keep: list[str] | None
     in the text, modulo the period, lies on a difference cover: two equal windows always share
     an anchor at one shift. Texts are then extended around shared anchors: each window that holds
     one is hashed whole, and removed if its words stand elsewhere. kept_sha256 is over the kept
-    words joined by one space; with `removed_text`, `__kept` holds those words (the text as it is
-    where nothing was removed; null for null).
+    words joined by one space (left out without `digests`); `kept_text` names a column for the
+    kept words so joined (the text as it is where nothing was removed; null for null).
 
     A null or empty text has no words; a text shorter than the window loses nothing; repeated rows
     are each other's copies. Input columns named like an output give way. Keys are 64-bit hashes.
-    Three shuffles: anchors, texts (once) and candidate windows; a hot key is sent once a task.
+    Texts are dealt to parts of bounded size; anchors and then windows are counted over the whole
+    corpus, each once for a part however often it stands there, so no passage is a hot spot.
     """
-    added = ["n_words", "n_removed", "kept_sha256"] + ["__kept"] * removed_text
+    added = ["n_words", "n_removed", *["kept_sha256"] * digests, *([kept_text] if kept_text else [])]
     names = [c for c in (keep if keep is not None else docs.columns) if c not in added]
     inner = [f"c{k}" for k in range(len(names))]
-    body = column(docs, text).cast("string")
-    # rows of one text fare alike; the other columns only spread its copies over tasks
-    identity = F.xxhash64(body, *[column(docs, c) for c in names if "map<" not in docs.schema[c].dataType.simpleString()])
-    rows = docs.select(identity.alias("doc"), body.alias("text"), *[column(docs, c).alias(i) for c, i in zip(names, inner, strict=True)])
+    own = [column(docs, c) for c in names]
+    hashed = [c for c, n in zip(own, names, strict=True) if "map<" not in docs.schema[n].dataType.simpleString()]
+    texts = corpus(docs, column(docs, text).cast("string"), own, hashed, inner)
     cover = np.isin(np.arange(period), difference_cover(period))
-    short = window - period + 1
-    schema = "key long, doc long, span long"
-
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool = Pool(period)
-        for batch, texts in blocks(batches, "text"):
-            w = split_words(texts)
-            h = windows(w.hash, short)
-            at = np.arange(len(h))
-            text_, place = w.text[: len(h)], at - w.first[w.text[: len(h)]]
-            fits = cover[place % period] & (place + short <= w.counts[text_]) & (w.counts[text_] >= window)
-            doc = batch.column(0).to_numpy()
-            yield from pool.add(h[fits], doc[text_[fits]], place[fits])
-        yield from pool.flush()
-
-    shared = stored(_repeated(rows.select("doc", "text").mapInArrow(anchors, schema), "near"), "anchors", free=True)
-    texts = rows.join(shared, "doc", "left")
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool = Pool(1)
-        for batch, block in blocks(batches, "text"):
-            w = split_words(block)
-            near = _places(batch.column(2), w, w.first, w.counts - window + 1)
-            h = windows(w.hash, window)
-            at = np.flatnonzero(near)
-            doc = batch.column(0).to_numpy()
-            yield from pool.add(h[at], doc[w.text[at]], at - w.first[w.text[at]])
-        yield from pool.flush()
-
-    candidates = texts.filter("near is not null").select("doc", "text", "near").mapInArrow(whole, schema)
-    found = _repeated(candidates, "far")
-    full = texts.join(found, "doc", "left").select("text", "far", *inner)
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, block in blocks(batches, "text"):
-            w = split_words(block)
-            start = _places(batch.column(1), w, w.first, w.counts)
-            at = np.flatnonzero(start)
-            gone = spans_to_mask(at, at + window, len(w.hash))
-            total = np.concatenate([np.zeros(1, np.int64), np.cumsum(gone)])
-            lost = total[w.first[1:]] - total[w.first[:-1]]
-            digest, kept = [], []
-            for t, body in enumerate(block):
-                if lost[t]:
-                    left = np.flatnonzero(~gone[w.first[t] : w.first[t + 1]]) + w.first[t]
-                    words = b" ".join([w.data[s:e] for s, e in zip(w.start[left].tolist(), w.end[left].tolist(), strict=True)])
-                else:
-                    words = b" ".join((body or b"").split())
-                digest.append(hashlib.sha256(words).hexdigest())
-                if removed_text:
-                    kept.append(None if body is None else (words if lost[t] else body).decode())
-            columns = [*batch.columns[2:], pa.array(w.counts.astype(np.int64)), pa.array(lost), pa.array(digest, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.string())] * removed_text, names=inner + added)
-
-    kinds = "".join(f"{i} {f.dataType.simpleString()}, " for i, f in zip(inner, full.schema.fields[2:], strict=True))
-    out = full.mapInArrow(finish, kinds + "n_words long, n_removed long, kept_sha256 string" + ", __kept string" * removed_text)
-    return out.toDF(*names, *added)
+    none = np.zeros(0, np.uint64)
+
+    def anchors(part: Part) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        x = Windows(part.texts, window, period, cover)
+        yield 0, x.anchors, x.times
+
+    def wholes(part: Part) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        x = Windows(part.texts, window, period, cover)
+        keys, _, times = x.whole(x.near(part.answers.get(0, none)))
+        yield 1, keys, times
+
+    shared = texts.ask(anchors, "anchors")
+    copied = texts.ask(wholes, "windows", shared)
+
+    def finish(part: Part) -> Iterator[pa.RecordBatch]:
+        x = Windows(part.texts, window, period, cover)
+        w, near = x.words, x.near(part.answers.get(0, none))
+        at = near[part.answers[1][x.whole(near)[1]] > 1] if len(near) else near
+        gone = spans_to_mask(at, at + window, len(w.hash))
+        lost = per_text(gone, w)
+        columns = [*part.columns, pa.array(w.counts.astype(np.int64)), pa.array(lost)]
+        if digests:
+            columns.append(pa.array([hashlib.sha256(_joined(w, t, gone) if lost[t] else b" ".join((body or b"").split())).hexdigest() for t, body in enumerate(part.texts)], pa.string()))
+        if kept_text:
+            columns.append(pa.array([_joined(w, t, gone) if lost[t] else body for t, body in enumerate(part.texts)], pa.binary()).cast(pa.string()))
+        out = pa.RecordBatch.from_arrays(columns, names=[*inner, *[f"o{k}" for k in range(len(added))]])
+        for k in range(0, len(out), 1024):
+            yield out.slice(k, 1024)
+
+    kinds = "".join(f"{i} {texts.rows.schema[i].dataType.simpleString()}, " for i in inner)
+    kinds += ", ".join(f"o{k} {'long' if k < 2 else 'string'}" for k in range(len(added)))
+    return texts.map(finish, kinds, shared, copied).toDF(*names, *added)
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm._tables import column
+from codeloom.llm._tables import carry, column, discard, stored
 from codeloom.llm._text import NOT_ALNUM, blocks, hash_spans, split_words
 
 #: Hash slots of terms, and factors of a term.
 SLOTS, FACTORS = 1 << 18, 4
-#: Labelled texts that the machine is fitted on: a bounded sample by hash of the id.
-MAX_LABELLED = 12_000
+#: Labelled texts that the machine is fitted on, and terms of them: a bounded sample in the order of a hash of the id.
+MAX_LABELLED, MAX_TERMS = 12_000, 24_000_000
 #: Passes over the sample, step size, weight decay and texts in a step.
 EPOCHS, RATE, L2, BATCH = 10, 0.05, 1e-4, 64
 #: What a pass takes off a linear weight, over all its steps: weights that only follow noise stay 0.
@@ -117,11 +117,13 @@ def fit(terms: np.ndarray, first: np.ndarray, labels: np.ndarray, slots: int = S
     return m
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", max_labelled: int = MAX_LABELLED) -> FactorizationMachine:
-    """Fit on at most `max_labelled` labelled rows with a text, chosen by hash of the key.
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", max_labelled: int = MAX_LABELLED, max_terms: int = MAX_TERMS) -> FactorizationMachine:
+    """Fit on at most `max_labelled` labelled texts with at most `max_terms` distinct terms in all, first in the order of a hash of the key.
 
     Rows whose label or key is null are passed over; a key labelled twice counts as labelled 1 if
-    any row says so. The sample's keys are broadcast (a proven bound), so no text is shuffled.
+    any row says so, and of a key with several texts the least is learned from. Without labelled
+    texts every score is 0.5. The sample's keys are broadcast (a proven bound), so only its own
+    texts are shuffled; the driver reads their terms.
     """
     chosen = labels.select(column(labels, key).alias("k"), column(labels, label).cast("double").alias("y")).dropna().groupBy("k").agg(F.max("y").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("k"), "k").limit(max_labelled)
@@ -132,9 +134,14 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
             terms, first = text_terms(block)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(batch.column(1), pa.float64()), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(terms.astype(np.int32)))], names=["k", "y", "terms"])
 
-    joined = texts.join(F.broadcast(chosen), "k").select("k", "y", "t")
+    joined = texts.join(F.broadcast(chosen), "k").groupBy("k", "y").agg(F.min("t").alias("t"))
     kind = joined.schema["k"].dataType.simpleString()
-    rows = joined.mapInArrow(run, f"k {kind}, y double, terms array<int>").toArrow().sort_by("k")
+    learned = stored(joined.mapInArrow(run, f"k {kind}, y double, terms array<int>").select("*", F.xxhash64("k").alias("at")), "terms")
+    sizes = learned.select("at", F.size("terms").alias("n")).toArrow().sort_by("at")  # max_labelled narrow rows
+    within = np.cumsum(sizes["n"].to_numpy(), dtype=np.int64) <= max_terms
+    last = sizes["at"].to_numpy()[within].max(initial=-(2**63))
+    rows = learned.filter(F.col("at") <= F.lit(int(last))).toArrow().sort_by([("at", "ascending"), ("k", "ascending")])
+    discard(learned)
     y = (rows["y"].to_numpy() > 0.5).astype(float)
     lists = rows["terms"].combine_chunks()
     flat = lists.flatten().to_numpy().astype(np.int64)
@@ -147,20 +154,20 @@ def score_toxicity(docs: DataFrame, machine: FactorizationMachine, text: str = "
 
     All distinct terms of the whole text that were learned count. A null or empty text has no terms: its score is the
     machine's bias alone. Repeated rows score alike. Input columns named score or predicted give
-    way. No shuffle; the broadcast machine has a fixed size.
+    way, other names don't clash; an empty table has no rows. No shuffle; the broadcast machine has a fixed size.
     """
-    names = [c for c in (keep if keep is not None else docs.columns) if c not in ("score", "predicted")]
-    rows = docs.select(column(docs, text).cast("string").alias("__text"), *[column(docs, c) for c in names])
+    added = ["score", "predicted"]
+    kept = carry(docs, text, keep, added)
     sent = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.w.astype(np.float32), machine.v.astype(np.float32), machine.known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = FactorizationMachine(*sent.value)
-        for batch, texts in blocks(batches, "__text"):
+        for batch, texts in blocks(batches, "text"):
             score = m.score(*text_terms(texts)).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
+            arrays = [*kept.take(batch), pa.array(score), pa.array((score >= threshold).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[str(k) for k in range(len(arrays))])
 
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, kept + "score double, predicted int")
+    return kept.named(kept.rows.mapInArrow(run, kept.schema + "score double, predicted int"), added)
 
 
 def held_out(key: str = "doc_id"):

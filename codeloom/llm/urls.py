@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from codeloom.llm._tables import column
+from codeloom.llm._tables import carry, stored
 
-#: Rules in one broadcast trie; longer lists are matched in several rounds.
-MAX_RULES = 500_000
+#: Rules in one broadcast trie, and characters of them: a trie takes some 1.7 KB a rule in a worker. Longer lists take rounds.
+MAX_RULES, MAX_RULE_BYTES = 50_000, 4 << 20
 ALLOW, BLOCK = "allow", "block"
 #: (host, path, verdict)
 RULES = [("org", "/", ALLOW), ("example.org", "/es/", BLOCK), ("example.org", "/en/1", ALLOW), ("com", "/fr/", ALLOW), ("com", "/de/", BLOCK)]
@@ -80,42 +80,59 @@ class Trie:
         return best
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", keep: list[str] | None = None, default: str = ALLOW, max_rules: int = MAX_RULES) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", keep: list[str] | None = None, default: str = ALLOW, max_rules: int = MAX_RULES, max_bytes: int = MAX_RULE_BYTES) -> DataFrame:
     """The columns `keep` (all by default) of every row, then host, path, rule and verdict.
 
     A rule fits its host and all subdomains if the url's path starts with the rule's path. The rule
     with most host labels holds, then the longest path, then block before allow. Without a fitting
     rule `rule` is null and the verdict is `default`. A null url, or one without `://`, has an empty
-    host and path, which no rule fits. Input columns named like an output give way. No shuffle.
+    host and path, which no rule fits. Input columns named like an output give way, other names
+    don't clash; an empty table has no rows. No shuffle.
+
+    Lists beyond `max_rules` rules or `max_bytes` of them are matched in rounds: each round but the
+    last is stored with the best rule so far, and its trie is given up before the next is built.
     """
     added = ["host", "path", "rule", "verdict"]
-    names = [c for c in (keep if keep is not None else pages.columns) if c not in added]
-    out = pages.select(column(pages, url).cast("string").alias("__url"), *[column(pages, c) for c in names])
-    out = out.selectExpr("*", "cast(null as int) __labels", "cast(null as int) __length", "cast(null as string) __rule", "cast(null as string) __verdict")
-    ordered = sorted(rules)
-    for at in range(0, max(1, len(ordered)), max_rules):
-        trie = pages.sparkSession.sparkContext.broadcast(Trie(ordered[at : at + max_rules]))
-
-        def run(batches: Iterator[pa.RecordBatch], trie=trie) -> Iterator[pa.RecordBatch]:
+    kept = carry(pages, url, keep, added)
+    spark, width = pages.sparkSession, len(kept.rows.columns)
+    best = "labels int, length int, rule string, verdict string"
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.rows.schema.fields)
+    out, tries = kept.rows, list(_rounds(sorted(rules), max_rules, max_bytes))
+    for turn, some in enumerate(tries):
+        trie, last = spark.sparkContext.broadcast(Trie(some)), turn == len(tries) - 1
+
+        def run(batches: Iterator[pa.RecordBatch], trie=trie, last=last, turn=turn) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                before = zip(*[c.to_pylist() for c in batch.columns[width:]], strict=True) if turn else [(None,) * 4] * len(batch)
+                parts = [split_url(u) for u in batch.column(0).to_pylist()]
                 rows = []
-                for u, a, b, r, v in zip(batch.column(0).to_pylist(), *[c.to_pylist() for c in batch.columns[-4:]], strict=True):
-                    old = None if a is None else (a, b, r, v)
-                    new = trie.value.match(*split_url(u))
-                    rows.append(max((x for x in (old, new) if x), key=lambda x: (x[0], x[1], x[3] == BLOCK), default=(None,) * 4))
-                columns = [pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, list(batch.schema)[-4:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-4], *columns], schema=batch.schema)
-
-        out = out.mapInArrow(run, out.schema)
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [split_url(u) for u in batch.column(0).to_pylist()]
-            verdict = [v or default for v in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:-4], pa.array([h for h, _ in parts], pa.string()), pa.array([p for _, p in parts], pa.string()), batch.column(batch.num_columns - 2), pa.array(verdict, pa.string())], names=names + added)
-
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in out.schema.fields[1:-4])
-    return out.mapInArrow(finish, kept + "host string, path string, rule string, verdict string")
+                for (host, path), old in zip(parts, before, strict=True):
+                    new = trie.value.match(host, path)
+                    rows.append(max((x for x in (old, new) if x and x[0] is not None), key=lambda x: (x[0], x[1], x[3] == BLOCK), default=(None,) * 4))
+                rule, verdict = pa.array([r[2] for r in rows], pa.string()), [r[3] for r in rows]
+                if last:
+                    arrays = [*kept.take(batch), pa.array([h for h, _ in parts], pa.string()), pa.array([p for _, p in parts], pa.string()), rule, pa.array([v or default for v in verdict], pa.string())]
+                else:
+                    arrays = [*batch.columns[:width], pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), rule, pa.array(verdict, pa.string())]
+                yield pa.RecordBatch.from_arrays(arrays, names=[str(k) for k in range(len(arrays))])
+
+        if last:
+            return kept.named(out.mapInArrow(run, kept.schema + "host string, path string, rule string, verdict string"), added)
+        out = stored(out.mapInArrow(run, f"{kinds}, {best}"), "rules")
+        trie.destroy()
+
+
+def _rounds(rules: list[tuple[str, str, str]], max_rules: int, max_bytes: int) -> Iterator[list[tuple[str, str, str]]]:
+    """Runs of rules within both bounds; one empty run for no rules at all."""
+    held, size = [], 0
+    for rule in rules:
+        more = len(rule[0]) + len(rule[1])
+        if held and (len(held) == max_rules or size + more > max_bytes):
+            yield held
+            held, size = [], 0
+        held.append(rule)
+        size += more
+    yield held
 
 
 def op5_url_filter(spark, sf_dir: str) -> DataFrame:

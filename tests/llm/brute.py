@@ -1,8 +1,10 @@
 """Plain Python versions of the operators, for small inputs."""
 
 import hashlib
+import math
 import re
 from collections import Counter
+from functools import cache
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -38,15 +40,24 @@ def quality(text, min_repeat, max_covered, max_longest):
 def contamination(text, items, window=10):
     w = ALNUM.findall(lower(text))
     hit, found = set(), set()
+    for size, phrases in _phrases(tuple(items), window).items():
+        for i in range(len(w) - size + 1):
+            names = phrases.get(tuple(w[i : i + size]))
+            if names:
+                hit.update(range(i, i + size))
+                found |= names
+    return len(w), hit, sorted(found)
+
+
+@cache
+def _phrases(items, window):
+    out = {}
     for name, body in items:
         b = ALNUM.findall(lower(body))
         size = min(window, len(b))
         for k in range(len(b) - size + 1 if size else 0):
-            for i in range(len(w) - size + 1):
-                if w[i : i + size] == b[k : k + size]:
-                    hit.update(range(i, i + size))
-                    found.add(str(name))
-    return len(w), hit, sorted(found)
+            out.setdefault(size, {}).setdefault(tuple(b[k : k + size]), set()).add(str(name))
+    return out
 
 
 def substrings(texts, window=35):
@@ -91,3 +102,47 @@ def components(docs, percent=75):
 
 def sha(data):
     return hashlib.sha256(data).hexdigest()
+
+
+class Trigrams:
+    """Interpolated Dirichlet smoothing over words, pairs and triples, by the definition."""
+
+    def __init__(self, texts, add, weights):
+        self.add, self.weights, self.c = add, weights, {1: Counter(), 2: Counter(), 3: Counter()}
+        for t in texts:
+            w = [b"\n", *WORD.findall(lower(t)), b"\n"]
+            for i in range(1, len(w)):
+                for k in (1, 2, 3):
+                    if i - k + 1 >= 0:
+                        self.c[k][tuple(w[i - k + 1 : i + 1])] += 1
+        self.total = sum(self.c[1].values())
+
+    def p(self, word, history):
+        if not history:
+            return (self.c[1][(word,)] + self.add) / (self.total + self.add * (len(self.c[1]) + 1))
+        k = len(history)
+        return (self.c[k + 1][(*history, word)] + self.weights[k - 1] * self.p(word, history[1:])) / (self.c[k][history] + self.weights[k - 1])
+
+    def score(self, text):
+        w = [b"\n", *WORD.findall(lower(text)), b"\n"]
+        return sum(math.log10(self.p(w[i], tuple(w[max(0, i - 2) : i]))) for i in range(1, len(w)))
+
+
+def auc(scores, labels):
+    pos, neg = [s for s, y in zip(scores, labels, strict=True) if y], [s for s, y in zip(scores, labels, strict=True) if not y]
+    return sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
+
+
+def cut(text, items):
+    """The text without its hit words and what stands between two hit words that are neighbours."""
+    if text is None:
+        return None
+    data = text.encode()
+    _, hit, _ = contamination(text, items)
+    out, at, last = [], 0, None
+    for k, m in enumerate(ALNUM.finditer(data.lower())):
+        if k in hit:
+            if last != k - 1:
+                out.append(data[at : m.start()])
+            at, last = m.end(), k
+    return (b"".join(out) + data[at:]).decode()

@@ -52,16 +52,16 @@ def test_quality(docs, none):
 def test_decontaminate(spark, docs, none):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     want = sorted(((r[4], *(lambda n, h, f: (n, len(h), f))(*brute.contamination(r[1], ITEMS))) for r in ROWS), key=str)
-    assert by_row(decontaminate.decontaminate(docs, bench, removed=True), "n_words", "n_hit", "items") == want
+    assert by_row(decontaminate.decontaminate(docs, bench, cut="less"), "n_words", "n_hit", "items") == want
     assert by_row(decontaminate.decontaminate(docs, bench, max_phrase_bytes=40), "n_words", "n_hit", "items") == want
     assert decontaminate.decontaminate(none, bench).collect() == []
     assert {r.n_hit for r in decontaminate.decontaminate(docs, bench.limit(0)).collect()} == {0}
-    cut = {r.row: r["__cut"] for r in decontaminate.decontaminate(docs, bench, removed=True).collect()}
+    cut = {r.row: r.less for r in decontaminate.decontaminate(docs, bench, cut="less").collect()}
     assert cut[0] is None and cut[1] == "" and cut[4] == "" and cut[3] == "one"
 
 
 def test_substrings(docs, none):
-    out = substring.substring_dedup(docs.drop("n_words"), removed_text=True)
+    out = substring.substring_dedup(docs.drop("n_words"), kept_text="__kept")
     want = [(r[4], len(w), len(w) - len(k), brute.sha(b" ".join(k))) for r, (w, k) in zip(ROWS, brute.substrings([r[1] for r in ROWS]), strict=True)]
     assert by_row(out, "n_words", "n_removed", "kept_sha256") == sorted(want, key=str)
     assert substring.substring_dedup(none).collect() == []
@@ -154,18 +154,54 @@ def test_lm(docs, none):
     assert {r.n_known for r in lm.lm_scores(docs, F.lit(False)).collect()} == {0}
 
 
+def test_lm_score_equals_plain_counting(docs):
+    from pyspark.sql import functions as F
+
+    got = {(r.row, r.doc_id): r.score for r in lm.lm_scores(docs, F.col("row") % 3 != 0, keep=["row", "doc_id"]).collect()}
+    model = brute.Trigrams([r[1] for r in ROWS if r[4] % 3], lm.ADD, lm.WEIGHTS)
+    for r in ROWS:
+        assert math.isclose(got[r[4], r[0]], model.score(r[1]), rel_tol=1e-9)
+
+
+def test_lm_parts_and_segments_change_no_score(docs, monkeypatch):
+    """Scores don't depend on how the corpus is cut, nor a long text's on where its segments begin."""
+    import numpy as np
+
+    from codeloom.llm import _exchange
+
+    texts = [r[1].encode() if r[1] else None for r in ROWS]
+    g = lm.grams(texts)
+    counts = [np.bincount(at[(at >= 0) & (g.owner % 3 > 0)], minlength=len(keys)).astype(np.uint64) for at, keys in zip(g.at, g.keys, strict=True)]
+    m = lm.Automaton(g, counts, int(counts[0].sum()), int((counts[0] > 0).sum()))
+    whole = m.walk()
+    for size in (3, 7, 100_000):
+        monkeypatch.setattr(lm, "SEGMENT", size)
+        assert np.array_equal(m.walk(), whole)
+    # parts are cut by bytes, whatever the batches
+    import pyarrow as pa
+
+    rows = pa.table({"shard": [0] * 6 + [3] * 4, "number": [1, 0] + [-1] * 8, "id": list(range(10)), "kind": [0, 0] + [None] * 8, "n": [_exchange.pack(np.array([5, 6])), _exchange.pack(np.array([4]))] + [None] * 8, "text": [None, None] + ["x" * 50] * 8}, pa.schema([("shard", pa.int64()), ("number", pa.int64()), ("id", pa.int64()), ("kind", pa.int32()), ("n", pa.binary()), ("text", pa.string())]))
+    monkeypatch.setattr(_exchange, "PART_BYTES", 250)
+    for size in (1, 3, 10):
+        cut = [(p.shard, p.number, len(p.texts), {k: v.tolist() for k, v in p.answers.items()}) for p in _exchange.parts(iter(rows.to_batches(size)))]
+        assert cut == [(0, 0, 2, {0: [4]}), (0, 1, 2, {0: [5, 6]}), (3, 0, 2, {}), (3, 1, 2, {})]
+
+
 def test_automaton_sums_to_one():
+    """From every state, the weights of all words and of an unknown one add up to 1."""
     import numpy as np
 
-    words, count = np.arange(1, 5, dtype=np.uint64) * 7919, np.array([10, 6, 3, 1])
-    left, right, pairs = np.array([0, 0, 1, 2]), np.array([1, 2, 0, 3]), np.array([6, 3, 5, 1])
-    m = lm.build(words, count, 20, 4, left, lm.pair_keys(words[left], words[right]), right, pairs)
-    for h in range(4):
-        total = 10 ** m.failure[h] * 0.1 / (20 + 0.1 * 5)  # the unknown word
-        for w in range(4):
-            arc = np.flatnonzero(m.arcs == lm.pair_keys(m.words[h : h + 1], m.words[w : w + 1])[0])
-            total += 10 ** m.weight[arc[0]] if len(arc) else 10 ** (m.failure[h] + m.unigram[w])
-        assert math.isclose(total, 1, rel_tol=1e-9)
+    training = [b"a b c a b d", b"b a b c", b"", b"c"]
+    kinds = [b"a", b"b", b"c", b"d"]
+    model = brute.Trigrams([t.decode() for t in training], lm.ADD, lm.WEIGHTS)
+    n, v = sum(model.c[1].values()), len(model.c[1])
+    for before in [b"", b"a", b"a b", b"b d", b"d d", b"zz a", b"a zz", b"zz"]:
+        texts = [before + b" " + w for w in [*kinds, b"unknown"]] + [before]
+        g = lm.grams([*texts, *training])
+        counts = [np.bincount(at[(at >= 0) & (g.owner >= len(texts))], minlength=len(keys)).astype(np.uint64) for at, keys in zip(g.at, g.keys, strict=True)]
+        weight = lm.Automaton(g, counts, n, v).walk()
+        k = len(before.split())
+        assert math.isclose(sum(10 ** weight[g.first[t] + k] for t in range(len(texts))), 1, rel_tol=1e-9)
 
 
 def test_toxicity_pairs_and_held_out(spark, docs, none):
@@ -185,18 +221,6 @@ def test_toxicity_pairs_and_held_out(spark, docs, none):
     assert 0 <= toxicity.train(df, df.limit(0)).score(*toxicity.text_terms([b"x", None]))[1] <= 1
 
 
-def test_lm_scores_do_not_depend_on_the_share(docs):
-    from pyspark.sql import functions as F
-
-    whole = {tuple(r[:2]): r for r in lm.lm_scores(docs, F.col("row") % 3 != 0, keep=["row", "doc_id"], share=0).collect()}
-    for share in (0.002, 0.02, 2.0):  # more words and pairs each time that the automaton lacks, at last all
-        cut = {tuple(r[:2]): r for r in lm.lm_scores(docs, F.col("row") % 3 != 0, keep=["row", "doc_id"], share=share).collect()}
-        assert set(cut) == set(whole)
-        for k, r in whole.items():
-            assert (cut[k].n_tokens, cut[k].n_known) == (r.n_tokens, r.n_known)
-            assert math.isclose(cut[k].base_score, r.base_score, rel_tol=1e-9) and math.isclose(cut[k].score, r.score, rel_tol=1e-9)
-
-
 def test_toxicity_learns_terms_that_tell_only_in_pairs():
     import numpy as np
 
@@ -210,6 +234,10 @@ def test_toxicity_learns_terms_that_tell_only_in_pairs():
     machine = toxicity.fit(*toxicity.text_terms([r[0] for r in rows[:2000]]), y[:2000])
     score = machine.score(*toxicity.text_terms([r[0] for r in rows[2000:]]))
     assert ((score >= 0.5) == y[2000:]).mean() > 0.95
+    # without its factors the machine is blind here
+    linear = toxicity.FactorizationMachine(machine.bias, machine.w, np.zeros_like(machine.v), machine.known)
+    blind = linear.score(*toxicity.text_terms([r[0] for r in rows[2000:]]))
+    assert brute.auc(score, y[2000:]) > 0.95 and brute.auc(blind, y[2000:]) < 0.6
     # words that were never learned don't thin out the pairs
     far = b" " + b" ".join(b"x%d" % k for k in range(2000))
     terms, _ = toxicity.text_terms([far])
@@ -243,3 +271,50 @@ def test_html_keeps_copies_of_an_article(spark):
     rows = [(i, f"http://{tag}.x/{i}", page(i % 2, tag)) for tag in ("article", "main") for i in range(8)]
     df = spark.createDataFrame(rows, "page_id int, url string, html string")
     assert all(r.text == want[r.page_id % 2] for r in html.extract(df).collect())
+
+
+def test_toxicity_score_equals_a_double_loop():
+    import numpy as np
+
+    own = np.random.default_rng(1)
+    machine = toxicity.FactorizationMachine(-0.3, own.normal(size=64), own.normal(size=(64, 4)), own.random(64) < 0.7)
+    texts = [b"", b"alpha beta gamma delta", b"alpha", None, b"some longer text with many words indeed"]
+    terms, first = toxicity.text_terms(texts, 64)
+    for t, got in enumerate(machine.score(terms, first)):
+        x = [i for i in terms[first[t] : first[t + 1]] if machine.known[i]]
+        pairs = sum(sum(a * b for a, b in zip(machine.v[i], machine.v[j], strict=True)) for k, i in enumerate(x) for j in x[:k])
+        z = machine.bias + sum(machine.w[i] for i in x) + (pairs / math.sqrt(len(x)) if x else 0)
+        assert math.isclose(got, 1 / (1 + math.exp(-z)), rel_tol=1e-9)
+
+
+def test_toxicity_learns_from_a_bounded_number_of_rows(spark):
+    rows = [(i % 40, f"word{i} and word{i % 7} more", i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    seen = []
+    fit = toxicity.fit
+    try:
+        toxicity.fit = lambda terms, first, y, **k: seen.append((len(y), len(terms))) or fit(terms, first, y, **k)
+        toxicity.train(df, df)
+        toxicity.train(df, df, max_labelled=10)
+        toxicity.train(df, df, max_terms=50)
+    finally:
+        toxicity.fit = fit
+    assert seen[0][0] == 40 and seen[1][0] == 10 and 0 < seen[2][1] <= 50
+
+
+CLASHES = ["__text", "__spans", "__items", "__row", "__url", "__labels", "__rule", "inner0", "kept0", "c0", "shard", "id", "key", "row", "n", "a.b"]
+
+
+def test_input_columns_that_clash_with_inner_names(spark):
+    """Columns of any name are kept as they are."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, TEXTS[i], f"http://example.org/es/{i}", *range(len(CLASHES))) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, url string, " + ", ".join(f"`{c}` int" for c in CLASHES))
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    machine = toxicity.train(df, df.withColumn("toxic", F.lit(1)).limit(0))
+    outs = [quality.quality_rules(df), decontaminate.decontaminate(df, bench), toxicity.score_toxicity(df, machine), substring.substring_dedup(df), urls.filter_urls(df, urls.RULES), jaccard.jaccard_dedup(df), pieces.encode_decode(df, pieces.model_file()), lm.lm_scores(df, F.lit(True)), html.extract(df.withColumnRenamed("text", "html"))]
+    for out in outs:
+        got = out.collect()
+        assert len(got) == (6 if out is outs[5] else 8) or out is outs[5]
+        assert all(r[c] == k for r in got for k, c in enumerate(CLASHES) if c in out.columns) and set(CLASHES) <= set(out.columns)

@@ -6,7 +6,7 @@ import brute
 import pytest
 from compare import differences
 
-from codeloom.llm import decontaminate, pieces, quality, registry, toxicity
+from codeloom.llm import pieces, quality, registry
 
 
 @pytest.mark.parametrize("name", sorted(registry.SQL))
@@ -18,23 +18,72 @@ def _docs(spark, sf_dir):
     return [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
 
 
+def _pipeline(docs, items):
+    """The texts that the pipeline keeps, by doc_id, made by plain Python."""
+    docs = [d for d in docs if brute.quality(d[1], quality.MIN_REPEAT, quality.MAX_COVERED, quality.MAX_LONGEST)["kept"]]
+    docs = [d for d, (n, c) in zip(docs, brute.components(docs), strict=True) if n == 0 or c == d[0]]
+    docs = [(k, b" ".join(kept).decode() if len(kept) < len(w) else t) for (k, t), (w, kept) in zip(docs, brute.substrings([t for _, t in docs]), strict=True)]
+    return {k: brute.cut(t, items) for k, t in docs}
+
+
 def test_pipeline_equals_brute_force(spark, sf_dir):
     import corpus_pipeline
     import sentencepiece
 
-    docs = [d for d in _docs(spark, sf_dir) if brute.quality(d[1], quality.MIN_REPEAT, quality.MAX_COVERED, quality.MAX_LONGEST)["kept"]]
-    docs = [d for d, (n, c) in zip(docs, brute.components(docs), strict=True) if n == 0 or c == d[0]]
-    docs = [(k, b" ".join(kept).decode() if len(kept) < len(w) else t) for (k, t), (w, kept) in zip(docs, brute.substrings([t for _, t in docs]), strict=True)]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     model = sentencepiece.SentencePieceProcessor(model_file=pieces.model_file())
     out = {r.doc_id: r for r in corpus_pipeline.run(spark, sf_dir).collect()}
-    assert set(out) == {k for k, _ in docs}
-    hits = {r.doc_id: r for r in decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), removed=True).collect()}
-    for k, t in docs[:60]:
-        n, hit, found = brute.contamination(t, items)
-        assert (hits[k].n_words, hits[k].n_hit, hits[k]["items"]) == (n, len(hit), found)
-    for k, _ in docs:
-        assert out[k].ids == [1, *model.encode(hits[k]["__cut"]), 2] and out[k].decoded == hits[k]["__cut"]
+    want = _pipeline(_docs(spark, sf_dir), items)
+    assert set(out) == set(want)
+    for k, t in want.items():
+        assert out[k].ids == [1, *model.encode(t), 2] and out[k].decoded == t and out[k].n_tokens == len(out[k].ids)
+
+
+def test_pipeline_on_odd_tables(spark, sf_dir, tmp_path):
+    """No rows; null ids, texts and columns, repeated rows, and columns with clashing names."""
+    import corpus_pipeline
+
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    few = docs.orderBy("doc_id").limit(30)
+    odd = few.union(few.limit(5)).union(spark.createDataFrame([(None, few.first().text + " more words", None, None, None), (999, None, "en", "x", None), (998, "", "en", "x", 0)], docs.schema))
+    for name, table in (("none", docs.limit(0)), ("odd", odd.selectExpr("*", "1 kept", "2 ids", "3 row", "4 inner0"))):
+        table.coalesce(1).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        items.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+    got = {r.doc_id: r.decoded for r in corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()}
+    rows = list(dict.fromkeys((r.doc_id, r.text) for r in odd.collect()))
+    assert got == _pipeline(rows, [(r.item_id, r.text) for r in items.collect()])
+
+
+def test_pieces_query_on_a_whole_table(spark, sf_dir):
+    import struct
+
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.model_file())
+    got = {r.doc_id: r for r in registry.QUERIES["op8_pieces"](spark, sf_dir).collect()}
+    docs = _docs(spark, sf_dir)
+    assert len(got) == len(docs)
+    for k, t in docs:
+        ids = [1, *model.encode(t or ""), 2]
+        assert got[k].n_tokens == len(ids) and got[k].ids_sha256 == brute.sha(struct.pack(f"<{len(ids)}I", *ids)) and got[k].decoded_sha256 == brute.sha(model.decode(ids).encode())
+
+
+def test_lm_query_equals_plain_counting(spark, sf_dir):
+    import math
+
+    from codeloom.llm import lm
+
+    docs = _docs(spark, sf_dir)
+    held = {k: zlib.crc32(str(k).encode()) % 10 == 0 for k, _ in docs}
+    model = brute.Trigrams([t for k, t in docs if not held[k]], lm.ADD, lm.WEIGHTS)
+    got = {r.doc_id: r for r in registry.QUERIES["op10_lm"](spark, sf_dir).collect()}
+    assert len(got) == len(docs)
+    total = sum(model.c[1].values())
+    for k, t in docs:
+        assert got[k].held_out == held[k] and got[k].train_tokens == total
+        assert math.isclose(got[k].score, model.score(t), rel_tol=1e-9)
 
 
 def test_toxicity_on_held_out_documents(spark):
