@@ -3,7 +3,7 @@
 The texts are dealt to shards by hash, and each shard is cut into parts of bounded size. A part
 sends its distinct keys, sorted and packed, to the buckets that own their ranges; a bucket adds up
 what all parts say of a key and answers each part in the order it asked, so an answer is a list of
-counts without keys. Whatever a key's frequency, a part asks for it once, so no bucket holds more
+counts without keys, each with a bit for whether other parts asked too. Whatever a key's frequency, a part asks for it once, so no bucket holds more
 of it than there are parts. A lost executor's part is dealt again alike: rows of a shard are sorted.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from codeloom.llm._tables import stored
 
 #: Bytes of text in a shard on average, and in a part at most (one longer text is a part of its own).
-SHARD_BYTES, PART_BYTES = 10 << 20, 14 << 20
+SHARD_BYTES, PART_BYTES = 7 << 20, 9 << 20
 #: Bytes of text whose keys a bucket owns, on average.
 BUCKET_BYTES = 10 << 20
 _ASK = "kind int, bucket long, shard long, part long, keys binary, n binary"
@@ -28,31 +28,39 @@ _ANSWER = "kind int, bucket long, shard long, part long, n binary, keys_seen lon
 
 
 def pack(x: np.ndarray) -> bytes:
-    """64-bit numbers by byte planes: the high planes of small numbers are zeros, which compress away."""
-    return np.ascontiguousarray(x.astype(np.uint64, copy=False).view(np.uint8).reshape(-1, 8).T).tobytes()
+    """64-bit numbers by byte planes, entropy-coded: the high planes of small numbers are zeros, which compress away."""
+    planes = np.ascontiguousarray(x.astype(np.uint64, copy=False).view(np.uint8).reshape(-1, 8).T)
+    return len(x).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(planes, asbytes=True)
 
 
 def unpack(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    size = int.from_bytes(raw[:8], "little")
+    planes = pa.Codec("zstd").decompress(raw[8:], decompressed_size=8 * size, asbytes=True) if size else b""
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
 
 @dataclass
 class Part:
-    """Rows of one shard: their carried columns, their texts, and by kind the counts that were answered."""
+    """Rows of one shard: their carried columns, their texts, and by kind the counts that were answered, and whether other parts have the key."""
 
     shard: int
     number: int
     columns: list[pa.Array]
     texts: list[bytes | None]
     answers: dict[int, np.ndarray]
+    shared: dict[int, np.ndarray]
 
 
 @dataclass
 class Corpus:
-    """Texts to be dealt: `rows` has id, shard and text, then the carried columns."""
+    """Texts to be dealt: `rows` has id, shard and text, then the carried columns.
+
+    There are as many tasks as shards, and as buckets, so what a task reads at once is bounded too.
+    """
 
     rows: DataFrame
     carried: list[str]
+    shards: int
     bits: int  # the owner of a key is its highest `bits` bits
 
     def ask(self, keys_of: Callable[[Part], Iterator[tuple[int, np.ndarray, np.ndarray]]], what: str, *given: DataFrame) -> DataFrame:
@@ -68,7 +76,7 @@ class Corpus:
                     yield from _questions(kind, part.shard, part.number, keys, n, bits)
 
         asked = self.dealt(*given).mapInArrow(run, _ASK)
-        return stored(asked.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(lambda it: _answers(it, bits), _ANSWER), what)
+        return stored(asked.repartition(1 << bits, "kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(lambda it: _answers(it, bits), _ANSWER), what)
 
     def map(self, f: Callable[[Part], Iterator[pa.RecordBatch]], schema: str, *given: DataFrame) -> DataFrame:
         """f over every part with the answers it was given."""
@@ -87,7 +95,7 @@ class Corpus:
             empty = [null.cast(self.rows.schema[c].dataType).alias(c) for c in ["text", *self.carried]]
             every = every.union(answers.select("shard", F.col("part").alias("number"), F.col("bucket").alias("id"), "kind", "n", *empty))
         # an answer's number is its part, a text's is none: nulls first would put texts first, so they carry -1 and sort down
-        return every.repartition("shard").sortWithinPartitions("shard", F.col("number").desc(), "kind", "id")
+        return every.repartition(self.shards, "shard").sortWithinPartitions("shard", F.col("number").desc(), "kind", "id")
 
 
 def corpus(docs: DataFrame, text: Column, columns: list[Column], hashed: list[Column], names: list[str], shard_bytes: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES) -> Corpus:
@@ -100,7 +108,7 @@ def corpus(docs: DataFrame, text: Column, columns: list[Column], hashed: list[Co
     shards = max(1, -(-total // shard_bytes))
     rows = docs.select(F.xxhash64(text, *hashed).alias("id"), text.alias("text"), *[c.alias(n) for c, n in zip(columns, names, strict=True)])
     rows = rows.select("id", F.pmod("id", F.lit(shards)).alias("shard"), "text", *names)
-    return Corpus(rows, names, max(0, int(-(-total // bucket_bytes) - 1).bit_length()))
+    return Corpus(rows, names, shards, max(0, int(-(-total // bucket_bytes) - 1).bit_length()))
 
 
 def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[Part]:
@@ -113,7 +121,8 @@ def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[Part]:
         got = {k: np.concatenate(v) for (p, k), v in answers.items() if p == number}
         for p, k in [x for x in answers if x[0] == number]:
             del answers[p, k]
-        return Part(shard, number, columns[1:], columns[0].to_pylist(), got)
+        counts, shared = ({k: f(v) for k, v in got.items()} for f in (lambda v: v >> np.uint64(1), lambda v: (v & np.uint64(1)).astype(bool)))
+        return Part(shard, number, columns[1:], columns[0].to_pylist(), counts, shared)
 
     for batch in batches:
         where, numbers, kinds = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3))
@@ -178,18 +187,20 @@ def _answers(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Record
 def _bucket(at: tuple[int, int] | None, held: list[tuple[int, int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
     if not held:
         return
-    keys = np.concatenate([np.cumsum(unpack(x[2]), dtype=np.uint64) for x in held])
+    asked = [np.cumsum(unpack(x[2]), dtype=np.uint64) for x in held]
+    keys = np.concatenate(asked)
     n = np.concatenate([unpack(x[3]) for x in held])
     order = np.argsort(keys, kind="stable")
     ranked = keys[order]
     head = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-    sums = np.add.reduceat(n[order], np.flatnonzero(head))
+    first = np.flatnonzero(head)
+    sums, several = np.add.reduceat(n[order], first), np.diff(np.append(first, len(keys))) > 1
     back = np.empty(len(keys), np.uint64)
-    back[order] = sums[np.cumsum(head) - 1]
-    stop = np.cumsum([len(x[2]) // 8 for x in held])
+    back[order] = (sums << np.uint64(1) | several.astype(np.uint64))[np.cumsum(head) - 1]
+    stop = np.cumsum([len(x) for x in asked])
     for i, (x, b) in enumerate(zip(held, stop.tolist(), strict=True)):
         seen, total = (int((sums > 0).sum()), int(sums.sum())) if not i else (0, 0)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int64()), pa.array([x[0]], pa.int64()), pa.array([x[1]], pa.int64()), pa.array([pack(back[b - len(x[2]) // 8 : b])], pa.binary()), pa.array([seen], pa.int64()), pa.array([total], pa.int64())],
+            [pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int64()), pa.array([x[0]], pa.int64()), pa.array([x[1]], pa.int64()), pa.array([pack(back[b - len(asked[i]) : b])], pa.binary()), pa.array([seen], pa.int64()), pa.array([total], pa.int64())],
             names=["kind", "bucket", "shard", "part", "n", "keys_seen", "total"],
         )

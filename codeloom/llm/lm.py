@@ -34,6 +34,16 @@ class Grams:
     owner: np.ndarray  # the text of each token
     first: np.ndarray  # where the tokens of each text begin (one longer)
     end: int  # END among the unigrams
+    # of each bigram its words, of each trigram the bigrams that it begins and ends with
+    history: np.ndarray
+    word: np.ndarray
+    long: np.ndarray
+    short: np.ndarray
+
+    def counts(self, texts: np.ndarray) -> list[np.ndarray]:
+        """How often the n-grams stand in the texts that `texts` is true for."""
+        here = texts[self.owner]
+        return [np.bincount(at[here & (at >= 0)], minlength=len(k)).astype(np.uint64) for at, k in zip(self.at, self.keys, strict=True)]
 
 
 def grams(texts: list[bytes | None]) -> Grams:
@@ -56,7 +66,13 @@ def grams(texts: list[bytes | None]) -> Grams:
     at3 = np.full(n + m, -1)
     at3[~starts] = inner
     end = int(at1[first[1] - 1]) if m else -1
-    return Grams([one, two, three], [at1, at2, at3], owner, first, end)
+    left = np.concatenate([[end], at1[:-1]])
+    left[starts] = end
+    history, word = np.empty(len(two), np.int64), np.empty(len(two), np.int64)
+    history[at2], word[at2] = left, at1
+    long, short = np.empty(len(three), np.int64), np.empty(len(three), np.int64)
+    long[inner], short[inner] = np.concatenate([at2[:1], at2[:-1]])[~starts], at2[~starts]
+    return Grams([one, two, three], [at1, at2, at3], owner, first, end, history, word, long, short)
 
 
 class Automaton:
@@ -75,26 +91,15 @@ class Automaton:
 
     def __init__(self, g: Grams, counts: list[np.ndarray], total: int, kinds: int):
         one, two, three = (c.astype(np.float64) for c in counts)
-        at1, at2, at3 = g.at
         n1, n2 = len(one), len(two)
-        before = np.concatenate([[g.end], at1[:-1]])
-        before[g.first[:-1]] = g.end
-        word = np.empty(n2, np.int64)  # of each bigram
-        word[at2] = at1
-        history = np.empty(n2, np.int64)
-        history[at2] = before
-        has = at3 >= 0
-        long, short = np.empty(len(three), np.int64), np.empty(len(three), np.int64)  # of each trigram: its history, and itself without its first word
-        long[at3[has]] = np.concatenate([[0], at2[:-1]])[has]
-        short[at3[has]] = at2[has]
         p1 = (one + ADD) / (total + ADD * (kinds + 1))
-        p2 = (two + WEIGHTS[0] * p1[word]) / (one[history] + WEIGHTS[0])
-        p3 = (three + WEIGHTS[1] * p2[short]) / (two[long] + WEIGHTS[1])
+        p2 = (two + WEIGHTS[0] * p1[g.word]) / (one[g.history] + WEIGHTS[0])
+        p3 = (three + WEIGHTS[1] * p2[g.short]) / (two[g.long] + WEIGHTS[1])
         self.arcs = [np.log10(p1), np.log10(p2), np.log10(p3)]
         self.there = [one > 0, two > 0, three > 0]
         self.failure = np.concatenate([[0.0], np.log10(WEIGHTS[0] / (one + WEIGHTS[0])), np.log10(WEIGHTS[1] / (two + WEIGHTS[1]))])
         #: Where the failure arc leads: from a word to the root, from a pair to its last word.
-        self.shorter = np.concatenate([[0], np.zeros(n1, np.int64), word + 1])
+        self.shorter = np.concatenate([[0], np.zeros(n1, np.int64), g.word + 1])
         self.order = np.concatenate([[0], np.ones(n1, np.int64), np.full(n2, 2)])
         self.pairs = n1 + 1
         self.start = g.end + 1 if n1 and one[g.end] else 0
@@ -153,8 +158,8 @@ def lm_scores(docs: DataFrame, training, text: str = "text", keep: list[str] | N
     `training` is a boolean column: the rows that the model learns from (null: not). A-Z are
     lower-cased; the tokens of a text are its words and one end. Every word, pair and triple of
     the training rows counts, at any size of the corpus; nothing is pruned. Each part of the corpus asks for
-    the counts of the n-grams that its texts hold, builds the automaton over these, and walks its
-    texts through it once. base_score is the add-0.1 unigram score, score the log10 probability of
+    the counts of the words and pairs that its texts hold, then of the triples that may stand in
+    other parts too, builds the automaton over these, and walks its texts through it once. base_score is the add-0.1 unigram score, score the log10 probability of
     the text by the automaton; see `Automaton` for the smoothing.
 
     A null or empty text is its end alone. Without training rows all words are unknown. Repeated
@@ -168,20 +173,34 @@ def lm_scores(docs: DataFrame, training, text: str = "text", keep: list[str] | N
     hashed = [c for c, n in zip(own, names, strict=True) if "map<" not in docs.schema[n].dataType.simpleString()]
     texts = corpus(docs, column(docs, text).cast("string"), [learn, *own], [learn, *hashed], inner)
 
-    def questions(part: Part) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def learned(part: Part) -> np.ndarray:
+        return part.columns[0].to_numpy(zero_copy_only=False).astype(bool)
+
+    def shorter(part: Part) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         g = grams(part.texts)
-        learned = part.columns[0].to_numpy(zero_copy_only=False).astype(bool)[g.owner]
-        for kind in range(3):
-            n = np.bincount(g.at[kind][learned & (g.at[kind] >= 0)], minlength=len(g.keys[kind]))
+        for kind, n in enumerate(g.counts(learned(part))[:2]):
             yield kind, g.keys[kind], n
 
-    answers = texts.ask(questions, "ngrams")
-    kinds, total = answers.filter("kind = 0").agg(F.coalesce(F.sum("keys_seen"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    def open_(g: Grams, part: Part) -> np.ndarray:
+        """Trigrams whose pairs other parts have too; of any other the count here is that of the corpus."""
+        shared = part.shared.get(1, np.zeros(0, bool))
+        return shared[g.long] & shared[g.short]
+
+    def triples(part: Part) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        g = grams(part.texts)
+        some = open_(g, part)
+        yield 2, g.keys[2][some], g.counts(learned(part))[2][some]
+
+    none = np.zeros(0, np.uint64)
+    pairs = texts.ask(shorter, "pairs")
+    kinds, total = pairs.filter("kind = 0").agg(F.coalesce(F.sum("keys_seen"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    more = texts.ask(triples, "triples", pairs)
 
     def scored(part: Part) -> Iterator[pa.RecordBatch]:
         g = grams(part.texts)
-        none = np.zeros(0, np.uint64)
-        m = Automaton(g, [part.answers.get(k, none) for k in range(3)], total, kinds)
+        three = g.counts(learned(part))[2]
+        three[open_(g, part)] = part.answers.get(2, none)
+        m = Automaton(g, [part.answers.get(0, none), part.answers.get(1, none), three], total, kinds)
         at, size, n = g.at[0], np.diff(g.first), len(part.texts)
         known = np.bincount(g.owner, m.there[0][at], n).astype(np.int64)
         base, score = np.bincount(g.owner, m.arcs[0][at], n), np.bincount(g.owner, m.walk(), n)
@@ -189,7 +208,7 @@ def lm_scores(docs: DataFrame, training, text: str = "text", keep: list[str] | N
         yield pa.RecordBatch.from_arrays(columns, names=inner[1:] + added)
 
     fields = "".join(f"{i} {texts.rows.schema[i].dataType.simpleString()}, " for i in inner[1:])
-    return texts.map(scored, fields + "n_tokens long, n_known long, train_tokens long, base_score double, score double", answers).toDF(*names, *added)
+    return texts.map(scored, fields + "n_tokens long, n_known long, train_tokens long, base_score double, score double", pairs, more).toDF(*names, *added)
 
 
 def held_out(key: str = "doc_id"):
