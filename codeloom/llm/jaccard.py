@@ -289,7 +289,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     """
     out = rooted(docs, text, key, shingle, percent)
     least = out.filter("root is not null").groupBy("root").agg(F.min("key").alias("component_id"))
-    out = out.join(least, "root", "left")
+    out = salted(out, least, "root", "row", "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"))
 
 
