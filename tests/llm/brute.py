@@ -146,3 +146,47 @@ def cut(text, items):
                 out.append(data[at : m.start()])
             at, last = m.end(), k
     return (b"".join(out) + data[at:]).decode()
+
+
+def style_tree(rows, html):
+    """(pages, different pages, importance) of every (host, node), and the text of every page, by plain counting."""
+    ways, pages = {}, []
+    for key, url, body in rows:
+        host = html.split_url(url)[0]
+        pages.append((key, host, html.Page(body or "", ways)))
+    name = {h: html.xxhash.xxh3_64_intdigest(h) >> 1 for _, h, _ in pages}
+    count = {}  # (host, node) -> what -> signature -> pages
+    for _, host, page in pages:
+        for site in (name[host], None):
+            for node, children in page.nodes:
+                for what in (0, ("children", children)):
+                    seen = count.setdefault((site, node), {}).setdefault(what, Counter())
+                    seen[page.signature()] += 1
+            for block, node in page.blocks:
+                count.setdefault((site, node), {}).setdefault(("block", block.replace(host, "") if host else block), Counter())[page.signature()] += 1
+    one = {}
+    for (site, node), whats in count.items():
+        if 0 not in whats:
+            continue
+        m = len(whats[0])
+        log = math.log(m) if m > 1 else 1.0
+        below = [(len(seen), len(w[0])) for (s, n), w in count.items() if s == site and 0 in w and node in ways[n][0] for what, seen in w.items() if what != 0 and what[0] == "block"]
+        if not below:
+            continue
+        content = sum(1 - (math.log(k) / math.log(x) if x > 1 else 0) for k, x in below) / len(below)
+        style = 1 - sum(len(s) * math.log(len(s)) for what, s in whats.items() if what != 0 and what[0] == "children") / (m * log) if m > 1 else 1.0
+        one[site, node] = (sum(whats[0].values()), m, html.CONTENT_SHARE * content + (1 - html.CONTENT_SHARE) * max(style, 0))
+    out, gone = {}, set()
+    for (site, node), (_, m, value) in one.items():
+        if site is None:
+            continue
+        n_all, m_all, every = one[None, node]
+        weight = min(m_all, html.ALL_SITES)
+        mixed = (m * value + weight * every) / (m + weight)
+        out[site, node] = (n_all, m_all, mixed)
+        flags = ways[node][1]
+        enough = n_all >= html.EVIDENCE and (not flags & html.INSIDE or m_all >= html.EVIDENCE)
+        if not flags & html.WHOLE and (flags & html.NEVER or (enough and mixed < html.LOW) or (flags & html.MARKED and not (enough and mixed >= html.HIGH))):
+            gone.add((site, node))
+    texts = {key: "\n".join(t for t, n in page.blocks if not any((name[host], x) in gone for x in ways[n][0])) for key, host, page in pages}
+    return out, texts

@@ -171,7 +171,7 @@ def test_lm_parts_and_segments_change_no_score(docs, monkeypatch):
 
     texts = [r[1].encode() if r[1] else None for r in ROWS]
     g = lm.grams(texts)
-    counts = [np.bincount(at[(at >= 0) & (g.owner % 3 > 0)], minlength=len(keys)).astype(np.uint64) for at, keys in zip(g.at, g.keys, strict=True)]
+    counts = g.counts(np.arange(len(texts)) % 3 > 0)
     m = lm.Automaton(g, counts, int(counts[0].sum()), int((counts[0] > 0).sum()))
     whole = m.walk()
     for size in (3, 7, 100_000):
@@ -180,13 +180,60 @@ def test_lm_parts_and_segments_change_no_score(docs, monkeypatch):
     # parts are cut by bytes, whatever the batches
     import pyarrow as pa
 
-    rows = pa.table({"shard": [0] * 6 + [3] * 4, "number": [1, 0] + [-1] * 8, "id": list(range(10)), "kind": [0, 0] + [None] * 8, "n": [_exchange.pack(np.array([5, 6])), _exchange.pack(np.array([4]))] + [None] * 8, "text": [None, None] + ["x" * 50] * 8}, pa.schema([("shard", pa.int64()), ("number", pa.int64()), ("id", pa.int64()), ("kind", pa.int32()), ("n", pa.binary()), ("text", pa.string())]))
+    rows = pa.table({"shard": [0] * 6 + [3] * 4, "number": [1, 0] + [-1] * 8, "id": list(range(10)), "kind": [0, 0] + [None] * 8, "n": [_exchange.pack(np.array([10, 13])), _exchange.pack(np.array([8]))] + [None] * 8, "text": [None, None] + ["x" * 50] * 8}, pa.schema([("shard", pa.int64()), ("number", pa.int64()), ("id", pa.int64()), ("kind", pa.int32()), ("n", pa.binary()), ("text", pa.string())]))
     monkeypatch.setattr(_exchange, "PART_BYTES", 250)
     for size in (1, 3, 10):
         cut = [(p.shard, p.number, len(p.texts), {k: v.tolist() for k, v in p.answers.items()}) for p in _exchange.parts(iter(rows.to_batches(size)))]
         assert cut == [(0, 0, 2, {0: [4]}), (0, 1, 2, {0: [5, 6]}), (3, 0, 2, {}), (3, 1, 2, {})]
 
 
+def test_lm_score_over_many_parts(spark, monkeypatch):
+    """Many shards and buckets, so that pairs and triples are asked for across parts."""
+    from pyspark.sql import functions as F
+
+    from codeloom.llm import _exchange
+
+    made = random.Random(8)
+    texts = [" ".join(made.choice(VOCAB[:12]) for _ in range(made.randrange(30))) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own = _exchange.corpus
+    monkeypatch.setattr(lm, "corpus", lambda *a: own(*a, shard_bytes=500, bucket_bytes=2000))
+    got = {r.doc_id: r.score for r in lm.lm_scores(df, F.col("doc_id") % 4 != 0).collect()}
+    model = brute.Trigrams([t for k, t in enumerate(texts) if k % 4], lm.ADD, lm.WEIGHTS)
+    assert len(got) == 120 and all(math.isclose(got[k], model.score(t), rel_tol=1e-9) for k, t in enumerate(texts))
+
+
+def test_substrings_and_components_over_many_parts(docs, monkeypatch):
+    """The same rows dealt to one part and to many, with many buckets."""
+    from codeloom.llm import _exchange
+
+    own = _exchange.corpus
+    for shard, bucket in ((300, 1000), (3000, 300)):
+        for module in (substring, jaccard):
+            monkeypatch.setattr(module, "corpus", lambda *a, s=shard, b=bucket: own(*a, shard_bytes=s, bucket_bytes=b))
+        want = [(r[4], len(w), len(w) - len(k), brute.sha(b" ".join(k))) for r, (w, k) in zip(ROWS, brute.substrings([r[1] for r in ROWS]), strict=True)]
+        assert by_row(substring.substring_dedup(docs.drop("n_words")), "n_words", "n_removed", "kept_sha256") == sorted(want, key=str)
+        want = [(r[0], n, c) for r, (n, c) in zip(ROWS, brute.components([(r[0], r[1]) for r in ROWS]), strict=True)]
+        assert sorted(map(tuple, jaccard.jaccard_components(docs).collect()), key=str) == sorted(want, key=str)
+
+
+def test_jaccard_finds_links_across_groups(spark, monkeypatch):
+    """Near copies and half copies in groups of three sets: the matrix must be asked across groups."""
+    made = random.Random(12)
+    rows = []
+    for k in range(12):
+        base = [f"w{made.randrange(400)}" for _ in range(40)]
+        for _ in range(10):
+            w = list(base)
+            for _ in range(made.randrange(5)):
+                w[made.randrange(40)] = f"x{made.randrange(9)}"
+            rows.append((len(rows), " ".join(w)))
+    monkeypatch.setattr(jaccard, "GROUP", 3)
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute.components(rows)
+    assert got == {k: c for (k, _), (_, c) in zip(rows, want, strict=True)} and 12 < len(set(got.values())) < 120
+
+
 def test_automaton_sums_to_one():
     """From every state, the weights of all words and of an unknown one add up to 1."""
     import numpy as np
@@ -198,7 +245,7 @@ def test_automaton_sums_to_one():
     for before in [b"", b"a", b"a b", b"b d", b"d d", b"zz a", b"a zz", b"zz"]:
         texts = [before + b" " + w for w in [*kinds, b"unknown"]] + [before]
         g = lm.grams([*texts, *training])
-        counts = [np.bincount(at[(at >= 0) & (g.owner >= len(texts))], minlength=len(keys)).astype(np.uint64) for at, keys in zip(g.at, g.keys, strict=True)]
+        counts = g.counts(np.arange(len(texts) + len(training)) >= len(texts))
         weight = lm.Automaton(g, counts, n, v).walk()
         k = len(before.split())
         assert math.isclose(sum(10 ** weight[g.first[t] + k] for t in range(len(texts))), 1, rel_tol=1e-9)
@@ -248,6 +295,55 @@ def test_toxicity_learns_terms_that_tell_only_in_pairs():
     assert len(slots) > 1000 and np.array_equal(machine.score(base, np.array([0, len(base)])), machine.score(long, np.array([0, len(long)])))
 
 
+def _parsed(pages):
+    return html.parsed(pages, pages["url"], pages["html"], [], [])
+
+
+def test_html_tree_equals_plain_counting(spark):
+    """Importance by its definition, and the blocks that stay."""
+    table = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").filter("page_id % 3 = 0")
+    own = [(900 + i, "http://site.x/1", f"<body><div class='top'>here</div><main><p>{text(6)}</p><p>{text(3)}</p></main><div id='n{i}'><p>{'odd' if i % 2 else 'even'}</p></div></body>") for i in range(10)]
+    pages = table.select("page_id", "url", "html").union(spark.createDataFrame([*own, (950, None, None), (951, "http://site.x/", "")], "page_id long, url string, html string"))
+    rows = [(r.page_id, r.url, r.html) for r in pages.collect()]
+    want, texts = brute.style_tree(rows, html)
+    got = {(r.host, r.node): r for r in html.importance(_parsed(pages)).collect()}
+    assert set(got) == set(want)
+    for k, (n, m, value) in want.items():
+        assert (got[k].pages, got[k].different) == (n, m) and math.isclose(got[k].importance, value, rel_tol=1e-9, abs_tol=1e-12)
+    assert {r.page_id: r.text for r in html.extract(pages).collect()} == texts
+
+
+def test_html_tree_decides_on_the_pages(spark, monkeypatch):
+    """The tree finds menus, adverts and footers by what they repeat; names and roles are not needed, and without a tree nothing goes."""
+    import re
+
+    table = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    new = {"nav": "q", "footer": "r", "article": "s"}
+
+    def bland(page):
+        page = re.sub(r"<(nav|footer|article)>", lambda m: f'<div class="{new[m[1]]}">', page).replace('class="ad"', 'class="t"')
+        return re.sub(r"</(nav|footer|article)>", "</div>", page)
+
+    bare = table.collect()
+    plain = spark.createDataFrame([(r.page_id, r.url, bland(r.html)) for r in bare], "page_id long, url string, html string")
+    marked, unmarked = ({r.page_id: r.text for r in html.extract(df).collect()} for df in (table, plain))
+    monkeypatch.setattr(html, "removed", lambda nodes: nodes.limit(0).select("host", "node"))
+    off = {r.page_id: r.text for r in html.extract(table).collect()}
+    for r in bare:
+        whole = "\n".join(t for t, _ in html.Page(r.html, {}).blocks)
+        article = "\n".join(t for t, _ in html.Page(r.html[r.html.index("<article>") : r.html.index("</article>")], {}).blocks)
+        assert marked[r.page_id] == unmarked[r.page_id] == article != whole == off[r.page_id]
+
+
+def test_html_takes_linear_time():
+    import time
+
+    for odd in ["<a ", "<a href='", "<div>", "<title>", "<p><div><b>", "<b><p>", "<!-- ", "<a '>'", "<li><ul>", '<a x="', "</x>", "&lt;", "<div class='a b'>"]:
+        start = time.process_time()
+        html.Page(odd * ((1 << 20) // len(odd)), {})
+        assert time.process_time() - start < 5, odd
+
+
 def test_html_judges_every_level(spark):
     menu = "<div><div><ul>" + "".join(f"<li><a href='/{k}'>place {k}</a></li>" for k in range(4)) + "</ul></div></div>"
     deep = "<div><section><div><div><table><tr><td>all rights held</td></tr></table></div></div></section></div>"
@@ -257,8 +353,9 @@ def test_html_judges_every_level(spark):
         out = html.extract(df, max_broadcast=limit).collect()
         assert len(out) == 12 and all(r.text.startswith(f"own {r.page_id} ") and "place" not in r.text and "rights" not in r.text for r in out)
     # a text that a page repeats under one node is on one page
-    rows = list(html.style_rows(html.parse("<body><ul><li>same</li><li>same</li></ul></body>")))
-    assert len(rows) == len(set(rows))
+    twice = [(i, f"http://twice.x/{i}", f"<body><ul><li>same</li><li>same</li></ul><p>{text(9)}</p></body>") for i in range(12)]
+    got = html.importance(_parsed(spark.createDataFrame(twice, "page_id int, url string, html string")))
+    assert got.agg({"different": "max"}).first()[0] == 12
 
 
 def test_html_keeps_copies_of_an_article(spark):
