@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
@@ -154,15 +154,28 @@ def should_surface(name: Column, caller_kind: Column) -> Column:
     return ~(name.startswith("$") | name.startswith("<>") | name.rlike(r"^\d") | (F.length(name) < 3) | F.contains(name, F.lit("(")) | (name == "Super") | caller_kind.isin("Form", "FormMethod"))
 
 
-#: The three directives, in a // , ` or /* comment.
-SUPPRESSION = r"(?://|`|/\*)\s*4d-lint-disable(-next-line|-line|-file)?(?:\s+([A-Za-z0-9_/*, -]+?))?\s*(?:\*/)?$"
+#: A directive and its rule ids, which end at a closing comment mark; the text before it must open a comment.
+SUPPRESSION = r"^(.*?)\b(lint-disable-next-line|lint-disable-line|lint-disable)\b([^*\n\r`]*)"
+#: A plain directive counts for the file only among its first lines.
+FILE_LEAD_LINES = 20
 
 
-def suppressions(lines: Column) -> tuple[Column, Column]:
-    """Directive ('next-line', 'line', 'file' or null) and rule ids of a line."""
-    kind = F.regexp_extract(lines, SUPPRESSION, 1)
-    ids = F.split(F.trim(F.regexp_extract(lines, SUPPRESSION, 2)), r"[,\s]+")
-    return F.when(lines.rlike(SUPPRESSION), F.when(kind == "", "line").otherwise(F.regexp_replace(kind, "^-", ""))), ids
+def suppressions(line: Column) -> tuple[Column, Column]:
+    """Directive of a source line ('next-line', 'line', 'file', or null if there is none or it names no rule) and its rule ids."""
+    part = lambda k: F.regexp_extract(line, SUPPRESSION, k)
+    ids = F.filter(F.split(part(3), r"[,\s]+"), lambda x: x != "")
+    before = part(1)
+    commented = F.contains(before, F.lit("//")) | F.contains(before, F.lit("`")) | F.contains(before, F.lit("/*"))
+    kind = F.when(part(2) == "lint-disable-next-line", "next-line").when(part(2) == "lint-disable-line", "line").otherwise("file")
+    return F.when(line.rlike(SUPPRESSION) & commented & (F.size(ids) > 0), kind), ids
+
+
+def suppression_map(lines: DataFrame) -> DataFrame:
+    """(uri, line, rule_id) that the directives of source lines (uri, line from 0, text) turn off; line is null for the whole file."""
+    kind, ids = suppressions(F.col("text"))
+    rows = lines.select("uri", "line", kind.alias("kind"), F.explode(ids).alias("rule_id")).filter("kind is not null")
+    rows = rows.filter((F.col("kind") != "file") | (F.col("line") < FILE_LEAD_LINES))
+    return rows.select("uri", F.when(F.col("kind") == "line", F.col("line")).when(F.col("kind") == "next-line", F.col("line") + 1).alias("line"), "rule_id").distinct()
 
 
 def common_edit(old: str, new: str) -> tuple[int, int, int]:

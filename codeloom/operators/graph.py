@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.plans.tables import stored
+from codeloom.plans.tables import discard, stored
 
 
 def steps(edges: DataFrame, direction: str = "forward") -> DataFrame:
@@ -72,17 +72,45 @@ def shortest_path(edges: DataFrame, start: str, goal: str, max_depth: int = 8, d
     return spark.createDataFrame([], "hop int, id string")
 
 
-def closure_by_seed(steps_: DataFrame, seeds: DataFrame, max_levels: int | None = None) -> DataFrame:
-    """(seed, id): what each seed (column seed) reaches over (src, dst), itself included."""
+def closure_by_word(steps_: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What each seed (column seed) reaches over (src, dst), itself included, 64 seeds to a word.
+
+    Returns (seed, word, bit) and (id, word, bits): bit k of bits is set if the word's seed k reaches
+    id. A level passes whole words over the edges and ors them, so a node costs a row for 64 seeds,
+    however many of these reach it, and each step's state is written once. Seeds get their bits
+    inside hash buckets, so none is numbered by a single task.
+    """
     table = stored(steps_.select("src", "dst").distinct(), "steps")
-    frontier = stored(seeds.select("seed", F.col("seed").alias("id")).distinct(), "level")
-    seen, level = frontier, 0
-    while not frontier.isEmpty() and (max_levels is None or level < max_levels):
-        level += 1
-        new = table.join(frontier.withColumnRenamed("id", "src"), "src").select("seed", F.col("dst").alias("id")).distinct()
-        frontier = stored(new.join(seen, ["seed", "id"], "left_anti"), "level")
-        seen = seen.union(frontier)
-    return seen
+    own = seeds.select("seed").distinct()
+    buckets = max(1, own.count() // 4096)
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("seed")) - 1
+    numbered = own.withColumn("bucket", F.pmod(F.xxhash64("seed"), F.lit(buckets))).withColumn("place", place)
+    numbered = stored(numbered.select("seed", (F.col("bucket") * (1 << 24) + F.floor(F.col("place") / 64)).alias("word"), (F.col("place") % 64).cast("int").alias("bit")), "seeds")
+    start = numbered.groupBy(F.col("seed").alias("id"), "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    state = stored(start.withColumn("fresh", F.col("bits")), "reach")
+    while True:
+        frontier = state.filter("fresh != 0").select(F.col("id").alias("src"), "word", "fresh")
+        new = table.join(frontier, "src").groupBy(F.col("dst").alias("id"), "word").agg(F.bit_or("fresh").alias("more"))
+        had, more = F.coalesce("bits", F.lit(0).cast("long")), F.coalesce("more", F.lit(0).cast("long"))
+        after = stored(state.select("id", "word", "bits").join(new, ["id", "word"], "full").select("id", "word", had.bitwiseOR(more).alias("bits"), more.bitwiseAND(F.bitwise_not(had)).alias("fresh")), "reach")
+        discard(state)
+        state = after
+        if state.filter("fresh != 0").isEmpty():
+            discard(table)
+            return numbered, state.select("id", "word", "bits")
+
+
+def reached_by(numbered: DataFrame, reach: DataFrame) -> DataFrame:
+    """(id, n): how many seeds other than itself reach each node; of `closure_by_word`."""
+    own = numbered.select(F.col("seed").alias("id"), F.lit(1).alias("own"))
+    n = reach.groupBy("id").agg(F.sum(F.bit_count("bits")).alias("n")).join(own, "id", "left")
+    return n.select("id", (F.col("n") - F.coalesce("own", F.lit(0))).cast("long").alias("n")).filter("n > 0")
+
+
+def reach_sizes(numbered: DataFrame, reach: DataFrame) -> DataFrame:
+    """(seed, n): how many nodes each seed reaches, itself included; of `closure_by_word`."""
+    sums = reach.groupBy("word").agg(F.array(*[F.sum(F.expr(f"shiftrightunsigned(bits, {k}) & 1")) for k in range(64)]).alias("n"))
+    return numbered.join(sums, "word").select("seed", F.col("n")[F.col("bit")].cast("long").alias("n"))
 
 
 def expand_tree(edges: DataFrame, root: str, depth: int) -> DataFrame:

@@ -14,7 +14,7 @@ CLASS_MEMBER_KINDS = ["ClassFunction", "ClassGetter", "ClassSetter", "ClassPrope
 INVOCABLE_KINDS = ["ProjectMethod", "DatabaseMethod", "ComponentMethod", "ClassFunction", "ClassConstructor", "PluginCommand"]
 FIELD_KINDS = ["ClassGetter", "ClassSetter", "ClassProperty", "Alias", "Constant", "ProcessVariable", "InterprocessVariable"]
 COMPLETION_KINDS = ["ProjectMethod", "DatabaseMethod", "ComponentMethod", "Class", "Constant", "BuiltinConstant", "PluginCommand", "Builtin", "ProcessVariable", "InterprocessVariable"]
-TEST_PATTERNS = ["^test_", "_Test$", "^UT_"]
+TEST_PATTERNS = {"function": "^test_", "owner": "_Test$", "method": "^UT_"}
 
 
 def by_id(symbols: DataFrame, symbol_id: str) -> DataFrame:
@@ -106,18 +106,41 @@ def matches(symbols: DataFrame, edges: DataFrame, query: str, callers_state: str
     return out.filter(fuzzy(hay, text))
 
 
-def is_test(name: Column, patterns: list[str] | None = None) -> Column:
-    out = F.lit(False)
-    for p in patterns or TEST_PATTERNS:
-        out = out | name.rlike(p)
-    return out
+def safe_regex(pattern: str | None) -> bool:
+    """Whether a user's pattern is a valid one; a rule with an invalid pattern finds nothing."""
+    try:
+        re.compile(pattern)
+        return True
+    except (re.error, TypeError):
+        return False
+
+
+def test_patterns(function: str | None = None, owner: str | None = None, method: str | None = None) -> dict[str, str]:
+    """The patterns of test functions, test classes and test methods; the default stands in for a missing or invalid one."""
+    given = {"function": function, "owner": owner, "method": method}
+    return {k: given[k] if safe_regex(given[k]) else v for k, v in TEST_PATTERNS.items()}
+
+
+def is_test(patterns: dict[str, str] | None = None) -> Column:
+    """Whether a row of symbols is a test: of flavor Test, named like a test function, a project method
+    named like a test method, or a member of a class named like a test class."""
+    p = patterns or TEST_PATTERNS
+    own = F.coalesce(F.col("owner_class").rlike(p["owner"]), F.lit(False))
+    flavor = F.coalesce(F.col("class_flavor") == "Test", F.lit(False))
+    return flavor | F.col("name").rlike(p["function"]) | ((F.col("kind") == "ProjectMethod") & F.col("name").rlike(p["method"])) | own
+
+
+def coverage_seeds(symbols: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
+    """The tests that run on their own: class functions named like test functions, project methods named like test methods."""
+    p = patterns or TEST_PATTERNS
+    return symbols.filter(((F.col("kind") == "ClassFunction") & F.col("name").rlike(p["function"])) | ((F.col("kind") == "ProjectMethod") & F.col("name").rlike(p["method"])))
 
 
 def is_invocation(edges: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Edges that run their target: no read or write of a field-like symbol."""
+    """Edges that run their target: calls, reads of a getter and writes of a setter; other reads and writes of fields run nothing."""
     target = symbols.select(F.col("symbol_id").alias("to_id"), F.col("kind").alias("to_kind"))
-    joined = edges.join(target, "to_id")
-    return joined.filter(F.col("to_kind").isin([*INVOCABLE_KINDS, "Unresolved", "Builtin"]) | (F.col("to_kind").isin(["ClassGetter"]) & (F.col("access") == "read")) | (F.col("to_kind").isin(["ClassSetter"]) & (F.col("access") == "write")))
+    runs = F.col("access").isNull() | ((F.col("to_kind") == "ClassGetter") & (F.col("access") == "read")) | ((F.col("to_kind") == "ClassSetter") & (F.col("access") == "write"))
+    return edges.join(target, "to_id").filter(runs)
 
 
 #: Trace categories: (name, kinds, access) in the order they are tried.

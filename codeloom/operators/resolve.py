@@ -32,25 +32,33 @@ def by_priority(sites: DataFrame, lookups: list[tuple[Column, DataFrame]], miss:
     return out if miss is not None else out.filter("resolved")
 
 
-def by_prefix(sites: DataFrame, name: str, prefixes: DataFrame) -> DataFrame:
-    """(site_no, to_id): the longest prefix that a site's name begins with.
+def has_prefix(sites: DataFrame, name: str, prefixes: DataFrame) -> DataFrame:
+    """(site_no): sites whose name begins with any of the prefixes (column key).
 
     Prefixes are few; each site asks an equality for every prefix length there is, so the join is no
     nested loop.
     """
     sizes = [r[0] for r in prefixes.select(F.length("key")).distinct().collect()]  # lengths, not rows
-    asks = sites.select("site_no", F.explode(F.array(*[F.substring(name, 1, n) for n in sizes])).alias("key")) if sizes else sites.select("site_no", F.lit("").alias("key")).limit(0)
-    hits = asks.join(prefixes, "key")
-    return hits.groupBy("site_no").agg(F.max_by("to_id", F.length("key")).alias("to_id"))
+    if not sizes:
+        return sites.select("site_no").limit(0)
+    asks = sites.select("site_no", F.explode(F.array(*[F.substring(name, 1, n) for n in sizes])).alias("key"))
+    return asks.join(prefixes.select("key"), "key", "left_semi").select("site_no").distinct()
 
 
 def bare_names(sites: DataFrame, name: str, methods: DataFrame, components: DataFrame, plugins: DataFrame, builtins: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Project method (any case), component method, plugin command, builtin, plugin prefix; else Unresolved and Dynamic."""
-    prefix = by_prefix(sites, name, prefixes).select(F.col("site_no").alias("key"), "to_id")
+    """Project or database method (any case), component method, plugin command, builtin, a builtin of its own name for a
+    plugin's prefix; else Unresolved and Dynamic."""
+    prefix = has_prefix(sites, name, prefixes).join(sites.select("site_no", F.col(name).alias("n")), "site_no").select(F.col("site_no").alias("key"), F.concat(F.lit("Builtin:"), F.col("n")).alias("to_id"))
     out = by_priority(sites, [(F.lower(name), methods), (F.col(name), components), (F.col(name), plugins), (F.col(name), builtins), (F.col("site_no"), prefix)], F.concat(F.lit("Unresolved:"), F.col(name)))
     return out.withColumn("call_kind", F.when(F.col("resolved"), "Static").otherwise("Dynamic"))
 
 
+def method_dimension(symbols: DataFrame) -> DataFrame:
+    """(key, to_id): project and database methods by lower-case name; of equal names the first counts."""
+    rows = symbols.filter(F.col("kind").isin("ProjectMethod", "DatabaseMethod")).select(F.col("name_lc").alias("key"), F.col("symbol_id").alias("to_id"), "symbol_seq")
+    return first_of(rows, "key", ["symbol_seq"])
+
+
 def on_class(sites: DataFrame, resolution: DataFrame, miss: Column | None, own: str = "class_lc") -> DataFrame:
     """sites (class, name_lc, slot) with what the member resolves to on the class's chain; Static on the class itself, else Inherited."""
     table = resolution.select(F.col("class_lc").alias(own), "name_lc", "slot", F.col("symbol_id").alias("hit"), F.col("depth").alias("at"))

@@ -24,8 +24,9 @@ def _zipped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for key, name in zip(frame["n_nationkey"], frame["n_name"], strict=True):
             buffer = io.BytesIO()
             with zipfile.ZipFile(buffer, "w") as z:
-                z.writestr("methods.json", json.dumps({"methods": {f"run_{key}": {}}}))
-                z.writestr("classes.json", json.dumps({"Box": {"functions": {"open": {}}, "properties": {"lid": {"className": "Lid"}}, "constructorID": "x"}}))
+                z.writestr("notes.json", json.dumps({"methods": {"no_such": {}}}))
+                z.writestr(archives.METHODS, json.dumps({"methods": {f"run_{key}": {}}}))
+                z.writestr(archives.CLASSES, json.dumps({"Box": {"functions": {"open": {}}, "properties": {"lid": {"className": "Lid"}}, "constructorID": "x"}}))
             rows.append((name, int(key) % 2, buffer.getvalue() if key % 5 else b"broken"))
             rows.append((name, 2, b"broken"))
         yield pd.DataFrame(rows, columns=["component", "rank", "content"])

@@ -84,20 +84,25 @@ def flt_12(m):
     return m.edges.filter("access = 'read'").join(fields, "to_id", "left_semi").groupBy("to_id", "access").agg(F.count("*").alias("n"))
 
 
-@query("flt_13_test_filter", ", t AS (SELECT symbol_id FROM symbols WHERE regexp_matches(name, '^test_|_Test$|^UT_')) SELECT to_id, CAST(count(*) FILTER (from_id IN (SELECT symbol_id FROM t)) AS BIGINT) AS n_only, CAST(count(*) FILTER (from_id NOT IN (SELECT symbol_id FROM t)) AS BIGINT) AS n_exclude FROM edges GROUP BY to_id")
+#: A test by the default patterns: of functions and flavors, of methods, and of owner classes.
+IS_TEST = "(coalesce(class_flavor = 'Test', false) OR regexp_matches(name, '^test_') OR (kind = 'ProjectMethod' AND regexp_matches(name, '^UT_')) OR coalesce(regexp_matches(owner_class, '_Test$'), false))"
+
+
+@query("flt_13_test_filter", f", t AS (SELECT symbol_id FROM symbols WHERE {IS_TEST}) SELECT to_id, CAST(count(*) FILTER (from_id IN (SELECT symbol_id FROM t)) AS BIGINT) AS n_only, CAST(count(*) FILTER (from_id NOT IN (SELECT symbol_id FROM t)) AS BIGINT) AS n_exclude FROM edges GROUP BY to_id")
 def flt_13(m):
-    tests = m.symbols.filter(lookup.is_test(F.col("name"))).select(F.col("symbol_id").alias("from_id"))
+    tests = m.symbols.filter(lookup.is_test()).select(F.col("symbol_id").alias("from_id"))
     only = m.edges.join(tests, "from_id", "left_semi").select("to_id", F.lit(1).alias("a"), F.lit(0).alias("b"))
     rest = m.edges.join(tests, "from_id", "left_anti").select("to_id", F.lit(0).alias("a"), F.lit(1).alias("b"))
     return only.union(rest).groupBy("to_id").agg(F.sum("a").alias("n_only"), F.sum("b").alias("n_exclude"))
 
 
-@query("flt_14_is_test", "SELECT symbol_id, regexp_matches(name, '^test_') OR regexp_matches(name, '_Test$') OR regexp_matches(name, '^UT_') AS is_test FROM symbols")
+@query("flt_14_is_test", f"SELECT symbol_id, {IS_TEST} AS is_test, {IS_TEST.replace('_Test$', 'A$').replace('^test_', '^helper_').replace('^UT_', 'e[0-9]+$')} AS is_own_test FROM symbols")
 def flt_14(m):
-    return m.symbols.select("symbol_id", lookup.is_test(F.col("name")).alias("is_test"))
+    own = lookup.test_patterns("^helper_", "A$", "e[0-9]+$")
+    return m.symbols.select("symbol_id", lookup.is_test().alias("is_test"), lookup.is_test(own).alias("is_own_test"))
 
 
-_INVOKES = "(s.kind IN ('ProjectMethod', 'DatabaseMethod', 'ComponentMethod', 'ClassFunction', 'ClassConstructor', 'PluginCommand', 'Unresolved', 'Builtin') OR (s.kind = 'ClassGetter' AND e.access = 'read') OR (s.kind = 'ClassSetter' AND e.access = 'write'))"
+_INVOKES = "(e.access IS NULL OR (s.kind = 'ClassGetter' AND e.access = 'read') OR (s.kind = 'ClassSetter' AND e.access = 'write'))"
 
 
 @query("flt_15_invocations", f"SELECT s.kind, count(*) AS n FROM edges e JOIN symbols s ON s.symbol_id = e.to_id WHERE {_INVOKES} GROUP BY 1")
@@ -173,9 +178,9 @@ def agg_05(m):
     return m.edges.select("from_id", "to_id").distinct().groupBy(F.col("from_id").alias("symbol_id")).agg(F.count("*").alias("n"))
 
 
-@query("agg_06_tests_among_callers", " SELECT to_id AS symbol_id, count(DISTINCT from_id) FILTER (starts_with(from_id, 'ProjectMethod:test_')) AS tests, count(DISTINCT from_id) FILTER (NOT starts_with(from_id, 'ProjectMethod:test_')) AS others FROM edges GROUP BY 1")
+@query("agg_06_tests_among_callers", f", t AS (SELECT symbol_id FROM symbols WHERE {IS_TEST}) SELECT to_id AS symbol_id, count(DISTINCT from_id) FILTER (from_id IN (SELECT symbol_id FROM t)) AS tests, count(DISTINCT from_id) FILTER (from_id NOT IN (SELECT symbol_id FROM t)) AS others FROM edges GROUP BY 1")
 def agg_06(m):
-    tests = m.symbols.filter(lookup.is_test(F.col("name"))).select(F.col("symbol_id").alias("from_id"), F.lit(1).alias("t"))
+    tests = m.symbols.filter(lookup.is_test()).select(F.col("symbol_id").alias("from_id"), F.lit(1).alias("t"))
     pairs = m.edges.select("to_id", "from_id").distinct().join(tests, "from_id", "left")
     return pairs.groupBy(F.col("to_id").alias("symbol_id")).agg(F.count("t").alias("tests"), F.count(F.when(F.col("t").isNull(), 1)).alias("others"))
 
@@ -314,7 +319,7 @@ def win_07(m):
     return m.edges.withColumn("r", F.row_number().over(w)).filter("r <= 4").select("from_id", "to_id", "line")
 
 
-@query("win_08_token_deltas", ", t AS (SELECT from_id, line, coalesce(column_no, 0) AS c, edge_seq, lag(line) OVER w AS pl, lag(coalesce(column_no, 0)) OVER w AS pc FROM edges WHERE starts_with(from_id, 'ProjectMethod:Order') WINDOW w AS (PARTITION BY from_id ORDER BY line, coalesce(column_no, 0), edge_seq, to_id)) SELECT from_id, CAST(sum(line - coalesce(pl, 0)) AS BIGINT) AS sum_line, CAST(sum(CASE WHEN pl = line THEN c - pc ELSE c END) AS BIGINT) AS sum_start FROM t GROUP BY 1")
+@query("win_08_token_deltas", ", t AS (SELECT from_id, line, coalesce(column_no, 0) AS c, edge_seq, lag(line) OVER w AS pl, lag(coalesce(column_no, 0)) OVER w AS pc FROM edges WINDOW w AS (PARTITION BY from_id ORDER BY line, coalesce(column_no, 0), edge_seq, to_id)) SELECT from_id, CAST(sum(line - coalesce(pl, 0)) AS BIGINT) AS sum_line, CAST(sum(CASE WHEN pl = line THEN c - pc ELSE c END) AS BIGINT) AS sum_start FROM t GROUP BY 1")
 def win_08(m):
     c = F.coalesce("column_no", F.lit(0))
     w = Window.partitionBy("from_id").orderBy("line", c, "edge_seq", "to_id")
@@ -352,7 +357,7 @@ def search(symbols, text: str, kind: str | None, limit: int):
     q = text.lower()
     hits = symbols.filter(lookup.fuzzy(F.col("name"), q))
     if kind:
-        hits = hits.filter(F.col("kind") == kind)
+        hits = hits.filter(F.lower("kind") == kind.lower())
     rank = F.when(F.col("name_lc") == q, 0).when(F.col("name_lc").startswith(q), 1).otherwise(2)
     total = hits.agg(F.count("*").alias("total"))
     top = hits.withColumn("rank", rank).orderBy("rank", F.expr("collate(name_lc, 'UNICODE')"), "symbol_seq").limit(limit)

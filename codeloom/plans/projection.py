@@ -29,7 +29,7 @@ SELECT symbol_seq, symbol_id, name, 'Class' AS kind, uri, line, CAST(NULL AS {st
 UNION ALL SELECT 1000000 + class_seq * 10 + k, concat(kind, ':', owner_class, '.', name), name, kind, uri, CAST(100 + k AS INT), owner_class, NULL, NULL, CASE WHEN class_seq % 2 = 0 THEN 'Text' END, CASE WHEN kind = 'ClassFunction' THEN concat('size : Integer; ', lower(name)) END, NULL FROM ({members}) m
 UNION ALL SELECT 10000000 + p_partkey, concat('ProjectMethod:Part', p_partkey), concat(replace(p_name, ' ', '_'), p_partkey), 'ProjectMethod', concat('file:///p/Methods/', p_brand, '.4dm'), CAST(p_partkey % 1000 AS INT), NULL, NULL, NULL, CASE WHEN p_size % 2 = 0 THEN 'Integer' END, concat('size : Integer; _hue; ', lower(p_type)), NULL FROM {part}
 UNION ALL SELECT 100000000 + o_orderkey, concat('ProjectMethod:Order', o_orderkey), concat('Order', o_orderkey), 'ProjectMethod', concat('file:///p/Methods/', o_orderpriority, '.4dm'), CAST(o_orderkey % 1000 AS INT), NULL, NULL, NULL, NULL, NULL, NULL FROM {orders}
-UNION ALL SELECT 1000000000 + c_custkey, concat('ProjectMethod:test_', c_custkey), concat('test_', c_custkey), 'ProjectMethod', concat('file:///p/Tests/', c_mktsegment, '.4dm'), CAST(c_custkey % 1000 AS INT), NULL, NULL, NULL, NULL, NULL, NULL FROM {customer}
+UNION ALL SELECT 1000000000 + c_custkey, concat('ProjectMethod:test_', c_custkey), concat(CASE c_custkey % 3 WHEN 0 THEN 'UT_' WHEN 1 THEN 'test_' ELSE 'helper_' END, c_custkey), 'ProjectMethod', concat('file:///p/Tests/', c_mktsegment, '.4dm'), CAST(c_custkey % 1000 AS INT), NULL, NULL, NULL, NULL, NULL, NULL FROM {customer}
 UNION ALL SELECT 2000000000 + k, concat('Constant:', p_type), concat('k_', lower(p_type)), 'Constant', 'file:///p/Resources/constants.xlf', CAST(k AS INT), NULL, NULL, NULL, NULL, NULL, 'theme' FROM ({types}) t
 UNION ALL SELECT 3000000000 + CAST(substr(o_orderpriority, 1, 1) AS BIGINT), concat('Unresolved:', o_orderpriority), o_orderpriority, 'Unresolved', 'synthetic:', -1, NULL, NULL, NULL, NULL, NULL, NULL FROM (SELECT DISTINCT o_orderpriority FROM {orders}) u
 UNION ALL SELECT 4000000000 + length(l_returnflag), concat('Builtin:', l_returnflag), l_returnflag, 'Builtin', 'synthetic:', -1, NULL, NULL, NULL, NULL, NULL, NULL FROM (SELECT DISTINCT l_returnflag FROM {lineitem}) b

@@ -121,30 +121,22 @@ def txt_22(m):
     return m.table("events").select("event_id", edit.alias("e")).select("event_id", "e.start", "e.old_end", "e.new_end")
 
 
-@query("txt_23_suppressions", " SELECT event_id, CASE event_type WHEN 'click' THEN 'next-line' WHEN 'view' THEN 'line' WHEN 'error' THEN 'file' END AS scope FROM events WHERE event_type IN ('click', 'view', 'error')", plain=True)
+#: Source lines with and without directives, one for each event, as SQL of both engines.
+_DIRECTIVES = "CASE event_type WHEN 'click' THEN concat('x:=1 // lint-disable-next-line style/', user_id, ', b  c') WHEN 'view' THEN concat('` lint-disable-line\t', props) WHEN 'error' THEN concat('/* lint-disable ', event_type, '/', user_id % 7, ' */ y') WHEN 'signup' THEN concat('lint-disable-line a', user_id) ELSE concat('// lint-disabled and lint-disable-line') END"
+
+
+@query("txt_23_suppressions", f"WITH l AS (SELECT event_id, {_DIRECTIVES} AS t FROM events), x AS (SELECT event_id, t, regexp_extract(t, '^(.*?)\\b(lint-disable-next-line|lint-disable-line|lint-disable)\\b([^*\\n\\r`]*)', ['b', 'd', 'i']) AS m FROM l), y AS (SELECT event_id, m.b AS b, m.d AS d, list_filter(regexp_split_to_array(m.i, '[,\\s]+'), lambda q: q <> '') AS ids FROM x) SELECT event_id, CASE d WHEN 'lint-disable-next-line' THEN 'next-line' WHEN 'lint-disable-line' THEN 'line' ELSE 'file' END AS scope, array_to_string(ids, '|') AS ids FROM y WHERE len(ids) > 0 AND (contains(b, '//') OR contains(b, '`') OR contains(b, '/*'))", plain=True)
 def txt_23(m):
-    kind = F.col("event_type")
-    line = F.when(kind == "click", "x:=1 // 4d-lint-disable-next-line style/a, b").when(kind == "view", "` 4d-lint-disable-line").when(kind == "error", "/* 4d-lint-disable-file * */").otherwise("plain // comment")
-    return m.table("events").select("event_id", T.suppressions(line)[0].alias("scope")).filter("scope is not null")
+    scope, ids = T.suppressions(F.expr(_DIRECTIVES))
+    return m.table("events").select("event_id", scope.alias("scope"), F.array_join(ids, "|").alias("ids")).filter("scope is not null")
 
 
 @query("txt_24_safe_regex", " SELECT count(*) AS n FROM symbols WHERE regexp_matches(name, '^N')")
 def txt_24(m):
-    good = [p for p in ("^N", "([") if safe_regex(p)]
+    good = [p for p in ("^N", "([") if lookup.safe_regex(p)]
     return m.symbols.filter(F.col("name").rlike(good[0])).agg(F.count("*").alias("n"))
 
 
-def safe_regex(pattern: str) -> bool:
-    """Whether a user's pattern is a valid one; a rule with an invalid pattern finds nothing."""
-    import re
-
-    try:
-        re.compile(pattern)
-        return True
-    except re.error:
-        return False
-
-
 @query("txt_25_should_surface", " SELECT e.to_id, count(*) AS n FROM edges e JOIN symbols s ON s.symbol_id = e.to_id WHERE NOT e.resolved AND s.kind = 'Unresolved' AND NOT regexp_matches(s.name, '^[0-9]') GROUP BY 1")
 def txt_25(m):
     names = m.symbols.filter("kind = 'Unresolved'").select(F.col("symbol_id").alias("to_id"), "name")
@@ -228,7 +220,7 @@ def lnt_10(m):
 @query("lnt_11_builtin_collision", " SELECT symbol_id FROM symbols WHERE kind <> 'Constant' AND name_lc IN (SELECT lower(p_type) FROM part) AND name <> 'SMALL'")
 def lnt_11(m):
     names = m.table("part").select(F.lower("p_type").alias("name_lc")).distinct()
-    return m.symbols.filter("kind != 'Constant' and name != 'SMALL'").join(F.broadcast(names), "name_lc", "left_semi").select("symbol_id")
+    return m.symbols.filter("kind != 'Constant' and name != 'SMALL'").join(names, "name_lc", "left_semi").select("symbol_id")
 
 
 _FOUND = ", f AS (SELECT 0 AS rule_seq, 'types/missing-return-type' AS rule_id, uri, line, symbol_seq FROM symbols WHERE kind IN ('ClassFunction', 'ClassGetter') AND return_type IS NULL UNION ALL SELECT 1, 'style/class-pascal-case', uri, line, symbol_seq FROM symbols WHERE kind = 'Class' AND NOT regexp_matches(name, '^[A-Z][a-z]+(#[0-9]+)?$')), sup AS (SELECT DISTINCT uri, line FROM symbols WHERE kind = 'Class' AND symbol_seq % 2 = 0)"
@@ -254,10 +246,14 @@ def lnt_12(m):
     return run_lint(_findings(m), off).select("rule_id", "uri", "line")
 
 
-@query("lnt_13_suppression_map", _FOUND + " SELECT rule_id, count(*) AS n FROM f WHERE NOT (rule_id = 'style/class-pascal-case' AND uri = 'file:///p/Classes/ASIA.4dm') AND uri <> 'file:///p/Classes/AFRICA.4dm' GROUP BY 1")
+#: A source line for each class, with every form of directive, as SQL of both engines.
+_LINTED = "CASE symbol_seq % 5 WHEN 0 THEN '// lint-disable-line style/class-pascal-case' WHEN 1 THEN '` lint-disable-next-line types/missing-return-type, style/class-pascal-case' WHEN 2 THEN '/* lint-disable types/missing-return-type */' WHEN 3 THEN 'lint-disable-line style/class-pascal-case' ELSE '// lint-disable-line' END"
+
+
+@query("lnt_13_suppression_map", _FOUND.split(", sup AS")[0] + ", d AS (SELECT uri, line, symbol_seq % 5 AS k FROM symbols WHERE kind = 'Class'), off AS (SELECT uri, line, 'style/class-pascal-case' AS rule_id FROM d WHERE k = 0 UNION SELECT uri, line + 1, unnest(['types/missing-return-type', 'style/class-pascal-case']) FROM d WHERE k = 1 UNION SELECT uri, NULL, 'types/missing-return-type' FROM d WHERE k = 2 AND line < 20) SELECT rule_id, f.uri, count(*) AS n FROM f WHERE NOT EXISTS (SELECT 1 FROM off WHERE off.rule_id = f.rule_id AND off.uri = f.uri AND off.line IS NULL) AND NOT EXISTS (SELECT 1 FROM off WHERE off.rule_id = f.rule_id AND off.uri = f.uri AND off.line = f.line) GROUP BY 1, 2")
 def lnt_13(m):
-    off = m.spark.createDataFrame([("file:///p/Classes/ASIA.4dm", None, "style/class-pascal-case"), ("file:///p/Classes/AFRICA.4dm", None, "*")], "uri string, line int, rule_id string")
-    return run_lint(_findings(m), off, 1 << 30).groupBy("rule_id").agg(F.count("*").alias("n"))
+    lines = m.symbols.filter("kind = 'Class'").select("uri", "line", F.expr(_LINTED).alias("text"))
+    return run_lint(_findings(m), T.suppression_map(lines), 1 << 30).groupBy("rule_id", "uri").agg(F.count("*").alias("n"))
 
 
 @query("lnt_14_severity", " SELECT s AS name, CASE s WHEN 'info' THEN 3 WHEN 'warning' THEN 2 WHEN 'error' THEN 1 END AS severity FROM (VALUES ('off'), ('info'), ('warning'), ('error'), ('loud')) v(s)")

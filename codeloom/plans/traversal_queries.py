@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from codeloom.operators import calls, classes, graph, lookup
-from codeloom.plans.graph_queries import _INVOKES, search
+from codeloom.plans.graph_queries import _INVOKES, IS_TEST, search
 from codeloom.plans.registered import CHAIN, query
 
 START, ORDER = "ProjectMethod:test_5", "ProjectMethod:Order7"
@@ -44,31 +44,27 @@ def grf_04(m):
     return graph.reachable(m.edges, _seeds(m, "Class:Supplier#000000003"), None, "backward").select("id")
 
 
-@query("grf_05_filter_visibility", _closure("SELECT symbol_id FROM symbols WHERE kind = 'ProjectMethod' AND contains(name_lc, 'gear') AND symbol_seq % 7 = 0"))
+@query("grf_05_filter_visibility", _closure("SELECT symbol_id FROM symbols WHERE kind = 'ProjectMethod' AND contains(name_lc, 'gear')"))
 def grf_05(m):
     hits = m.symbols.filter("kind = 'ProjectMethod' and contains(name_lc, 'gear')").select(F.col("symbol_id").alias("id"))
     return graph.reachable(m.edges, hits).select("id")
 
 
 _CALLS = f", inv AS MATERIALIZED (SELECT DISTINCT from_id AS src, to_id AS dst FROM edges e JOIN symbols s ON s.symbol_id = e.to_id WHERE {_INVOKES})"
-_COVER = _CALLS + ", seeds AS (SELECT symbol_id FROM symbols WHERE kind = 'ProjectMethod' AND regexp_matches(name, '^test_|_Test$|^UT_') AND symbol_seq % 20 = 0), c(seed, id) AS (SELECT symbol_id, symbol_id FROM seeds UNION SELECT seed, dst FROM c JOIN inv ON src = id)"
+_SEEDS = "(kind = 'ClassFunction' AND regexp_matches(name, '^test_')) OR (kind = 'ProjectMethod' AND regexp_matches(name, '^UT_'))"
+_COVER = _CALLS + f", seeds AS (SELECT symbol_id FROM symbols WHERE {_SEEDS}), c(seed, id) AS (SELECT symbol_id, symbol_id FROM seeds UNION SELECT seed, dst FROM c JOIN inv ON src = id)"
 
 
 def _covered(m):
-    seeds = coverage_seeds(m.symbols).select(F.col("symbol_id").alias("seed"))
+    """Seeds by bits and what they reach; see closure_by_word."""
+    seeds = lookup.coverage_seeds(m.symbols).select(F.col("symbol_id").alias("seed"))
     steps = lookup.is_invocation(m.edges, m.symbols).select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"))
-    return graph.closure_by_seed(steps, seeds)
-
-
-def coverage_seeds(symbols, functions: str = "^test_", methods: list[str] | None = None):
-    """Test functions of classes and test methods, by their name patterns."""
-    is_function = (F.col("kind") == "ClassFunction") & F.col("name").rlike(functions)
-    return symbols.filter(is_function | ((F.col("kind") == "ProjectMethod") & lookup.is_test(F.col("name"), methods)))
+    return graph.closure_by_word(steps, seeds)
 
 
 @query("grf_06_call_only_reached", _COVER + " SELECT seed, count(*) AS n FROM c GROUP BY 1")
 def grf_06(m):
-    return _covered(m).groupBy("seed").agg(F.count("*").alias("n"))
+    return graph.reach_sizes(*_covered(m))
 
 
 @query("grf_07_ancestors", CHAIN + " SELECT class_lc, ancestor_lc, CAST(depth AS BIGINT) AS depth FROM up")
@@ -160,7 +156,7 @@ def cls_08(m):
 def cls_09(m):
     types = m.spark.createDataFrame([("cs.ASIA",), ("cs.NS.AFRICA",), ("Text",)], "typ string")
     named = types.filter(F.col("typ").startswith("cs.")).withColumn("owner_class", F.substring_index("typ", ".", -1))
-    return m.symbols.join(F.broadcast(named), "owner_class").select("typ", "symbol_id")
+    return m.symbols.join(named, "owner_class").select("typ", "symbol_id")
 
 
 # ---- the public query surface
@@ -287,26 +283,28 @@ def qry_23(m):
 # ---- coverage
 
 
-@query("cov_01_seeds", " SELECT symbol_id FROM symbols WHERE (kind = 'ClassFunction' AND regexp_matches(name, '^test_')) OR (kind = 'ProjectMethod' AND regexp_matches(name, '^test_|_Test$|^UT_'))")
+@query("cov_01_seeds", f" SELECT symbol_id FROM symbols WHERE {_SEEDS}")
 def cov_01(m):
-    return coverage_seeds(m.symbols).select("symbol_id")
+    return lookup.coverage_seeds(m.symbols).select("symbol_id")
 
 
-@query("cov_02_coverage", _COVER + " SELECT s.symbol_id, count(c.seed) AS n_tests, count(c.seed) > 0 AS covered FROM symbols s LEFT JOIN c ON c.id = s.symbol_id WHERE s.kind IN ('ProjectMethod', 'ClassFunction') AND NOT regexp_matches(s.name, '^test_|_Test$|^UT_') GROUP BY 1")
+@query("cov_02_coverage", _COVER + f", n AS (SELECT id, count(*) AS n FROM c WHERE id <> seed GROUP BY 1) SELECT symbol_id, coalesce(n, 0) AS n_tests, n IS NOT NULL AS covered FROM symbols LEFT JOIN n ON id = symbol_id WHERE kind IN ('ProjectMethod', 'ClassFunction') AND NOT {IS_TEST}")
 def cov_02(m):
-    hits = _covered(m).groupBy(F.col("id").alias("symbol_id")).agg(F.count("*").alias("n_tests"))
-    rows = m.symbols.filter(F.col("kind").isin("ProjectMethod", "ClassFunction") & ~lookup.is_test(F.col("name")))
+    hits = graph.reached_by(*_covered(m)).select(F.col("id").alias("symbol_id"), F.col("n").alias("n_tests"))
+    rows = m.symbols.filter(F.col("kind").isin("ProjectMethod", "ClassFunction") & ~lookup.is_test())
     return rows.select("symbol_id").join(hits, "symbol_id", "left").select("symbol_id", F.coalesce("n_tests", F.lit(0)).alias("n_tests"), F.col("n_tests").isNotNull().alias("covered"))
 
 
-@query("agg_13_coverage_maps", _COVER + ", d AS (SELECT DISTINCT src AS seed, dst AS id FROM inv JOIN seeds ON symbol_id = src) SELECT c.id AS symbol_id, count(*) AS n_transitive, count(d.seed) AS n_direct FROM c LEFT JOIN d USING (seed, id) GROUP BY 1")
+@query("agg_13_coverage_maps", _COVER + ", d AS (SELECT DISTINCT src AS seed, dst AS id FROM inv JOIN seeds ON symbol_id = src) SELECT c.id AS symbol_id, count(*) AS n_transitive, count(d.seed) AS n_direct FROM c LEFT JOIN d USING (seed, id) WHERE c.id <> c.seed GROUP BY 1")
 def agg_13(m):
-    pairs = _covered(m)
-    seeds = coverage_seeds(m.symbols).select(F.col("symbol_id").alias("from_id"))
-    direct = lookup.is_invocation(m.edges, m.symbols).join(seeds, "from_id", "left_semi").select(F.col("from_id").alias("seed"), F.col("to_id").alias("id"), F.lit(1).alias("d")).distinct()
-    return pairs.join(direct, ["seed", "id"], "left").groupBy(F.col("id").alias("symbol_id")).agg(F.count("*").alias("n_transitive"), F.count("d").alias("n_direct"))
+    seeds = lookup.coverage_seeds(m.symbols).select(F.col("symbol_id").alias("from_id"))
+    direct = lookup.is_invocation(m.edges, m.symbols).join(seeds, "from_id", "left_semi").filter("from_id != to_id").groupBy(F.col("to_id").alias("id")).agg(F.countDistinct("from_id").alias("n_direct"))
+    return graph.reached_by(*_covered(m)).join(direct, "id", "left").select(F.col("id").alias("symbol_id"), F.col("n").alias("n_transitive"), F.coalesce("n_direct", F.lit(0)).alias("n_direct"))
 
 
-@query("cov_03_default_patterns", " SELECT count(*) FILTER (regexp_matches(name, '^test_')) AS a, count(*) FILTER (regexp_matches(name, '_Test$')) AS b, count(*) FILTER (regexp_matches(name, '^UT_')) AS c FROM symbols")
+@query("cov_03_default_patterns", " SELECT count(*) FILTER (regexp_matches(name, '^test_')) AS functions, count(*) FILTER (regexp_matches(owner_class, 'A$')) AS owners, count(*) FILTER (kind = 'ProjectMethod' AND regexp_matches(name, '^UT_')) AS methods FROM symbols")
 def cov_03(m):
-    return m.symbols.agg(*[F.count(F.when(F.col("name").rlike(p), 1)).alias(n) for p, n in zip(lookup.TEST_PATTERNS, "abc", strict=True)])
+    # a missing pattern and an invalid one fall back to the defaults, a valid one holds
+    p = lookup.test_patterns(None, "A$", "([")
+    name = F.col("name")
+    return m.symbols.agg(F.count(F.when(name.rlike(p["function"]), 1)).alias("functions"), F.count(F.when(F.col("owner_class").rlike(p["owner"]), 1)).alias("owners"), F.count(F.when((F.col("kind") == "ProjectMethod") & name.rlike(p["method"]), 1)).alias("methods"))

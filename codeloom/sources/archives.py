@@ -7,6 +7,7 @@ import json
 import re
 import zipfile
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -19,39 +20,53 @@ from codeloom.functions.text import scan_line
 EXPRESSION_KEYS = {"dataSource", "expression", "variableCalculation", "columnDataSource", "methodName"}
 
 
-def archive_rows(content: bytes) -> Iterator[tuple[str, str | None, str, str | None]]:
-    """(kind, class, name, type) of an archive's metadata entries; a corrupt archive or entry has none.
+# The members of a component archive that are read.
+METHODS = "Project/DerivedData/methodAttributes.json"
+SETTINGS = "Project/Sources/settings.4DSettings"
+CLASSES = "Project/DerivedData/CompiledCode/classes.json"
+# Fixed value: the attribute of the settings that names a component's class store.
+NAMESPACE = r'component_classStore_name\s*=\s*"([^"]+)"'
+#: A member that unpacks to more is passed over.
+MAX_MEMBER = 64 << 20
+
 
-    The three entries are told by their shape: methods by name, classes with functions and typed
-    properties, and settings with the namespace.
-    """
+def _members(content: bytes) -> dict[str, str]:
+    """The texts of the three members; none of a corrupt archive."""
+    out = {}
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
-            names = [n for n in z.namelist() if n.lower().endswith((".json", ".txt", ".xml", ".4dsettings"))]
-            texts = [z.read(n).decode("utf-8-sig", "replace") for n in names]
-    except (zipfile.BadZipFile, OSError, ValueError, RuntimeError):
-        return
-    for text in texts:
-        if m := re.search(r"(?:namespace|classStoreName)\s*=\s*\"?([\w.]+)", text, re.I):
-            yield "namespace", None, m[1], None
-            continue
+            for name in (METHODS, SETTINGS, CLASSES):
+                if name in z.NameToInfo and z.getinfo(name).file_size <= MAX_MEMBER:
+                    out[name] = z.read(name).decode("utf-8-sig", "replace")
+    except (zipfile.BadZipFile, OSError, ValueError, RuntimeError, NotImplementedError):
+        return {}
+    return out
+
+
+def archive_rows(content: bytes) -> Iterator[tuple[str, str | None, str, str | None]]:
+    """(kind, class, name, type) of an archive's metadata: methods by name, the namespace of its
+    settings, and classes with functions and typed properties; a corrupt archive or member has none."""
+    texts = _members(content)
+    if m := re.search(NAMESPACE, texts.get(SETTINGS, "")):
+        yield "namespace", None, m[1], None
+
+    def table(name: str) -> dict:
         try:
-            value = json.loads(text)
+            value = json.loads(texts.get(name, ""))
         except ValueError:
-            continue
-        if not isinstance(value, dict):
-            continue
-        if isinstance(value.get("methods"), dict):
-            yield from (("method", None, name, None) for name in value["methods"])
-            continue
-        for cls, body in value.items():
-            if isinstance(body, dict) and ("functions" in body or "properties" in body or "constructorID" in body):
-                yield "class", None, cls, None
-                if body.get("constructorID"):
-                    yield "constructor", cls, cls, None
-                yield from (("function", cls, f, None) for f in body.get("functions") or {})
-                for p, kind in (body.get("properties") or {}).items():
-                    yield "property", cls, p, (kind or {}).get("className") if isinstance(kind, dict) else None
+            return {}
+        return value if isinstance(value, dict) else {}
+
+    methods = table(METHODS).get("methods")
+    yield from (("method", None, name, None) for name in (methods if isinstance(methods, dict) else {}))
+    for cls, body in table(CLASSES).items():
+        if isinstance(body, dict) and ("functions" in body or "properties" in body or "constructorID" in body):
+            yield "class", None, cls, None
+            if body.get("constructorID"):
+                yield "constructor", cls, cls, None
+            yield from (("function", cls, f, None) for f in body.get("functions") or {})
+            for p, kind in (body.get("properties") or {}).items():
+                yield "property", cls, p, (kind or {}).get("className") if isinstance(kind, dict) else None
 
 
 def components(archives: DataFrame) -> DataFrame:
@@ -98,3 +113,36 @@ def form_sites(forms: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["rel_path", "line", "key", "hint_kind", "name"])
 
     return forms.select("rel_path", "content").mapInPandas(run, "rel_path string, line int, key string, hint_kind string, name string")
+
+
+def xliff_units(text: str) -> Iterator[tuple[str, str, str, str | None]]:
+    """(name, value, type letter, theme) of the units of a constants file; groups name themes, values end in a type letter."""
+    try:
+        root = ElementTree.fromstring(text.lstrip("\ufeff"))
+    except ElementTree.ParseError:
+        return
+
+    def own(node, key: str) -> str | None:
+        return next((v for k, v in node.attrib.items() if k.rpartition("}")[2] == key), None)
+
+    stack = [(root, None)]
+    while stack:
+        node, theme = stack.pop()
+        if node.tag.rpartition("}")[2] == "trans-unit":
+            value = own(node, "value")
+            name = own(node, "resname") or next((c.text for c in node if c.tag.rpartition("}")[2] == "source"), None) or own(node, "id")
+            if value is not None and name:
+                m = re.fullmatch(r"(.*):([A-Z])", value, re.S)
+                yield name.strip(), m[1] if m else value, m[2] if m else "", theme
+        theme = own(node, "groupName") or theme
+        stack += [(c, theme) for c in reversed(node)]
+
+
+def xliff_constants(sources: DataFrame) -> DataFrame:
+    """(name, value, type_letter, theme) of constants files (content)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame([x for text in frame["content"] for x in xliff_units(text or "")], columns=["name", "value", "type_letter", "theme"])
+
+    return sources.select("content").mapInPandas(run, "name string, value string, type_letter string, theme string")
