@@ -19,7 +19,7 @@ FORM_OPENERS = {"open form window", "dialog", "form load", "print form", "modify
 OPENERS = [("if", r"if\s*\("), ("case", r"case\s+of\b"), ("for", r"for(?:\s+each)?\s*\("), ("while", r"while\s*\("), ("repeat", r"repeat\b")]
 CLOSERS = [("if", r"end\s+if\b"), ("case", r"end\s+case\b"), ("for", r"end\s+for\b"), ("while", r"end\s+while\b"), ("repeat", r"until\b")]
 SITE_COLUMNS = "site_no int, from_id string, line int, column_no int, end_column int, hint_kind string, name string, class_name string, namespace string, variable string, path string, raw string"
-_MEMBER = re.compile(r"(?i)(?:(?:local|shared)\s+)?function\s+(?:(get|set)\s+)?(\w+)\s*(?:\((.*)\))?\s*(?:(?:->|:)\s*(.+))?$")
+_MEMBER = re.compile(r"(?i)(?:(?:local|shared|exposed)\s+)*function\s+(?:(get|set|query|orderby)\s+)?(\w+)\s*(?:\((.*)\))?\s*(?:(?:->|:)\s*(.+))?$")
 
 
 def clean_source(source: str) -> list[tuple[str, list[str], list[int]]]:
@@ -27,6 +27,83 @@ def clean_source(source: str) -> list[tuple[str, list[str], list[int]]]:
     return [scan_line(x) for x in re.split(r"\r?\n", blank)]
 
 
+#: Places of a joined statement carry their line in the bits above this one.
+_LINE = 20
+#: Lines that one statement may span; an unclosed bracket joins nothing.
+MAX_JOINED = 200
+
+
+def statements(source: str) -> list[tuple[int, tuple[str, list[str], list[int]]]]:
+    """(first line, cleaned text) of every statement: a line, with those that a final backslash or an open bracket joins to it.
+
+    The places of the cleaned text are line << 20 | column of the source.
+    """
+    lines = clean_source(source)
+    depth = [sum(t.count(c) for c in "([{") - sum(t.count(c) for c in ")]}") for t, _, _ in lines]
+    out, i = [], 0
+    while i < len(lines):
+        last, balance = i, depth[i]
+        while last + 1 < len(lines) and last - i < MAX_JOINED and (balance > 0 or lines[last][0].rstrip().endswith("\\")):
+            last += 1
+            balance += depth[last]
+        if balance > 0:  # never closed: a statement a line
+            last = i
+            while last + 1 < len(lines) and lines[last][0].rstrip().endswith("\\"):
+                last += 1
+        text, strings, cols = "", [], []
+        for k in range(i, last + 1):
+            t, own, at = lines[k]
+            if k < last and t.rstrip().endswith("\\"):
+                t = t.rstrip()[:-1]
+            if text:
+                text, cols = text + " ", [*cols, k << _LINE]
+            base = len(strings)
+            if base:  # literals are numbered through the statement
+                moved, places, done = "", [], 0
+                for m in re.finditer(r'"(\d+)"', t):
+                    number = f'"{base + int(m[1])}"'
+                    moved += t[done : m.start()] + number
+                    places += at[done : m.start()] + [at[m.start()]] * len(number)
+                    done = m.end()
+                t, at = moved + t[done:], places + at[done:]
+            text += t
+            cols += [k << _LINE | c for c in at[: len(t)]]
+            strings += own
+            end = at[min(len(t), len(at) - 1)]
+        out.append((i, (text, strings, [*cols, last << _LINE | end])))
+        i = last + 1
+    return out
+
+
+#: Words of type declarations and the types that they give.
+C_TYPES = {"text": "Text", "string": "Text", "alpha": "Text", "longint": "Integer", "integer": "Integer", "real": "Real", "boolean": "Boolean", "date": "Date", "time": "Time", "object": "Object", "collection": "Collection", "picture": "Picture", "blob": "Blob", "pointer": "Pointer", "variant": "Variant"}
+_TYPED = re.compile(r"\.?\.?\.?\$(\w+)\s*:\s*([\w.]+)")
+_NEW = re.compile(r"(?i)\$(\w+)\s*:=\s*(cs|ds)\s*(?:\.\s*(\w+)|\[\s*_?(\w+)\s*\])\s*\.\s*(?:(\w+)\s*\.\s*)?(\w+)\s*\(")
+_SELECTS = {"query", "all", "fromcollection", "newselection"}
+
+
+def local_types(text: str) -> Iterator[tuple[str, str, bool]]:
+    """(variable, type, certain) that a cleaned statement declares or assigns; what isn't certain gives way to a declaration.
+
+    Types are named as declared, cs.Class, cs.Space.Class, dsTable:Table or entitySelectionOf:Table.
+    """
+    if m := re.match(r"(?i)\s*C_(\w+)\s*\(([^)]*)\)", text):
+        if kind := C_TYPES.get(m[1].lower()):
+            yield from ((v, kind, True) for v in re.findall(r"\$(\w+)", m[2]))
+    elif m := re.match(r"(?i)\s*var\s+(.+?)\s*:\s*([\w.]+)", text):
+        yield from ((v, m[2], True) for v in re.findall(r"\$(\w+)", m[1]))
+    elif re.match(r"(?i)\s*(?:#declare|(?:(?:local|shared)\s+)?function|class\s+constructor)\b", text):
+        yield from ((m[1], m[2], True) for m in _TYPED.finditer(text))
+    for m in _NEW.finditer(text):
+        variable, head, name, bracket, inner, call = m.groups()
+        if head.lower() == "cs" and call.lower() == "new" and name:
+            yield variable, f"cs.{name}.{inner}" if inner else f"cs.{name}", bool(inner)
+        elif head.lower() == "ds" and not inner and call.lower() == "new":
+            yield variable, f"dsTable:{name or bracket}", True
+        elif head.lower() == "ds" and not inner and call.lower() in _SELECTS:
+            yield variable, f"entitySelectionOf:{name or bracket}", True
+
+
 def blocks_of(source: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) lines of control blocks, functions and the class: a closer takes the nearest opener of
     its kind and drops what is open inside it, a bare End the innermost; the end of the text closes the rest."""
@@ -225,8 +302,8 @@ def _dispatch(line: _Line, site, i: int, k: int, command: str) -> Iterator[dict]
         yield site("ExecuteMethodDynamic", a, variable=line.at(a)[1:])
 
 
-def extract_source(category: str, container: str | None, base: str, source: str, constants: set[str] = frozenset(), commands: set[str] = frozenset()) -> tuple[list[dict], list[dict]]:
-    """Symbols and call sites of a file. A site belongs to the last declaration at or above its line."""
+def extract_source(category: str, container: str | None, base: str, source: str, constants: set[str] = frozenset(), commands: set[str] = frozenset()) -> tuple[list[dict], list[dict], list[dict]]:
+    """Symbols, call sites and types of local variables of a file. A site belongs to the last declaration at or above its line."""
     symbols: list[dict] = []
     sites: list[dict] = []
 
@@ -239,34 +316,49 @@ def extract_source(category: str, container: str | None, base: str, source: str,
     kinds = {"method": "ProjectMethod", "compilerMethod": "CompilerMethod", "databaseMethod": "DatabaseMethod", "formMethod": "FormMethod", "formObjectMethod": "FormObjectMethod", "tableFormMethod": "TableFormMethod", "tableObjectMethod": "TableFormObjectMethod", "class": "Class"}
     name = container if category in ("formMethod", "tableFormMethod", "class") else f"{container}.{base}" if container else base
     owner = add(kinds[category], name, 0)
-    for no, cleaned in enumerate(clean_source(source)):
+    bodies = [(symbols[0], 0)]
+    types: dict[tuple[str, str], str] = {}
+    every = statements(source)
+    for no, cleaned in every:
         text = cleaned[0].strip()
+        member = False
         if category == "class":
             if m := re.match(r"(?i)class\s+extends\s+(\w+)", text):
                 symbols[0]["extends_class"] = m[1]
                 continue
             if m := re.match(r"(?i)class\s+constructor\s*(?:\((.*)\))?", text):
-                owner = add("ClassConstructor", container, no, owner_class=container, params=m[1])
-                continue
-            if m := _MEMBER.match(text):
+                owner, member = add("ClassConstructor", container, no, owner_class=container, params=m[1]), True
+            elif m := _MEMBER.match(text):
                 kind = {"get": "ClassGetter", "set": "ClassSetter"}.get((m[1] or "").lower(), "ClassFunction")
-                owner = add(kind, m[2], no, owner_class=container, params=m[3], return_type=m[4])
-                continue
-            if m := re.match(r"(?i)alias\s+(\w+)\s+(\S+)", text):
+                owner, member = add(kind, m[2], no, owner_class=container, params=m[3], return_type=m[4]), True
+            elif m := re.match(r"(?i)alias\s+(\w+)\s+(\S+)", text):
                 add("Alias", m[1], no, owner_class=container)
                 continue
-            if m := re.match(r"(?i)property\s+([\w\s;,]+?)\s*(?::\s*(.+))?$", text):
+            elif m := re.match(r"(?i)property\s+([\w\s;,]+?)\s*(?::\s*(.+))?$", text):
                 for one in re.split(r"[;,]", m[1]):
                     add("ClassProperty", one.strip(), no, owner_class=container, return_type=m[2])
                 continue
+        if member:
+            bodies[-1][0]["end_line"] = max(no - 1, bodies[-1][1])
+            bodies.append((symbols[-1], no))
+        for variable, kind, certain in local_types(cleaned[0]):
+            if certain or (owner, variable) not in types:
+                types[owner, variable] = kind
+        if member:
+            continue
         if m := re.match(r"(?i)#declare\s*\((.*?)\)\s*(?:(?:->|:)\s*(.+))?$", text):
             symbols[0] |= {"params": m[1], "return_type": m[2]}
             continue
         if re.match(r"(?i)(?:var|property|c_\w+)\b", text) and ":=" not in text:
             continue
         for s in sites_of_line(cleaned, constants, commands):
-            sites.append({"site_no": len(sites), "from_id": owner, "line": no, "raw": text, **s})
-    return symbols, sites
+            at, end = s["column_no"], s["end_column"]
+            sites.append({"site_no": len(sites), "from_id": owner, "raw": text, **s, "line": at >> _LINE, "column_no": at & ((1 << _LINE) - 1), "end_column": end & ((1 << _LINE) - 1)})
+    bodies[-1][0]["end_line"] = len(clean_source(source)) - 1 if every else 0
+    if len(bodies) > 1:  # a class lasts to the end of its file
+        symbols[0]["end_line"] = bodies[-1][0]["end_line"]
+    locals_ = [{"from_id": o, "variable": v, "type": t} for (o, v), t in types.items()]
+    return symbols, sites, locals_
 
 
 def _table(files: DataFrame, which: int, columns: str, constants: set[str], commands: set[str]) -> DataFrame:
@@ -289,7 +381,7 @@ def _table(files: DataFrame, which: int, columns: str, constants: set[str], comm
 
 def symbols_of(files: DataFrame) -> DataFrame:
     """Symbols of files (rel_path, category, container, base, content)."""
-    return _table(files, 0, "symbol_id string, name string, kind string, line int, owner_class string, extends_class string, params string, return_type string", frozenset(), frozenset())
+    return _table(files, 0, "symbol_id string, name string, kind string, line int, owner_class string, extends_class string, params string, return_type string, end_line int", frozenset(), frozenset())
 
 
 def sites_of(files: DataFrame, constants: set[str] = frozenset(), commands: set[str] = frozenset()) -> DataFrame:
@@ -297,6 +389,11 @@ def sites_of(files: DataFrame, constants: set[str] = frozenset(), commands: set[
     return _table(files, 1, SITE_COLUMNS, constants, commands)
 
 
+def locals_of(files: DataFrame) -> DataFrame:
+    """(rel_path, from_id, variable, type) of the local variables whose type a declaration, parameter or assignment tells."""
+    return _table(files, 2, "from_id string, variable string, type string", frozenset(), frozenset())
+
+
 def blocks_table(sources: DataFrame, key: str, text: str) -> DataFrame:
     """(key, kind, start_line, end_line) of each source."""
 

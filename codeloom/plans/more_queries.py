@@ -48,13 +48,13 @@ def src_13(m):
 def src_08(m):
     units = m.table("part").select("p_type").distinct()
     themes = units.select(F.length("p_type").alias("k"), F.concat(F.lit("theme_"), F.length("p_type").cast("string")).alias("theme")).distinct()
-    return units.withColumn("k", F.length("p_type")).join(F.broadcast(themes), "k", "left").select(F.lower("p_type").alias("name"), F.coalesce("theme", F.lit("group")).alias("theme"))
+    return units.withColumn("k", F.length("p_type")).join(themes, "k", "left").select(F.lower("p_type").alias("name"), F.coalesce("theme", F.lit("group")).alias("theme"))
 
 
 @query("src_16_command_catalog", " SELECT symbol_id FROM symbols WHERE name_lc IN (SELECT lower(p_type) FROM part)")
 def src_16(m):
     catalog = m.table("part").select(F.lower("p_type").alias("name_lc")).distinct()
-    return m.symbols.join(F.broadcast(catalog), "name_lc", "left_semi").select("symbol_id")
+    return m.symbols.join(catalog, "name_lc", "left_semi").select("symbol_id")
 
 
 @query("src_14_cache_reload", " SELECT kind, count(*) AS n FROM symbols GROUP BY 1")
@@ -75,7 +75,7 @@ def snk_04(m):
     return rows.withColumn("r", F.row_number().over(w)).filter("r <= 100").groupBy("uri").agg(F.count("*").alias("n"))
 
 
-@query("snk_05_semantic_token_deltas", ", t AS (SELECT from_id, line, coalesce(column_no, 0) AS c, row_number() OVER w AS k, lag(line, 1, 0) OVER w AS pl, lag(coalesce(column_no, 0), 1, 0) OVER w AS pc FROM edges WHERE starts_with(from_id, 'ProjectMethod:Order1') WINDOW w AS (PARTITION BY from_id ORDER BY line, coalesce(column_no, 0), edge_seq, to_id)) SELECT from_id, k, CAST(line - pl AS BIGINT) AS delta_line, CAST(CASE WHEN line = pl THEN c - pc ELSE c END AS BIGINT) AS delta_start FROM t")
+@query("snk_05_semantic_token_deltas", ", t AS (SELECT from_id, line, coalesce(column_no, 0) AS c, row_number() OVER w AS k, lag(line, 1, 0) OVER w AS pl, lag(coalesce(column_no, 0), 1, 0) OVER w AS pc FROM edges WINDOW w AS (PARTITION BY from_id ORDER BY line, coalesce(column_no, 0), edge_seq, to_id)) SELECT from_id, k, CAST(line - pl AS BIGINT) AS delta_line, CAST(CASE WHEN line = pl THEN c - pc ELSE c END AS BIGINT) AS delta_start FROM t")
 def snk_05(m):
     c = F.coalesce("column_no", F.lit(0))
     w = Window.partitionBy("from_id").orderBy("line", c, "edge_seq", "to_id")
@@ -119,13 +119,6 @@ def jon_23(m):
     return res.join(m.symbols.select("symbol_id", "return_type"), "symbol_id").select("class_lc", "name_lc", F.coalesce(F.lower("return_type"), F.lit("variant")).alias("type_lc"))
 
 
-@query("ext_07_infer_locals", "SELECT o_custkey, arg_max(o_orderpriority, CASE WHEN o_orderstatus = 'P' THEN o_orderkey - 1000000000000 ELSE o_orderkey END) AS local_type FROM orders GROUP BY 1", plain=True)
-def ext_07(m):
-    # the last write wins, but a plain construction (status P) overrides no other write
-    firm = F.when(F.col("o_orderstatus") == "P", 0).otherwise(1)
-    return m.table("orders").groupBy("o_custkey").agg(F.max_by("o_orderpriority", F.struct(firm, "o_orderkey")).alias("local_type"))
-
-
 @query("ext_08_variadic_params", " SELECT symbol_id, concat_ws(';', params, 'tail') AS params FROM symbols WHERE kind = 'ProjectMethod' AND params IS NOT NULL")
 def ext_08(m):
     tail = m.symbols.filter("kind = 'ProjectMethod'").select("symbol_id", F.array(F.lit("tail")).alias("extra"))
@@ -145,12 +138,6 @@ def qry_24(m):
     return m.symbols.join(c, "symbol_id", "left").groupBy("kind", F.col("owner_class").alias("owner")).agg(F.count("*").alias("n"), F.coalesce(F.sum("c"), F.lit(0)).alias("calls"))
 
 
-@query("qry_12_reindex", " SELECT count(*) AS n_edges, count(*) FILTER (resolved) AS n_resolved FROM (SELECT DISTINCT from_id, to_id, line, call_kind, access, first_value(resolved) OVER (PARTITION BY from_id, to_id, line, call_kind, access ORDER BY edge_seq, column_no, call_kind, raw, access, receiver) AS resolved FROM edges)")
-def qry_12(m):
-    kept = stored(calls.dedup_edges(m.edges), "edges")
-    return kept.agg(F.count("*").alias("n_edges"), F.count(F.when(F.col("resolved"), 1)).alias("n_resolved"))
-
-
 @query("str_06_idempotent_append", " SELECT count(*) AS n FROM (SELECT DISTINCT from_id, to_id, line, call_kind, access FROM edges)")
 def str_06(m):
     once = calls.dedup_edges(m.edges)

@@ -14,7 +14,7 @@ DIMS = {
     "components": [("bolt", "ComponentMethod:bolt"), ("widget", "ComponentMethod:widget")],
     "plugins": [("gear", "PluginCommand:gear")],
     "builtins": [("ring", "Builtin:ring"), ("gear", "Builtin:gear")],
-    "prefixes": [("sp", "Plugin:sp"), ("s", "Plugin:s"), ("pl", "Plugin:pl")],
+    "prefixes": [("sp", ""), ("s", ""), ("pl", "")],
     "constants": [("small", "Constant:small"), ("blue", "BuiltinConstant:blue")],
     "forms": [("bolt", "Form:bolt")],
 }
@@ -30,10 +30,11 @@ def sites(m):
     return m.table("part").select(F.col("p_partkey").alias("site_no"), F.concat(F.lit("ProjectMethod:Part"), "p_partkey").alias("from_id"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("w1"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("w2"), F.lower("p_type").alias("name_lc"), F.concat(F.lit("supplier#00000000"), (F.col("p_partkey") % 10).cast("string")).alias("class_lc"), "p_size")
 
 
-@query("jon_01_bare_name", _SITES + " SELECT site_no, coalesce(m.to_id, c.to_id, p.to_id, b.to_id, (SELECT arg_max(x.to_id, length(x.key)) FROM prefixes x WHERE starts_with(w2, x.key)), concat('Unresolved:', w2)) AS to_id FROM sites LEFT JOIN methods m ON m.key = lower(w2) LEFT JOIN components c ON c.key = w2 LEFT JOIN plugins p ON p.key = w2 LEFT JOIN builtins b ON b.key = w2")
+@query("jon_01_bare_name", _SITES + " SELECT site_no, coalesce(m.to_id, d.to_id, c.to_id, p.to_id, b.to_id, CASE WHEN (SELECT count(*) FROM prefixes x WHERE starts_with(w2, x.key)) > 0 THEN concat('Builtin:', w2) END, concat('Unresolved:', w2)) AS to_id FROM sites LEFT JOIN methods m ON m.key = lower(w2) LEFT JOIN (SELECT name_lc AS key, arg_min(symbol_id, symbol_seq) AS to_id FROM symbols WHERE kind IN ('ProjectMethod', 'DatabaseMethod') GROUP BY 1) d ON d.key = lower(w2) LEFT JOIN components c ON c.key = w2 LEFT JOIN plugins p ON p.key = w2 LEFT JOIN builtins b ON b.key = w2")
 def jon_01(m):
     d = dims(m)
-    return resolve.bare_names(sites(m), "w2", d["methods"], d["components"], d["plugins"], d["builtins"], d["prefixes"]).select("site_no", "to_id")
+    own = resolve.method_dimension(m.symbols).join(d["methods"], "key", "left_anti")
+    return resolve.bare_names(sites(m), "w2", d["methods"].union(own), d["components"], d["plugins"], d["builtins"], d["prefixes"]).select("site_no", "to_id")
 
 
 @query("jon_02_builtin_chain", _SITES + " SELECT site_no, coalesce(p.to_id, b.to_id) AS to_id FROM sites LEFT JOIN plugins p ON p.key = w2 LEFT JOIN builtins b ON b.key = w2 WHERE coalesce(p.to_id, b.to_id) IS NOT NULL")
@@ -42,10 +43,10 @@ def jon_02(m):
     return resolve.by_priority(sites(m), [(F.col("w2"), d["plugins"]), (F.col("w2"), d["builtins"])], None).select("site_no", "to_id")
 
 
-@query("jon_03_cs_new", _SITES + ", c AS (SELECT name_lc AS key, symbol_id AS to_id FROM symbols WHERE kind = 'Class' AND symbol_seq % 2 = 0) SELECT site_no, coalesce(c.to_id, concat('Unresolved:cs.', class_lc, '.new')) AS to_id, c.to_id IS NOT NULL AS resolved FROM sites LEFT JOIN c ON c.key = class_lc")
+@query("jon_03_cs_new", _SITES + ", c AS (SELECT name_lc AS key, symbol_id AS to_id FROM symbols WHERE kind = 'Class') SELECT site_no, coalesce(c.to_id, concat('Unresolved:cs.', class_lc, '.new')) AS to_id, c.to_id IS NOT NULL AS resolved FROM sites LEFT JOIN c ON c.key = class_lc")
 def jon_03(m):
     made = m.symbols.filter("kind = 'ClassConstructor'").select(F.lower("owner_class").alias("key"), F.col("symbol_id").alias("to_id"))
-    own = m.symbols.filter("kind = 'Class' and symbol_seq % 2 = 0").select(F.col("name_lc").alias("key"), F.col("symbol_id").alias("to_id"))
+    own = m.symbols.filter("kind = 'Class'").select(F.col("name_lc").alias("key"), F.col("symbol_id").alias("to_id"))
     return resolve.by_priority(sites(m), [(F.col("class_lc"), made), (F.col("class_lc"), own)], F.concat(F.lit("Unresolved:cs."), "class_lc", F.lit(".new"))).select("site_no", "to_id", "resolved")
 
 
@@ -174,14 +175,6 @@ def jon_26(m):
     return a.join(b, [*key, "a"]).drop("a")
 
 
-@query("jon_27_symbol_assembly", " SELECT kind, count(*) AS n FROM (SELECT DISTINCT kind, symbol_id FROM symbols UNION SELECT 'BuiltinConstant', concat('BuiltinConstant:', p_type) FROM part WHERE concat('k_', lower(p_type)) NOT IN (SELECT name FROM symbols WHERE kind = 'Constant' AND symbol_seq % 2 = 0)) GROUP BY 1")
-def jon_27(m):
-    taken = m.symbols.filter("kind = 'Constant' and symbol_seq % 2 = 0").select("name")
-    extra = m.table("part").select("p_type").distinct().withColumn("name", F.concat(F.lit("k_"), F.lower("p_type"))).join(taken, "name", "left_anti")
-    more = extra.select(F.lit("BuiltinConstant").alias("kind"), F.concat(F.lit("BuiltinConstant:"), "p_type").alias("symbol_id"))
-    return m.symbols.select("kind", "symbol_id").unionByName(more).dropDuplicates(["symbol_id"]).groupBy("kind").agg(F.count("*").alias("n"))
-
-
 @query("jon_28_table_relabel", " SELECT s_suppkey, coalesce(n_name, CAST(s_nationkey AS VARCHAR)) AS owner_table FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 2 = 0) ON s_nationkey = n_nationkey", plain=True)
 def jon_28(m):
     ids = m.table("nation").filter("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")

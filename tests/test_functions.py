@@ -47,7 +47,7 @@ def test_call_sites():
 
 def test_class_source():
     source = "Class extends Base\nproperty a, b : Text\nClass constructor($p : Text)\n  This.a:=$p\nFunction get size() : Integer\n  return This.b.length()\nFunction run($x : Text) -> $r : Text\n  This.go()"
-    symbols, sites = extract_source("class", "Box", "Box", source)
+    symbols, sites, _ = extract_source("class", "Box", "Box", source)
     assert [s["symbol_id"] for s in symbols] == ["Class:Box", "ClassProperty:Box.a", "ClassProperty:Box.b", "ClassConstructor:Box.Box", "ClassGetter:Box.size", "ClassFunction:Box.run"]
     assert symbols[0]["extends_class"] == "Base"
     assert [(s["from_id"], s["hint_kind"]) for s in sites] == [("ClassConstructor:Box.Box", "ThisSet"), ("ClassGetter:Box.size", "ThisGet"), ("ClassGetter:Box.size", "ThisChainCall"), ("ClassFunction:Box.run", "ThisCall")]
@@ -67,3 +67,43 @@ def test_small_functions():
     assert open_call("Run(1)") is None
     assert parse_filter("ab -x >=3 c") == ("ab c", ["x"], (">=", 3))
     assert fuzzy_pattern("a.b") == r"(?s)a.*\..*b"
+
+
+def test_suppression_directives(spark):
+    from pyspark.sql import functions as F
+
+    from codeloom.functions import text as T
+
+    source = """// lint-disable style/one, style/two
+Function a() // lint-disable-line unused/local unused/parameter
+` lint-disable-next-line decl/implicit-local
+/* lint-disable-line types/missing-param-type */ x
+lint-disable-line not/commented
+// 4d-lint-disable-line older
+// lint-disable-line
+// lint-disabled all"""
+    lines = source.split("\n") + [""] * 20 + ["// lint-disable too/late", "// lint-disable-line late/line"]
+    rows = spark.createDataFrame([("u", i, t) for i, t in enumerate(lines)], "uri string, line int, text string")
+    got = {(r.line, r.rule_id) for r in T.suppression_map(rows).collect()}
+    assert got == {(None, "style/one"), (None, "style/two"), (1, "unused/local"), (1, "unused/parameter"), (3, "decl/implicit-local"), (3, "types/missing-param-type"), (5, "older"), (29, "late/line")}
+    assert rows.filter(T.suppressions(F.col("text"))[0].isNotNull()).count() == 7
+
+
+def test_test_patterns(spark):
+    from codeloom.operators import lookup
+
+    rows = [("a", "test_a", "ProjectMethod", None, None), ("b", "UT_b", "ProjectMethod", None, None), ("c", "UT_c", "ClassFunction", "Box", None), ("d", "run", "ClassFunction", "Box_Test", None), ("e", "x_Test", "ProjectMethod", None, None), ("f", "Any", "Class", None, "Test"), ("g", "test_g", "ClassFunction", "Box", None)]
+    symbols = spark.createDataFrame(rows, "symbol_id string, name string, kind string, owner_class string, class_flavor string")
+    assert {r.symbol_id for r in symbols.filter(lookup.is_test()).collect()} == {"a", "b", "d", "f", "g"}
+    assert {r.symbol_id for r in lookup.coverage_seeds(symbols).collect()} == {"b", "g"}
+    assert lookup.test_patterns("([", None, "^Q") == {"function": "^test_", "owner": "_Test$", "method": "^Q"}
+
+
+def test_statements_join_lines():
+    from codeloom.functions.extract import extract_source, statements
+
+    assert [(n, t[0]) for n, t in statements("a(1; \\\n  b)\nc\n(open\nd")] == [(0, "a(1;    b)"), (2, "c"), (3, "(open"), (4, "d")]
+    assert [t[1] for _, t in statements('f("x"; (\n"y")\n)')] == [["x", "y"]]
+    _, sites, types = extract_source("method", None, "m", 'C_TEXT($a;\n  $b)\nRun("p"; \\\n  EXECUTE METHOD("q"))\n$s:=ds.T.query("z")')
+    assert [(s["hint_kind"], s["name"], s["line"], s["column_no"]) for s in sites] == [("BareName", "Run", 2, 0), ("ExecuteMethodLiteral", "q", 3, 17), ("DsCall", "query", 4, 9)]
+    assert {t["variable"]: t["type"] for t in types} == {"a": "Text", "b": "Text", "s": "entitySelectionOf:T"}
