@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.functions.text import _COMMENT, scan_line
+from codeloom.functions.text import _COMMENT, C_TYPES, chained, scan_line
 
 _TOKEN = re.compile(r"\s*(?:(?P<var>\$\w*)|(?P<ip><>\s*\w+)|(?P<name>[A-Za-z_]\w*)|(?P<num>\d[\w.]*)|(?P<str>\"\d+\")|(?P<op>:=|[+\-*/]=|[^\s\w]))")
 # Words that are never calls; commands whose argument names what they run.
@@ -75,8 +75,6 @@ def statements(source: str) -> list[tuple[int, tuple[str, list[str], list[int]]]
     return out
 
 
-#: Words of type declarations and the types that they give.
-C_TYPES = {"text": "Text", "string": "Text", "alpha": "Text", "longint": "Integer", "integer": "Integer", "real": "Real", "boolean": "Boolean", "date": "Date", "time": "Time", "object": "Object", "collection": "Collection", "picture": "Picture", "blob": "Blob", "pointer": "Pointer", "variant": "Variant"}
 _TYPED = re.compile(r"\.?\.?\.?\$(\w+)\s*:\s*([\w.]+)")
 _NEW = re.compile(r"(?i)\$(\w+)\s*:=\s*(cs|ds)\s*(?:\.\s*(\w+)|\[\s*_?(\w+)\s*\])\s*\.\s*(?:(\w+)\s*\.\s*)?(\w+)\s*\(")
 _SELECTS = {"query", "all", "fromcollection", "newselection"}
@@ -96,6 +94,8 @@ def local_types(text: str) -> Iterator[tuple[str, str, bool]]:
         yield from ((m[1], m[2], True) for m in _TYPED.finditer(text))
     for m in _NEW.finditer(text):
         variable, head, name, bracket, inner, call = m.groups()
+        if chained(text[m.start() :]):
+            continue
         if head.lower() == "cs" and call.lower() == "new" and name:
             yield variable, f"cs.{name}.{inner}" if inner else f"cs.{name}", bool(inner)
         elif head.lower() == "ds" and not inner and call.lower() == "new":

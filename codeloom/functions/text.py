@@ -7,11 +7,14 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 # Local type names that are folded to one spelling.
 PRIMITIVES = {"text": "Text", "string": "Text", "alpha": "Text", "longint": "Integer", "integer": "Integer", "int": "Integer", "long": "Integer", "real": "Real", "number": "Real", "boolean": "Boolean", "bool": "Boolean", "date": "Date", "time": "Time", "object": "Object", "collection": "Collection", "variant": "Variant", "picture": "Picture", "pointer": "Pointer", "blob": "Blob"}
 
+#: Words of C_<word> declarations and the types that they give.
+C_TYPES = {"text": "Text", "string": "Text", "alpha": "Text", "longint": "Integer", "integer": "Integer", "real": "Real", "boolean": "Boolean", "date": "Date", "time": "Time", "object": "Object", "collection": "Collection", "picture": "Picture", "blob": "Blob", "pointer": "Pointer", "variant": "Variant"}
+
 
 def scan_line(line: str) -> tuple[str, list[str], list[int]]:
     """A line without comments, its string literals replaced by their ordinal in quotes; the literals;
@@ -178,6 +181,36 @@ def suppression_map(lines: DataFrame) -> DataFrame:
     return rows.select("uri", F.when(F.col("kind") == "line", F.col("line")).when(F.col("kind") == "next-line", F.col("line") + 1).alias("line"), "rule_id").distinct()
 
 
+def canonical_c_type(word: Column) -> Column:
+    """The type that a C_<word> declaration names; null for a word that declares none."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in C_TYPES.items() for x in kv]), F.lower(word))
+
+
+def paren_balance(cleaned: Column) -> Column:
+    """Opening less closing parentheses of a cleaned line."""
+    count = lambda c: F.length(cleaned) - F.length(F.replace(cleaned, F.lit(c), F.lit("")))
+    return count("(") - count(")")
+
+
+def chained(text: str) -> bool:
+    """Whether the first `.new(...)` of a cleaned statement is followed by another step, so what is assigned is no new instance."""
+    m = re.search(r"(?i)\.new\s*\(", text)
+    if not m:
+        return False
+    depth = 0
+    for i in range(m.end() - 1, len(text)):
+        depth += (text[i] == "(") - (text[i] == ")")
+        if depth == 0:
+            return text[i + 1 :].lstrip().startswith(".")
+    return False
+
+
+@F.pandas_udf(BooleanType())
+def new_is_chained(cleaned: pd.Series) -> pd.Series:
+    """chained() of every statement; null is not."""
+    return pd.Series([chained(t or "") for t in cleaned], dtype=bool)
+
+
 def common_edit(old: str, new: str) -> tuple[int, int, int]:
     """(start, old end, new end) of the one span that differs."""
     a, n = 0, min(len(old), len(new))

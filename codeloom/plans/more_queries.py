@@ -44,13 +44,6 @@ def src_13(m):
     return declared.test_results(m.table("events").select(content.alias("content"))).select("suite", "name", "status", "message")
 
 
-@query("src_08_builtin_constants", "SELECT DISTINCT lower(p_type) AS name, concat('theme_', length(p_type)) AS theme FROM part", plain=True)
-def src_08(m):
-    units = m.table("part").select("p_type").distinct()
-    themes = units.select(F.length("p_type").alias("k"), F.concat(F.lit("theme_"), F.length("p_type").cast("string")).alias("theme")).distinct()
-    return units.withColumn("k", F.length("p_type")).join(themes, "k", "left").select(F.lower("p_type").alias("name"), F.coalesce("theme", F.lit("group")).alias("theme"))
-
-
 @query("src_16_command_catalog", " SELECT symbol_id FROM symbols WHERE name_lc IN (SELECT lower(p_type) FROM part)")
 def src_16(m):
     catalog = m.table("part").select(F.lower("p_type").alias("name_lc")).distinct()

@@ -16,12 +16,6 @@ def _lines(m):
     return m.table("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
 
 
-@query("txt_01_clean_line")
-def txt_01(m):
-    out = _lines(m).select("doc_id", "line", T.clean_line("t").alias("c"))
-    return out.select("doc_id", "line", F.col("c.text").alias("text"), F.size("c.strings").alias("n_strings"), F.size("c.cols").alias("n_cols"))
-
-
 @query("txt_02_recover_string", " SELECT event_id, string_split(props, '\"')[2] AS literal FROM events", plain=True)
 def txt_02(m):
     return m.table("events").select("event_id", T.recover_string(T.clean_line("props")["strings"], F.lit(0)).alias("literal"))
@@ -71,12 +65,6 @@ def txt_12(m):
     return m.symbols.filter("params is not null").select("symbol_id", F.element_at(starts, 1).cast("long").alias("first_at"), F.element_at(starts, 2).cast("long").alias("second_at"))
 
 
-@query("txt_13_active_call")
-def txt_13(m):
-    text = F.concat(F.lit("$x:=Run("), F.replace("props", F.lit(","), F.lit(";")), F.lit("; Inner(1; "))
-    return m.table("events").select("event_id", T.active_call(text).alias("c")).select("event_id", "c.name", "c.argument")
-
-
 @query("txt_14_completion_context", " SELECT event_id, CASE event_type WHEN 'click' THEN 'cs-ns' WHEN 'view' THEN 'cs' WHEN 'error' THEN 'this' WHEN 'signup' THEN 'var' ELSE 'free' END AS context FROM events", plain=True)
 def txt_14(m):
     prefix = F.when(F.col("event_type") == "click", "cs.NS.Cl").when(F.col("event_type") == "view", "x:=cs.A").when(F.col("event_type") == "error", "This.na").when(F.col("event_type") == "signup", "$e.sa").otherwise("Sel")

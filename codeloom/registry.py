@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.plans import archive_queries, graph_queries, index_queries, more_queries, resolution_queries, source_queries, text_queries, traversal_queries  # noqa: F401  register their queries
+from codeloom.plans import archive_queries, graph_queries, index_queries, more_queries, resolution_queries, source_queries, text_queries, traversal_queries, upkeep_queries  # noqa: F401  register their queries
 from codeloom.plans.registered import QUERIES, SQL
 
 
