@@ -189,7 +189,7 @@ class Page:
             tag, node, _, children, _ = self.open[-1]
             if tag in BLOCK:
                 self.flush()
-                self.nodes.add((node, (children >> 3 << 1) + 2))
+                self.nodes.add((node, (children >> 3 << 1) + 2 if children else 0))
             self.open.pop()
             self.depths[tag].pop()
             if self.bounds[-1] == len(self.open):
@@ -210,11 +210,11 @@ class Page:
 def parsed(pages: DataFrame, url: Column, html: Column, columns: list[Column], inner: list[str]) -> DataFrame:
     """Stored rows of two kinds: pages (`texts` is not null) and nodes (`way` is not null).
 
-    A page has its carried columns, host, signature, block texts, each block's node and feature,
-    and the distinct (node, children) of it. A node has the nodes from the root down to it, and flags.
+    A page has its carried columns, host, signature, block texts, each block's node, and the distinct
+    (node, children) of it (0 for no children). A node has the nodes from the root down to it, and flags.
     """
     rows = pages.select(html.alias("html"), url.alias("url"), *[c.alias(i) for c, i in zip(columns, inner, strict=True)])
-    own = [("host", pa.int64()), ("sig", pa.int64()), ("texts", pa.list_(pa.string())), ("holders", pa.list_(pa.int64())), ("features", pa.list_(pa.int64())), ("nodes", pa.list_(pa.int64())), ("children", pa.list_(pa.int64())), ("way", pa.list_(pa.int64())), ("flags", pa.int32())]
+    own = [("host", pa.string()), ("sig", pa.int64()), ("texts", pa.list_(pa.string())), ("holders", pa.list_(pa.int64())), ("nodes", pa.list_(pa.int64())), ("children", pa.list_(pa.int64())), ("way", pa.list_(pa.int64())), ("flags", pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ways: dict[int, tuple[tuple[int, ...], int]] = {}
@@ -231,19 +231,17 @@ def parsed(pages: DataFrame, url: Column, html: Column, columns: list[Column], i
             for u, t in zip(batch.column(1).to_pylist(), texts, strict=True):
                 host = split_url(u)[0]
                 page = Page(t.decode() if t else "", ways)
-                # a page's own host is the same name everywhere
-                features = [xxhash.xxh3_64_intdigest(x.replace(host, "") if host else x) >> 1 | 1 for x, _ in page.blocks]
                 nodes = sorted(page.nodes)
-                out.append((xxhash.xxh3_64_intdigest(host) >> 1, page.signature(), [x for x, _ in page.blocks], [h for _, h in page.blocks], features, [a for a, _ in nodes], [b for _, b in nodes], None, None))
+                out.append((host, page.signature(), [x for x, _ in page.blocks], [h for _, h in page.blocks], [a for a, _ in nodes], [b for _, b in nodes], None, None))
             yield table(batch.columns[2:], out, len(out))
-            new = [(None,) * 7 + (list(way), flags) for node, (way, flags) in ways.items() if way and node not in sent]
+            new = [(None,) * 6 + (list(way), flags) for node, (way, flags) in ways.items() if way and node not in sent]
             sent.update(ways)
             if new:
                 yield table([], new, len(new))
             if len(ways) > 200_000:  # a site with ever new names: begin anew
                 ways, sent = {}, set()
 
-    names = "host long, sig long, texts array<string>, holders array<long>, features array<long>, nodes array<long>, children array<long>, way array<long>, flags int"
+    names = "host string, sig long, texts array<string>, holders array<long>, nodes array<long>, children array<long>, way array<long>, flags int"
     carried = "".join(f"{i} {f.dataType.simpleString()}, " for i, f in zip(inner, rows.schema.fields[2:], strict=True))
     return stored(rows.mapInArrow(run, carried + names), "pages")
 
@@ -255,18 +253,22 @@ def importance(table: DataFrame) -> DataFrame:
     signature count as one. Of m pages with a node, a block on k of them has the entropy
     ln k / ln m (0 on a single page); the content importance of a branch is 1 less the mean over the
     distinct blocks of all its nodes, the presentation importance of a node is the entropy of its
-    sequences of children. A host's tree is mixed with that of all sites by their number of pages.
+    sequences of children, no children being one of them. A host's tree is mixed with that of all sites by their number of pages.
     """
-    pages = table.filter("texts is not null").select("sig", F.explode(F.array("host", F.lit(None).cast("long"))).alias("host"), "holders", "features", "nodes", "children")
+    pages = table.filter("texts is not null")
     shape = pages.select("host", "sig", F.explode(F.arrays_zip("nodes", "children")).alias("x")).select("host", "sig", F.col("x.nodes").alias("node"), F.col("x.children").alias("what"))
-    block = pages.select("host", "sig", F.explode(F.arrays_zip("holders", "features")).alias("x")).select("host", "sig", F.col("x.holders").alias("node"), F.col("x.features").alias("what"))
+    block = pages.select("host", "sig", F.explode(F.arrays_zip("holders", "texts")).alias("x"))
+    # a page's own host is the same name everywhere
+    block = block.select("host", "sig", F.col("x.holders").alias("node"), F.xxhash64(F.replace("x.texts", "host", F.lit(""))).bitwiseOR(F.lit(1)).alias("what"))
     # the node itself is what = 0; its children are even, its blocks odd
-    what = shape.select("host", "node", F.lit(0).cast("long").alias("what"), "sig").union(shape.select("host", "node", "what", "sig")).union(block.select("host", "node", "what", "sig"))
+    what = shape.select("host", "node", F.lit(0).cast("long").alias("what"), "sig").union(shape.filter("what != 0").select("host", "node", "what", "sig")).union(block.select("host", "node", "what", "sig"))
+    site = F.xxhash64("host").bitwiseAND(F.lit(2**63 - 1))
+    what = what.select(F.explode(F.array(site, F.lit(None).cast("long"))).alias("host"), "node", "what", "sig")
     k = what.groupBy("host", "node", "what", "sig").agg(F.count("*").alias("n")).groupBy("host", "node", "what").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
     odd, even = F.col("what").bitwiseAND(F.lit(1)) == 1, (F.col("what") != 0) & (F.col("what").bitwiseAND(F.lit(1)) == 0)
     own = k.groupBy("host", "node").agg(
         F.max(F.when(F.col("what") == 0, F.col("k"))).alias("m"), F.max(F.when(F.col("what") == 0, F.col("n"))).alias("pages"),
-        F.count(F.when(odd, 1)).alias("blocks"), F.sum(F.when(odd, F.ln("k"))).alias("shared"), F.sum(F.when(even, F.col("k") * F.ln("k"))).alias("same"),
+        F.count(F.when(odd, 1)).alias("blocks"), F.sum(F.when(odd, F.ln("k"))).alias("shared"), F.coalesce(F.sum(F.when(even, F.col("k") * F.ln("k"))), F.lit(0.0)).alias("same"), F.coalesce(F.sum(F.when(even, F.col("k"))), F.lit(0)).alias("formed"),
     )
     # the root of a page without elements has no row of its own
     own = stored(own.filter("m is not null"), "nodes")
@@ -275,7 +277,8 @@ def importance(table: DataFrame) -> DataFrame:
     ways = stored(table.filter("way is not null").groupBy(F.element_at("way", -1).alias("node")).agg(F.first("way").alias("way"), F.first("flags").alias("flags")), "ways")
     branch = leaf.join(ways, "node").select("host", "blocks", "content", F.explode("way").alias("node"))
     branch = branch.groupBy("host", "node").agg((F.sum("content") / F.sum("blocks")).alias("content"))
-    style = F.when(F.col("m") > 1, 1 - F.coalesce("same", F.lit(0.0)) / (F.col("m") * log)).otherwise(1.0)
+    bare = F.greatest(F.col("m") - F.col("formed"), F.lit(0))
+    style = F.when(F.col("m") > 1, 1 - (F.col("same") + F.when(bare > 0, bare * F.ln(bare)).otherwise(0.0)) / (F.col("m") * log)).otherwise(1.0)
     alone = own.alias("o").join(branch.alias("b"), (F.col("o.node") == F.col("b.node")) & F.col("o.host").eqNullSafe(F.col("b.host")))
     alone = alone.select("o.host", "o.node", "m", "pages", (F.lit(CONTENT_SHARE) * F.col("content") + F.lit(1 - CONTENT_SHARE) * F.greatest(style, F.lit(0.0))).alias("one"))
     every = alone.filter("host is null").select("node", F.col("m").alias("different"), F.col("pages").alias("all_pages"), F.col("one").alias("all"))
@@ -321,7 +324,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: list[s
     gone = stored(top.join(ways, "node").groupBy("host").agg(F.collect_set("below").alias("gone")), "gone")
     discard(top)
     size = gone.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0]
-    held = table.filter("texts is not null").select(*inner, "host", "texts", "holders").join(F.broadcast(gone) if size <= max_broadcast else gone, "host", "left")
+    held = table.filter("texts is not null").select(*inner, F.xxhash64("host").bitwiseAND(F.lit(2**63 - 1)).alias("host"), "texts", "holders").join(F.broadcast(gone) if size <= max_broadcast else gone, "host", "left")
     here = F.array_intersect("holders", F.coalesce("gone", F.array().cast("array<long>")))
     held = held.select(*inner, "texts", "holders", here.alias("here"))
     whole = F.filter(F.arrays_zip("texts", "holders"), lambda x: ~F.array_contains(F.col("here"), x["holders"]))

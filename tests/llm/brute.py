@@ -154,12 +154,12 @@ def style_tree(rows, html):
     for key, url, body in rows:
         host = html.split_url(url)[0]
         pages.append((key, host, html.Page(body or "", ways)))
-    name = {h: html.xxhash.xxh3_64_intdigest(h) >> 1 for _, h, _ in pages}
+    name = {h: h for _, h, _ in pages}
     count = {}  # (host, node) -> what -> signature -> pages
     for _, host, page in pages:
         for site in (name[host], None):
             for node, children in page.nodes:
-                for what in (0, ("children", children)):
+                for what in (0, ("children", children))[: 2 if children else 1]:
                     seen = count.setdefault((site, node), {}).setdefault(what, Counter())
                     seen[page.signature()] += 1
             for block, node in page.blocks:
@@ -174,7 +174,8 @@ def style_tree(rows, html):
         if not below:
             continue
         content = sum(1 - (math.log(k) / math.log(x) if x > 1 else 0) for k, x in below) / len(below)
-        style = 1 - sum(len(s) * math.log(len(s)) for what, s in whats.items() if what != 0 and what[0] == "children") / (m * log) if m > 1 else 1.0
+        formed = [len(s) for what, s in whats.items() if what != 0 and what[0] == "children"]
+        style = 1 - sum(k * math.log(k) for k in [*formed, max(m - sum(formed), 1)]) / (m * log) if m > 1 else 1.0
         one[site, node] = (sum(whats[0].values()), m, html.CONTENT_SHARE * content + (1 - html.CONTENT_SHARE) * max(style, 0))
     out, gone = {}, set()
     for (site, node), (_, m, value) in one.items():
