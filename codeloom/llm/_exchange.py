@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from codeloom.llm._tables import stored
 
 #: Bytes of text in a shard on average, and in a part at most (one longer text is a part of its own).
-SHARD_BYTES, PART_BYTES = 7 << 20, 9 << 20
+SHARD_BYTES, PART_BYTES = 5 << 20, 7 << 20
 #: Bytes of text whose keys a bucket owns, on average.
 BUCKET_BYTES = 10 << 20
 _ASK = "kind int, bucket long, shard long, part long, keys binary, n binary"

@@ -19,7 +19,7 @@ SHINGLE, PERCENT = 5, 75
 #: Rounds in which sets are grouped by one more sketch and linked inside their group.
 ROUNDS = 3
 #: Sets and tokens in a group on average, and queries that meet a group in one task.
-GROUP, GROUP_TOKENS, QUERIES = 128, 1 << 20, 512
+GROUP, GROUP_TOKENS, QUERIES = 128, 1 << 20, 128
 _SALT = np.uint64(0xD1B54A32D192ED03)
 _SKETCHES = [f"k{s}" for s in range(ROUNDS)]
 _TURNS = np.arange(1, 2 * ROUNDS, 2, dtype=np.uint64) * _SALT
