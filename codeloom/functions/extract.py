@@ -104,6 +104,27 @@ def local_types(text: str) -> Iterator[tuple[str, str, bool]]:
             yield variable, f"entitySelectionOf:{name or bracket}", True
 
 
+_HEADER = re.compile(r"(?i)\s*(?:#declare|(?:(?:local|shared|exposed)\s+)*function|class\s+constructor)\b")
+
+
+def local_uses(cleaned: tuple[str, list[str], list[int]]) -> Iterator[tuple[str, str, int]]:
+    """(variable, use, place) of the local variables of a statement: param, result and var (declared), read or write; a compound assignment is both."""
+    line = _Line(cleaned)
+    declares = "param" if _HEADER.match(cleaned[0]) else "var" if re.match(r"(?i)\s*(?:var|c_\w+|array\s+\w+)\b", cleaned[0]) else None
+    for k, (kind, text, start, _) in enumerate(line.tokens):
+        if text == ">" and line.at(k - 1) == "-" and declares == "param":
+            declares = "result"
+        if kind != "var" or line.at(k - 1) == ".":
+            continue
+        op = line.at(k + 1)
+        if declares in ("param", "result") or (declares and ":=" not in cleaned[0]) or (declares and op in (":", ";", ":=")):
+            yield text[1:], declares, start
+        if op in (":=", "+=", "-=", "*=", "/="):
+            yield text[1:], "write", start
+        if op in ("+=", "-=", "*=", "/=") or (op != ":=" and not declares):
+            yield text[1:], "read", start
+
+
 def blocks_of(source: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) lines of control blocks, functions and the class: a closer takes the nearest opener of
     its kind and drops what is open inside it, a bare End the innermost; the end of the text closes the rest."""
@@ -302,8 +323,8 @@ def _dispatch(line: _Line, site, i: int, k: int, command: str) -> Iterator[dict]
         yield site("ExecuteMethodDynamic", a, variable=line.at(a)[1:])
 
 
-def extract_source(category: str, container: str | None, base: str, source: str, constants: set[str] = frozenset(), commands: set[str] = frozenset()) -> tuple[list[dict], list[dict], list[dict]]:
-    """Symbols, call sites and types of local variables of a file. A site belongs to the last declaration at or above its line."""
+def extract_source(category: str, container: str | None, base: str, source: str, constants: set[str] = frozenset(), commands: set[str] = frozenset()) -> tuple[list[dict], list[dict], list[dict], list[dict]]:
+    """Symbols, call sites, types of local variables and uses of these, of a file. A site belongs to the last declaration at or above its line."""
     symbols: list[dict] = []
     sites: list[dict] = []
 
@@ -318,6 +339,7 @@ def extract_source(category: str, container: str | None, base: str, source: str,
     owner = add(kinds[category], name, 0)
     bodies = [(symbols[0], 0)]
     types: dict[tuple[str, str], str] = {}
+    uses: list[dict] = []
     every = statements(source)
     for no, cleaned in every:
         text = cleaned[0].strip()
@@ -341,6 +363,7 @@ def extract_source(category: str, container: str | None, base: str, source: str,
         if member:
             bodies[-1][0]["end_line"] = max(no - 1, bodies[-1][1])
             bodies.append((symbols[-1], no))
+        uses += [{"from_id": owner, "variable": v, "use": u, "line": at >> _LINE, "column_no": at & ((1 << _LINE) - 1)} for v, u, at in local_uses(cleaned)]
         for variable, kind, certain in local_types(cleaned[0]):
             if certain or (owner, variable) not in types:
                 types[owner, variable] = kind
@@ -358,7 +381,7 @@ def extract_source(category: str, container: str | None, base: str, source: str,
     if len(bodies) > 1:  # a class lasts to the end of its file
         symbols[0]["end_line"] = bodies[-1][0]["end_line"]
     locals_ = [{"from_id": o, "variable": v, "type": t} for (o, v), t in types.items()]
-    return symbols, sites, locals_
+    return symbols, sites, locals_, uses
 
 
 def _table(files: DataFrame, which: int, columns: str, constants: set[str], commands: set[str]) -> DataFrame:
@@ -394,6 +417,11 @@ def locals_of(files: DataFrame) -> DataFrame:
     return _table(files, 2, "from_id string, variable string, type string", frozenset(), frozenset())
 
 
+def uses_of(files: DataFrame) -> DataFrame:
+    """(rel_path, from_id, variable, use, line, column_no): where local variables are declared (param, result, var), read and written."""
+    return _table(files, 3, "from_id string, variable string, use string, line int, column_no int", frozenset(), frozenset())
+
+
 def blocks_table(sources: DataFrame, key: str, text: str) -> DataFrame:
     """(key, kind, start_line, end_line) of each source."""
 

@@ -157,7 +157,8 @@ def resolve(sites: DataFrame, symbols: DataFrame, locals_: DataFrame, tables: Da
     owners = symbols.select(F.col("symbol_id").alias("from_id"), F.lower("owner_class").alias("own"))
     parents = symbols.filter("kind = 'Class' and extends_class is not null").groupBy(F.col("name_lc").alias("own")).agg(F.min_by(F.lower("extends_class"), "symbol_seq").alias("parent"))
     typed = locals_.withColumn("table_lc", F.lower(F.regexp_extract("type", r":(\w+)$", 1))).join(entity, "table_lc", "left")
-    typed = typed.select("from_id", "variable", type_name(F.col("type"), F.coalesce("entity_lc", "table_lc")).alias("typ"))
+    own_class = F.when(F.col("type").rlike(r"(?i)^cs\."), F.regexp_replace("type", r"(?i)^cs\.", ""))
+    typed = typed.select("from_id", "variable", type_name(F.col("type"), F.coalesce("entity_lc", "table_lc")).alias("typ"), own_class.alias("named"))
     rows = sites.withColumn("site", F.monotonically_increasing_id())
     rows = stored(rows.join(owners, "from_id", "left").join(parents, "own", "left").join(typed, ["from_id", "variable"], "left"), "sites")
     hint, name = F.col("hint_kind"), F.lower("name")
@@ -211,10 +212,10 @@ def resolve(sites: DataFrame, symbols: DataFrame, locals_: DataFrame, tables: Da
         .when(hint == "DsBracketNew", F.concat(F.lit("ds["), F.col("class_name"), F.lit("].new"))).when(hint == "DsBracketCall", F.concat(F.lit("ds["), F.col("class_name"), F.lit("]."), F.col("name")))
     )
     builtin = F.concat(F.lit("TableBuiltin:ds."), F.when(hint == "DsCall", F.col("class_name")).otherwise(bare), F.lit("."), F.coalesce("name", F.lit("new")))
-    known_type = (hint == "VarCall") & F.col("typ").isNotNull()
+    known_type = (hint == "VarCall") & F.col("named").isNotNull()
     to = (
         F.when(F.col("hit.space") == "table", builtin).when(F.col("hit").isNotNull(), F.col("hit.to_id")).when(hint == "DsCall", builtin)
-        .when(F.col("begins"), F.concat(F.lit("Builtin:"), F.col("name"))).when(known_type, F.concat(F.lit("Builtin:"), F.col("typ"), F.lit("."), F.col("name")))
+        .when(F.col("begins"), F.concat(F.lit("Builtin:"), F.col("name"))).when(known_type, F.concat(F.lit("Builtin:"), F.col("named"), F.lit("."), F.col("name")))
     )
     resolved = to.isNotNull()
     inherited = (hint == "SuperCall") | (hint.isin("ThisCall", "ThisGet", "ThisSet") & F.col("hit.depth").between(1, (1 << 20) - 1))

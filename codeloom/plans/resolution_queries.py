@@ -59,14 +59,6 @@ def jon_04(m):
     return resolve.on_class(sites(m).withColumn("slot", F.lit("call")), _resolution(m), None).select("site_no", "to_id")
 
 
-@query("jon_05_cs_namespaced", _SITES + " SELECT site_no, CASE WHEN p_size % 3 = 0 THEN concat('ClassConstructor:cs.NS.', w1) WHEN p_size % 3 = 1 THEN concat('Class:cs.NS.', w1) ELSE concat('Unresolved:cs.NS.', w1, '.new') END AS to_id FROM sites")
-def jon_05(m):
-    made = sites(m).filter("p_size % 3 = 0").select(F.concat_ws("|", "w1", F.lit("0")).alias("key"), F.concat(F.lit("ClassConstructor:cs.NS."), "w1").alias("to_id")).distinct()
-    own = sites(m).filter("p_size % 3 = 1").select(F.concat_ws("|", "w1", F.lit("1")).alias("key"), F.concat(F.lit("Class:cs.NS."), "w1").alias("to_id")).distinct()
-    key = F.concat_ws("|", "w1", (F.col("p_size") % 3).cast("string"))
-    return resolve.by_priority(sites(m), [(key, made), (key, own)], F.concat(F.lit("Unresolved:cs.NS."), "w1", F.lit(".new"))).select("site_no", "to_id")
-
-
 @query("jon_07_ds_call", _RESOLVE + _SITES + " SELECT site_no, coalesce(r.symbol_id, concat('TableBuiltin:', s.class_lc, '.', s.name_lc)) AS to_id FROM sites s LEFT JOIN res r ON r.class_lc = s.class_lc AND r.name_lc = s.name_lc AND r.slot = 'call'")
 def jon_07(m):
     return resolve.on_class(sites(m).withColumn("slot", F.lit("call")), _resolution(m), F.concat(F.lit("TableBuiltin:"), "class_lc", F.lit("."), "name_lc")).select("site_no", "to_id")

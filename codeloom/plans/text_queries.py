@@ -162,31 +162,12 @@ def lnt_03(m):
     return m.symbols.filter(F.col("kind").isin("ClassFunction", "ClassGetter") & F.col("return_type").isNull()).select("symbol_id", "line")
 
 
-@query("lnt_04_implicit_local", " SELECT from_id, to_id, min(line) AS line FROM edges WHERE access = 'write' AND call_kind = 'Dynamic' GROUP BY 1, 2")
-def lnt_04(m):
-    writes = m.edges.filter("access = 'write' and call_kind = 'Dynamic'")
-    return writes.groupBy("from_id", "to_id").agg(F.min("line").alias("line"))
-
-
 @query("lnt_05_method_no_callers", " SELECT symbol_id FROM symbols WHERE kind = 'ProjectMethod' AND NOT regexp_matches(name, '^test_') AND symbol_id NOT IN (SELECT to_id FROM edges)")
 def lnt_05(m):
     called = m.edges.select(F.col("to_id").alias("symbol_id"))
     return m.symbols.filter((F.col("kind") == "ProjectMethod") & ~F.col("name").rlike("^test_")).join(called, "symbol_id", "left_anti").select("symbol_id")
 
 
-@query("lnt_06_unused_parameter", _PARAMS + " SELECT symbol_id, name FROM p WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.from_id = p.symbol_id AND contains(lower(e.raw), p.name))")
-def lnt_06(m):
-    reads = m.edges.select(F.col("from_id").alias("symbol_id"), F.lower("raw").alias("raw"))
-    p, r = _params(m).alias("p"), reads.alias("r")
-    return p.join(r, (F.col("p.symbol_id") == F.col("r.symbol_id")) & F.contains(F.col("r.raw"), F.col("p.name")), "left_anti").select("symbol_id", "name")
-
-
-@query("lnt_07_unused_local", " SELECT from_id, to_id, min(line) AS line FROM edges w WHERE access = 'write' AND NOT EXISTS (SELECT 1 FROM edges r WHERE r.from_id = w.from_id AND r.to_id = w.to_id AND r.access = 'read') GROUP BY 1, 2")
-def lnt_07(m):
-    reads = m.edges.filter("access = 'read'").select("from_id", "to_id")
-    return m.edges.filter("access = 'write'").join(reads, ["from_id", "to_id"], "left_anti").groupBy("from_id", "to_id").agg(F.min("line").alias("line"))
-
-
 @query("lnt_08_class_pascal_case", " SELECT symbol_id FROM symbols WHERE kind = 'Class' AND NOT regexp_matches(name, '^[A-Z][a-z]+(#[0-9]+)?$')")
 def lnt_08(m):
     return m.symbols.filter((F.col("kind") == "Class") & ~F.col("name").rlike("^[A-Z][a-z]+(#[0-9]+)?$")).select("symbol_id")

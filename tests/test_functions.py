@@ -47,7 +47,7 @@ def test_call_sites():
 
 def test_class_source():
     source = "Class extends Base\nproperty a, b : Text\nClass constructor($p : Text)\n  This.a:=$p\nFunction get size() : Integer\n  return This.b.length()\nFunction run($x : Text) -> $r : Text\n  This.go()"
-    symbols, sites, _ = extract_source("class", "Box", "Box", source)
+    symbols, sites, *_ = extract_source("class", "Box", "Box", source)
     assert [s["symbol_id"] for s in symbols] == ["Class:Box", "ClassProperty:Box.a", "ClassProperty:Box.b", "ClassConstructor:Box.Box", "ClassGetter:Box.size", "ClassFunction:Box.run"]
     assert symbols[0]["extends_class"] == "Base"
     assert [(s["from_id"], s["hint_kind"]) for s in sites] == [("ClassConstructor:Box.Box", "ThisSet"), ("ClassGetter:Box.size", "ThisGet"), ("ClassGetter:Box.size", "ThisChainCall"), ("ClassFunction:Box.run", "ThisCall")]
@@ -104,6 +104,16 @@ def test_statements_join_lines():
 
     assert [(n, t[0]) for n, t in statements("a(1; \\\n  b)\nc\n(open\nd")] == [(0, "a(1;    b)"), (2, "c"), (3, "(open"), (4, "d")]
     assert [t[1] for _, t in statements('f("x"; (\n"y")\n)')] == [["x", "y"]]
-    _, sites, types = extract_source("method", None, "m", 'C_TEXT($a;\n  $b)\nRun("p"; \\\n  EXECUTE METHOD("q"))\n$s:=ds.T.query("z")')
+    _, sites, types, _ = extract_source("method", None, "m", 'C_TEXT($a;\n  $b)\nRun("p"; \\\n  EXECUTE METHOD("q"))\n$s:=ds.T.query("z")')
     assert [(s["hint_kind"], s["name"], s["line"], s["column_no"]) for s in sites] == [("BareName", "Run", 2, 0), ("ExecuteMethodLiteral", "q", 3, 17), ("DsCall", "query", 4, 9)]
     assert {t["variable"]: t["type"] for t in types} == {"a": "Text", "b": "Text", "s": "entitySelectionOf:T"}
+
+
+def test_local_uses():
+    from codeloom.functions.extract import extract_source
+
+    source = "#declare($p : Text; $q : Text) -> $r : Text\nvar $a; $b : Text\nvar $c : Text:=$p\n$a:=$b+$d\n$e+=1\n$a.x:=$a[$e]\nC_TEXT($f)"
+    uses = {}
+    for u in extract_source("method", None, "m", source)[3]:
+        uses.setdefault(u["variable"], []).append((u["use"], u["line"]))
+    assert uses == {"p": [("param", 0)], "q": [("param", 0)], "r": [("result", 0)], "a": [("var", 1), ("write", 3), ("read", 5), ("read", 5)], "b": [("var", 1), ("read", 3)], "c": [("var", 2)], "d": [("read", 3)], "e": [("write", 4), ("read", 4), ("read", 5)], "f": [("var", 6)]}
