@@ -25,6 +25,12 @@ def dedup_edges(edges: DataFrame) -> DataFrame:
     return edges.withColumn("r", F.row_number().over(key)).filter("r = 1").drop("r")
 
 
+def raw_counts(edges: DataFrame) -> DataFrame:
+    """(symbol_id, callers, callees) of every end of an edge: both counts by one aggregation over the ends."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("to_id").alias("symbol_id"), F.lit(1).alias("i")), F.struct(F.col("from_id").alias("symbol_id"), F.lit(0).alias("i")))).alias("e"))
+    return ends.groupBy("e.symbol_id").agg(F.sum("e.i").alias("callers"), F.sum(1 - F.col("e.i")).alias("callees"))
+
+
 def site_counts(edges: DataFrame, end: str) -> DataFrame:
     """(id, n_raw, n_sites, n_others) by end (from_id or to_id): edges, distinct sites, distinct other ends."""
     other = "from_id" if end == "to_id" else "to_id"

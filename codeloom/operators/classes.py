@@ -59,12 +59,17 @@ def member_resolution(symbols: DataFrame, ancestors: DataFrame) -> DataFrame:
     return rows.withColumn("r", F.row_number().over(best)).filter("r = 1").select("class_lc", "name_lc", "slot", "symbol_id", "depth")
 
 
-def dispatch_callers(symbols: DataFrame, edges: DataFrame, ancestors: DataFrame) -> DataFrame:
+def dispatch_callers(symbols: DataFrame, edges: DataFrame, ancestors: DataFrame, only: list[str] | None = None) -> DataFrame:
     """(symbol_id, base_id, from_id, line, column_no): calls typed to an overridden function that may run
-    this one, without its direct call sites."""
+    this one, without its direct call sites; of `only` these symbols, if given."""
     bases = overrides(symbols, ancestors).select(F.col("override_id").alias("symbol_id"), "base_id")
-    sites = dedup_sites(edges, "from_id").select(F.col("to_id").alias("base_id"), "from_id", "line", "column_no")
-    direct = edges.select(F.col("to_id").alias("symbol_id"), "from_id", "line", F.coalesce("column_no", F.lit(-1)).alias("c")).distinct()
+    if only is not None:
+        bases = bases.filter(F.col("symbol_id").isin(only))
+    # only calls of functions that are overridden can be meant for another one
+    typed = edges.join(bases.select(F.col("base_id").alias("to_id")).distinct(), "to_id", "left_semi")
+    sites = dedup_sites(typed, "from_id").select(F.col("to_id").alias("base_id"), "from_id", "line", "column_no")
+    own = edges.join(bases.select(F.col("symbol_id").alias("to_id")).distinct(), "to_id", "left_semi")
+    direct = own.select(F.col("to_id").alias("symbol_id"), "from_id", "line", F.coalesce("column_no", F.lit(-1)).alias("c")).distinct()
     return bases.join(sites, "base_id").withColumn("c", F.coalesce("column_no", F.lit(-1))).join(direct, ["symbol_id", "from_id", "line", "c"], "left_anti").select("symbol_id", "base_id", "from_id", "line", "column_no")
 
 

@@ -149,9 +149,7 @@ def flt_21(m):
 
 @query("agg_01_raw_counts", ", i AS (SELECT to_id, count(*) AS n FROM edges GROUP BY 1), o AS (SELECT from_id, count(*) AS n FROM edges GROUP BY 1) SELECT symbol_id, CAST(coalesce(i.n, 0) AS BIGINT) AS callers, CAST(coalesce(o.n, 0) AS BIGINT) AS callees FROM symbols LEFT JOIN i ON i.to_id = symbol_id LEFT JOIN o ON o.from_id = symbol_id")
 def agg_01(m):
-    i = m.edges.groupBy(F.col("to_id").alias("symbol_id")).agg(F.count("*").alias("callers"))
-    o = m.edges.groupBy(F.col("from_id").alias("symbol_id")).agg(F.count("*").alias("callees"))
-    return m.symbols.select("symbol_id").join(i, "symbol_id", "left").join(o, "symbol_id", "left").na.fill(0)
+    return m.symbols.select("symbol_id").join(calls.raw_counts(m.edges), "symbol_id", "left").na.fill(0)
 
 
 @query("agg_02_site_counts", " SELECT to_id AS symbol_id, count(*) AS n_raw, count(DISTINCT concat(from_id, '|', line, '|', coalesce(column_no, -1))) AS n_sites, count(DISTINCT from_id) AS n_others FROM edges GROUP BY 1")

@@ -50,16 +50,6 @@ def src_16(m):
     return m.symbols.join(catalog, "name_lc", "left_semi").select("symbol_id")
 
 
-@query("src_14_cache_reload", " SELECT kind, count(*) AS n FROM symbols GROUP BY 1")
-def src_14(m):
-    return stored(m.symbols, "symbols").groupBy("kind").agg(F.count("*").alias("n"))
-
-
-@query("snk_01_persist", " SELECT call_kind, count(*) AS n FROM edges GROUP BY 1")
-def snk_01(m):
-    return stored(m.edges, "edges").groupBy("call_kind").agg(F.count("*").alias("n"))
-
-
 @query("snk_04_diagnostics_push", " SELECT s.uri, least(count(*), 100) AS n FROM edges e JOIN symbols s ON s.symbol_id = e.from_id WHERE NOT e.resolved GROUP BY 1")
 def snk_04(m):
     src = m.symbols.select(F.col("symbol_id").alias("from_id"), "uri")
@@ -112,19 +102,6 @@ def jon_23(m):
     return res.join(m.symbols.select("symbol_id", "return_type"), "symbol_id").select("class_lc", "name_lc", F.coalesce(F.lower("return_type"), F.lit("variant")).alias("type_lc"))
 
 
-@query("ext_08_variadic_params", " SELECT symbol_id, concat_ws(';', params, 'tail') AS params FROM symbols WHERE kind = 'ProjectMethod' AND params IS NOT NULL")
-def ext_08(m):
-    tail = m.symbols.filter("kind = 'ProjectMethod'").select("symbol_id", F.array(F.lit("tail")).alias("extra"))
-    own = m.symbols.filter("kind = 'ProjectMethod' and params is not null").select("symbol_id", F.split("params", ";").alias("own"))
-    return own.join(tail, "symbol_id", "left").select("symbol_id", F.array_join(F.concat("own", F.coalesce("extra", F.array().cast("array<string>"))), ";").alias("params"))
-
-
-@query("qry_22_signature_help", ", p AS (SELECT symbol_id, len(string_split(params, ';')) AS n FROM symbols WHERE params IS NOT NULL AND kind IN ('ProjectMethod', 'ClassFunction')) SELECT symbol_id, CAST(least(4, n - 1) AS BIGINT) AS active FROM p")
-def qry_22(m):
-    rows = m.symbols.filter(F.col("params").isNotNull() & F.col("kind").isin(lookup.INVOCABLE_KINDS))
-    return rows.select("symbol_id", F.least(F.lit(4), F.size(F.split("params", ";")) - 1).cast("long").alias("active"))
-
-
 @query("qry_24_explorer_groups", ", c AS (SELECT to_id, count(*) AS n FROM edges GROUP BY 1) SELECT kind, CASE WHEN owner_class IS NOT NULL THEN owner_class END AS owner, count(*) AS n, CAST(coalesce(sum(c.n), 0) AS BIGINT) AS calls FROM symbols LEFT JOIN c ON c.to_id = symbol_id GROUP BY 1, 2")
 def qry_24(m):
     c = m.edges.groupBy(F.col("to_id").alias("symbol_id")).agg(F.count("*").alias("c"))

@@ -25,6 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where or LOCAL_DIR
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new folder's name in the shared folder; it is deleted when the driver's Python ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/codeloom-{what}-{uuid.uuid4().hex}"
+    _made[path] = weakref.ref(spark)
+    return path
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again, which cuts its lineage.
 
@@ -33,7 +40,7 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     driver's Python ends (an interrupted driver leaves them to the folder's own clean-up).
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/codeloom-{what}-{uuid.uuid4().hex}"
+    path = scratch(spark, what)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -43,7 +50,6 @@ def stored(df: DataFrame, what: str) -> DataFrame:
             spark.conf.unset(_CLEANUP)
         else:
             spark.conf.set(_CLEANUP, before)
-    _made[path] = weakref.ref(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path
     return out

@@ -182,7 +182,7 @@ def qry_02(m):
 def qry_03(m):
     me = "ClassFunction:NATION_1.MEDIUM"
     direct = calls.dedup_sites(lookup.callers(m.edges, me), "from_id").select(F.lit("direct").alias("how"), "from_id", "line", "column_no")
-    base = classes.dispatch_callers(m.symbols, m.edges, graph.ancestors(m.symbols)).filter(F.col("symbol_id") == me)
+    base = classes.dispatch_callers(m.symbols, m.edges, graph.ancestors(m.symbols), [me])
     return direct.union(base.select(F.lit("viaBase"), "from_id", "line", "column_no"))
 
 
@@ -263,11 +263,6 @@ def qry_17(m):
     return m.edges.join(t, "to_id").join(s, ["from_id", "uri"]).select("line", F.lit("Read").alias("what")).union(me.select("line", F.lit("Write"))).distinct()
 
 
-@query("qry_20_hover", " SELECT concat('called from ', count(DISTINCT from_id), ' callers at ', count(*), ' sites') AS text FROM edges WHERE to_id = 'ProjectMethod:Part7'")
-def qry_20(m):
-    return lookup.callers(m.edges, "ProjectMethod:Part7").agg(F.concat(F.lit("called from "), F.countDistinct("from_id").cast("string"), F.lit(" callers at "), F.count("*").cast("string"), F.lit(" sites")).alias("text"))
-
-
 @query("qry_21_completion", _RESOLVE + " SELECT symbol_id, name_lc FROM self JOIN mem ON owner_lc = ancestor_lc WHERE class_lc = 'nation_1' AND starts_with(name_lc, 's') QUALIFY row_number() OVER (PARTITION BY name_lc ORDER BY depth, symbol_seq) = 1")
 def qry_21(m):
     return cls_08(m).filter("class_lc = 'nation_1'").join(m.symbols.select("symbol_id", "name_lc"), "symbol_id").filter(F.col("name_lc").startswith("s")).select("symbol_id", "name_lc")

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from codeloom import indexer
 from codeloom.functions import extract
 from codeloom.functions import text as T
+from codeloom.index import Index
+from codeloom.operators import signatures
 from codeloom.plans.index_queries import _EDGES, _sources
 from codeloom.plans.registered import query
-from codeloom.sources import archives
+from codeloom.plans.tables import scratch
+from codeloom.sources import archives, cache, declared
 from codeloom.streaming import upkeep
 
 _GONE = "p_partkey % 10 = 0"
@@ -129,3 +132,65 @@ def ext_03(m):
     text = F.when(k % 3 == 0, F.concat(F.lit("$v."), a, F.lit("."), b, F.lit('("(.x()"; [1]).z()'))).when(k % 3 == 1, F.concat(F.lit("This."), a, F.lit("({k: 1})."), b, F.lit("."), b, F.lit("()"))).otherwise(F.concat(F.lit("$v."), a, F.lit("($w."), b, F.lit(")")))
     sources = m.table("part").select(k.cast("string").alias("rel_path"), F.lit("method").alias("category"), F.lit(None).cast("string").alias("container"), F.lit("m").alias("base"), text.alias("content"))
     return extract.sites_of(sources).select(F.col("rel_path").cast("long").alias("p"), "hint_kind", "name", "path")
+
+
+# ---- signatures
+
+
+_COMPILED = "SELECT concat('Project/Sources/Methods/Compiler_', p_partkey % 20, '.4dm') AS rel_path, concat('C_TEXT(', replace(p_name, ' ', '_'), p_partkey, ';$0)', chr(10), 'C_LONGINT(', replace(p_name, ' ', '_'), p_partkey, ';$', p_partkey % 5 + 1, ')', CASE WHEN p_partkey % 3 = 0 THEN concat(chr(10), 'C_REAL(', replace(p_name, ' ', '_'), p_partkey, ';$', chr(123), p_partkey % 4 + 2, chr(125), ')') ELSE '' END) AS content FROM {part}"
+
+
+@query("ext_08_variadic_params", """, s AS (SELECT symbol_id, p_partkey AS p, string_split(params, ';') AS d, return_type, p_partkey % 5 + 1 AS told, CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 4 + 2 END AS tail FROM symbols JOIN part ON symbol_id = concat('ProjectMethod:Part', p_partkey)),
+n AS (SELECT *, least(greatest(len(d), least(told, coalesce(tail - 1, 1000))), coalesce(tail - 1, 1000)) AS last FROM s)
+SELECT symbol_id, concat(array_to_string(list_transform(range(1, last + 1), lambda i: concat(CASE WHEN i <= len(d) THEN trim(string_split(d[i], ':')[1]) ELSE CAST(i AS VARCHAR) END, ' ', coalesce(CASE WHEN i <= len(d) THEN trim(string_split(d[i], ':')[2]) END, CASE WHEN i = told THEN 'LONGINT' END, '?'))), ','), CASE WHEN tail IS NOT NULL THEN ',...rest REAL' ELSE '' END) AS params, coalesce(return_type, 'TEXT') AS return_type FROM n""")
+def ext_08(m):
+    compiler = declared.compiler_types(m.spark.sql(_COMPILED, part=m.table("part")))
+    rows = signatures.with_compiler_types(m.symbols.filter("symbol_id like 'ProjectMethod:Part%'"), compiler)
+    shown = F.transform("parameters", lambda p: F.concat_ws(" ", p["name"], F.coalesce(p["type"], F.lit("?"))))
+    return rows.select("symbol_id", F.array_join(shown, ",").alias("params"), "return_type")
+
+
+@query("qry_20_hover", """, i AS (SELECT to_id, from_id, count(*) AS n, min(edge_seq) AS s FROM edges GROUP BY 1, 2), o AS (SELECT from_id, count(DISTINCT to_id) AS t, count(*) AS n FROM edges GROUP BY 1),
+r AS (SELECT to_id, s.name, s.owner_class, row_number() OVER (PARTITION BY to_id ORDER BY i.s, from_id) AS k FROM i JOIN symbols s ON s.symbol_id = from_id),
+c AS (SELECT to_id, count(*) AS u, sum(n) AS n FROM i GROUP BY 1), l AS (SELECT to_id, string_agg(concat('- `', name, '`', CASE WHEN owner_class IS NOT NULL THEN concat(' · ', owner_class) ELSE '' END), chr(10) ORDER BY k) AS top FROM r WHERE k <= 5 GROUP BY 1),
+t AS (SELECT s.*, c.u, c.n, l.top, o.t, o.n AS m, concat_ws(concat('  ', chr(10)), 'Class: `' || owner_class || '`', 'Flavor: ' || class_flavor, 'Extends: `' || extends_class || '`', 'Returns: `' || return_type || '`') AS meta FROM symbols s LEFT JOIN c ON c.to_id = symbol_id LEFT JOIN l ON l.to_id = symbol_id LEFT JOIN o ON o.from_id = symbol_id)
+SELECT symbol_id, concat_ws(concat(chr(10), chr(10)), concat('**', name, '** _(', kind, ')_'), nullif(meta, ''), concat('📄 `', regexp_replace(uri, '^file:///p/', ''), ':', line + 1, '`'), CASE WHEN n > 0 THEN concat('▲ Callers: **', u, '** unique, **', n, '** call site', CASE WHEN n = 1 THEN '' ELSE 's' END) END,
+CASE WHEN top IS NOT NULL THEN concat(top, CASE WHEN u > 5 THEN concat(chr(10), '- _…and ', u - 5, ' more_') ELSE '' END) END, CASE WHEN m > 0 THEN concat('▼ Callees: **', t, '** unique, **', m, '** call site', CASE WHEN m = 1 THEN '' ELSE 's' END) END) AS text FROM t""")
+def qry_20(m):
+    return signatures.hover(m.symbols, m.edges, "/p")
+
+
+@query("qry_22_signature_help", """, c AS (SELECT p_partkey AS p, p_partkey % 4 AS k FROM part), f AS (SELECT symbol_id, name, owner_class, params, return_type, symbol_seq, kind, name_lc FROM symbols WHERE kind = 'ClassFunction'),
+x AS (SELECT p, k, CASE k WHEN 0 THEN (SELECT min(symbol_id) FROM symbols s WHERE s.symbol_id = concat('ProjectMethod:Part', p)) WHEN 1 THEN 'ClassFunction:ASIA.MEDIUM' WHEN 2 THEN 'ClassFunction:ASIA.MEDIUM' END AS id FROM c)
+SELECT p, symbol_id, concat(name, '(', params_text, ')', CASE WHEN return_type IS NOT NULL THEN concat(' -> ', return_type) ELSE '' END) AS label, CAST(1 + p % 3 AS INT) AS active FROM x JOIN (SELECT symbol_id, name, return_type, array_to_string(list_transform(string_split(params, ';'), lambda z: concat(trim(string_split(z, ':')[1]), CASE WHEN len(string_split(z, ':')) > 1 THEN concat(' : ', trim(string_split(z, ':')[2])) ELSE '' END)), '; ') AS params_text FROM symbols) s ON s.symbol_id = x.id""")
+def qry_22(m):
+    k = F.col("p_partkey")
+    name = F.when(k % 4 == 0, F.concat(F.regexp_replace("p_name", " ", "_"), k.cast("string"))).when(k % 4 == 1, "cs.ASIA.MEDIUM").when(k % 4 == 2, "This.medium").otherwise("$x.medium")
+    text = F.concat(F.lit("If (Other(1;2)) $a:="), name, F.lit('(f("x;(";2);'), F.repeat(F.lit("1;"), (k % 3).cast("int")))
+    places = m.table("part").select(k.alias("p"), F.lit("file:///p/Project/Sources/Classes/ASIA.4dm").alias("uri"), text.alias("text"))
+    return signatures.signature_help(places, m.symbols).select("p", "symbol_id", "label", F.col("active").cast("int").alias("active"))
+
+
+# ---- stored graphs
+
+
+@query("src_14_cache_reload", " SELECT kind AS what, count(*) AS n FROM symbols GROUP BY 1 UNION ALL SELECT unnest(['later time: none', 'missing file: none', 'other root: none', 'within a millisecond: read']), 1")
+def src_14(m):
+    where, spark = scratch(m.spark, "cache"), m.spark
+    listing = m.symbols.select(F.col("uri").alias("path"), (F.length("uri") * 1000).cast("double").alias("mtime")).distinct()
+    cache.save(m, listing, "/p", where)
+    cases = [("later time", "/p", listing.withColumn("mtime", F.col("mtime") + F.when(F.col("path") == "synthetic:", 2).otherwise(0))), ("missing file", "/p", listing.filter("path != 'synthetic:'")), ("other root", "/q", listing), ("within a millisecond", "/p", listing.withColumn("mtime", F.col("mtime") + 0.5))]
+    said = [(f"{name}: {'none' if cache.load(spark, where, root, files_) is None else 'read'}", 1) for name, root, files_ in cases]
+    rows = cache.load(spark, where, "/p", listing).symbols.groupBy(F.col("kind").alias("what")).agg(F.count("*").alias("n"))
+    return rows.union(spark.createDataFrame(said, "what string, n long"))
+
+
+@query("snk_01_persist", " SELECT call_kind, count(*) AS n FROM edges WHERE resolved GROUP BY 1 UNION ALL SELECT 'snapshots', 2")
+def snk_01(m):
+    where = scratch(m.spark, "cache")
+    none = m.spark.createDataFrame([], "path string, mtime double")
+    for edges in (m.edges.limit(0), m.edges.filter("not resolved"), m.edges.filter("resolved")):
+        cache.save(Index(m.symbols.limit(0), edges), none, "/p", where)
+    cache.prune(m.spark, where)
+    rows = cache.latest(m.spark, where).edges.groupBy("call_kind").agg(F.count("*").alias("n"))
+    return rows.union(m.spark.createDataFrame([("snapshots", len(cache.snapshots(m.spark, where)))], "call_kind string, n long"))

@@ -31,7 +31,7 @@ def variables(files: DataFrame) -> DataFrame:
 
 
 def compiler_types(files: DataFrame) -> DataFrame:
-    """(method, return_type, params map, variadic_from) from C_TYPE(Method; $n) lines: $0 is the return, ${n} the variadic tail."""
+    """(method, return_type, params map, variadic_from, variadic_type) from C_TYPE(Method; $n) lines: $0 is the return, ${n} the variadic tail."""
     pattern = r"(?i)^\s*C_(\w+)\s*\(\s*(\w+)\s*;\s*(.*)\)"
     rows = lines_of(files).filter(F.col("text").rlike(pattern)).select("rel_path", "line", F.regexp_extract("text", pattern, 1).alias("type"), F.regexp_extract("text", pattern, 2).alias("method"), F.explode(F.split(F.regexp_extract("text", pattern, 3), ";")).alias("arg"))
     number = F.regexp_extract("arg", r"(\d+)", 1)
@@ -42,6 +42,7 @@ def compiler_types(files: DataFrame) -> DataFrame:
         F.max(F.when((F.col("n") == 0) & ~F.col("tail"), F.col("type"))).alias("return_type"),
         F.map_from_entries(F.array_sort(F.filter(F.collect_list(F.when((F.col("n") > 0) & ~F.col("tail"), F.struct("n", "type"))), lambda x: x.isNotNull()))).alias("params"),
         F.min(F.when(F.col("tail"), F.col("n"))).alias("variadic_from"),
+        F.min_by("type", F.when(F.col("tail"), F.col("n"))).alias("variadic_type"),
     )
 
 
