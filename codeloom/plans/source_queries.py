@@ -51,11 +51,12 @@ def src_06(m):
     return files.plugin_commands(rows)
 
 
-@query("src_15_freshness", "SELECT count(*) AS n_stale FROM supplier WHERE s_suppkey % 7 = 0", plain=True)
+@query("src_15_freshness", "SELECT s_name AS path, CASE WHEN s_suppkey % 5 = 1 THEN 'added' WHEN s_suppkey % 5 = 2 THEN 'removed' ELSE 'changed' END AS why FROM supplier WHERE s_suppkey % 5 IN (1, 2) OR s_suppkey % 7 = 0", plain=True)
 def src_15(m):
-    cached = m.table("supplier").select(F.col("s_name").alias("path"), F.col("s_acctbal").alias("a"))
-    listed = m.table("supplier").select(F.col("s_name").alias("path"), (F.col("s_acctbal") + F.when(F.col("s_suppkey") % 7 == 0, 5).otherwise(0)).alias("b"))
-    return cached.join(listed, "path", "full").filter(F.col("a").isNull() | F.col("b").isNull() | (F.abs(F.col("a") - F.col("b")) > 1)).agg(F.count("*").alias("n_stale"))
+    k = F.col("s_suppkey")
+    rows = m.table("supplier").select(F.col("s_name").alias("path"), F.col("s_acctbal").alias("mtime"), k)
+    listed = rows.filter(k % 5 != 2).withColumn("mtime", F.col("mtime") + F.when(k % 7 == 0, 5).otherwise(0.5))
+    return files.stale(rows.filter(k % 5 != 1), listed)
 
 
 # ---- extraction: sources made from parts

@@ -113,7 +113,13 @@ def constants(spark: SparkSession, path: str) -> DataFrame:
     return units.select(name.alias("name"), F.regexp_replace(value, r":[A-Z]$", "").alias("value"), F.regexp_extract(value, r":([A-Z])$", 1).alias("type_letter"), "theme")
 
 
-def fresh(cached: DataFrame, listed: DataFrame) -> bool:
-    """Whether two listings (path, mtime in ms) agree: the same files, times within a millisecond."""
+def stale(cached: DataFrame, listed: DataFrame) -> DataFrame:
+    """(path, why) of files in which two listings (path, mtime in ms) differ: `added`, `removed` or `changed`, by more than a millisecond."""
     both = cached.select("path", F.col("mtime").alias("a")).join(listed.select("path", F.col("mtime").alias("b")), "path", "full")
-    return both.filter(F.col("a").isNull() | F.col("b").isNull() | (F.abs(F.col("a") - F.col("b")) > 1)).isEmpty()
+    why = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.abs(F.col("a") - F.col("b")) > 1, "changed")
+    return both.select("path", why.alias("why")).filter("why is not null")
+
+
+def fresh(cached: DataFrame, listed: DataFrame) -> bool:
+    """Whether two listings agree: the same files, times within a millisecond."""
+    return stale(cached, listed).isEmpty()
