@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Used by a local master where spark.checkpoint.dir is unset, as in tests.
 LOCAL_DIR = "/tmp/checkpoints"
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffles go when they are read, and rows go to Python in small batches, whose buffers lie outside the heap.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 _made: dict[str, weakref.ref] = {}
 
 
@@ -41,15 +42,17 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch(spark, what)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
     try:
+        for k, v in _WRITING.items():
+            spark.conf.set(k, v)
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path
     return out
