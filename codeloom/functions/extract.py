@@ -323,8 +323,8 @@ def _dispatch(line: _Line, site, i: int, k: int, command: str) -> Iterator[dict]
         yield site("ExecuteMethodDynamic", a, variable=line.at(a)[1:])
 
 
-def extract_source(category: str, container: str | None, base: str, source: str, constants: set[str] = frozenset(), commands: set[str] = frozenset()) -> tuple[list[dict], list[dict], list[dict], list[dict]]:
-    """Symbols, call sites, types of local variables and uses of these, of a file. A site belongs to the last declaration at or above its line."""
+def extract_source(category: str, container: str | None, base: str, source: str, constants: set[str] = frozenset(), commands: set[str] = frozenset(), only: int | None = None) -> tuple[list[dict], list[dict], list[dict], list[dict]]:
+    """Symbols, call sites, types of local variables and uses of these, of a file; `only` names the one of the four that is wanted. A site belongs to the last declaration at or above its line."""
     symbols: list[dict] = []
     sites: list[dict] = []
 
@@ -363,8 +363,9 @@ def extract_source(category: str, container: str | None, base: str, source: str,
         if member:
             bodies[-1][0]["end_line"] = max(no - 1, bodies[-1][1])
             bodies.append((symbols[-1], no))
-        uses += [{"from_id": owner, "variable": v, "use": u, "line": at >> _LINE, "column_no": at & ((1 << _LINE) - 1)} for v, u, at in local_uses(cleaned)]
-        for variable, kind, certain in local_types(cleaned[0]):
+        if only in (None, 3):
+            uses += [{"from_id": owner, "variable": v, "use": u, "line": at >> _LINE, "column_no": at & ((1 << _LINE) - 1)} for v, u, at in local_uses(cleaned)]
+        for variable, kind, certain in local_types(cleaned[0]) if only in (None, 2) else ():
             if certain or (owner, variable) not in types:
                 types[owner, variable] = kind
         if member:
@@ -374,7 +375,7 @@ def extract_source(category: str, container: str | None, base: str, source: str,
             continue
         if re.match(r"(?i)(?:var|property|c_\w+)\b", text) and ":=" not in text:
             continue
-        for s in sites_of_line(cleaned, constants, commands):
+        for s in sites_of_line(cleaned, constants, commands) if only in (None, 1) else ():
             at, end = s["column_no"], s["end_column"]
             sites.append({"site_no": len(sites), "from_id": owner, "raw": text, **s, "line": at >> _LINE, "column_no": at & ((1 << _LINE) - 1), "end_column": end & ((1 << _LINE) - 1)})
     bodies[-1][0]["end_line"] = len(clean_source(source)) - 1 if every else 0
@@ -392,7 +393,7 @@ def _table(files: DataFrame, which: int, columns: str, constants: set[str], comm
             rows = []
             for f in frame.itertuples(index=False):
                 if f.content is not None and f.category in ("method", "compilerMethod", "databaseMethod", "formMethod", "formObjectMethod", "tableFormMethod", "tableObjectMethod", "class"):
-                    rows += [(f.rel_path, *[x.get(k) for k in names]) for x in extract_source(f.category, f.container, f.base, f.content, constants, commands)[which]]
+                    rows += [(f.rel_path, *[x.get(k) for k in names]) for x in extract_source(f.category, f.container, f.base, f.content, constants, commands, which)[which]]
             out = pd.DataFrame(rows, columns=["rel_path", *names])
             for c in columns.split(", "):
                 if c.endswith(" int"):
