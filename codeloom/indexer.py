@@ -11,7 +11,7 @@ from codeloom.functions import extract
 from codeloom.functions.text import classify_flavor
 from codeloom.index import Index
 from codeloom.operators import calls, classes, graph
-from codeloom.plans.tables import stored
+from codeloom.plans.tables import measured_joins, stored
 from codeloom.sources import archives, declared, files
 from codeloom.streaming import incremental
 
@@ -267,9 +267,13 @@ class Project:
     options: dict
 
 
-def _extracted(sources: DataFrame, constants: frozenset[str], commands: set[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Stored declarations, call sites and local types of sources."""
-    code = sources.filter("rel_path like '%.4dm'")
+def _code(sources: DataFrame) -> DataFrame:
+    return sources.filter("rel_path like '%.4dm'")
+
+
+def _extracted(sources: DataFrame, constants: frozenset[str], commands: set[str]) -> tuple[DataFrame, DataFrame]:
+    """Stored call sites and local types of sources."""
+    code = _code(sources)
     sites = extract.sites_of(code, set(constants), commands)
     forms = archives.form_sites(sources.filter("category in ('formDefinition', 'tableFormDefinition')"))
     forms = forms.join(sources.select("rel_path", F.concat(F.lit("Form:"), "container").alias("from_id")), "rel_path")
@@ -277,7 +281,7 @@ def _extracted(sources: DataFrame, constants: frozenset[str], commands: set[str]
         if field.name not in forms.columns:
             forms = forms.withColumn(field.name, F.lit(None).cast(field.dataType))
     forms = forms.withColumn("site_no", F.lit(0)).select(sites.columns)
-    return stored(extract.symbols_of(code), "declared"), stored(sites.unionByName(forms), "sites"), stored(extract.locals_of(code), "locals")
+    return stored(sites.unionByName(forms), "sites"), stored(extract.locals_of(code), "locals")
 
 
 def _symbols(sources: DataFrame, declared_: DataFrame, options: dict) -> DataFrame:
@@ -317,12 +321,15 @@ def build(sources: DataFrame, **options) -> Project:
     types. Names of commands and constants go to the tasks that read the sources: they are the
     language's and the project's, not its code's.
     """
-    sources = stored(sources, "sources")
-    declared_ = stored(extract.symbols_of(sources.filter("rel_path like '%.4dm'")), "declared")
-    symbols = _symbols(sources, declared_, options)
-    names = _names(symbols)
-    _, sites, locals_ = _extracted(sources, names, _commands(sources, options))
-    return _project(sources, declared_, sites, locals_, symbols, stored(_links(sites, symbols, locals_, sources, options), "links"), names, options)
+    spark = sources.sparkSession
+    with measured_joins(spark):
+        # dealt out, since many small sources may come from one small file
+        sources = stored(sources.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "rel_path"), "sources")
+        declared_ = stored(extract.symbols_of(_code(sources)), "declared")
+        symbols = _symbols(sources, declared_, options)
+        names = _names(symbols)
+        sites, locals_ = _extracted(sources, names, _commands(sources, options))
+        return _project(sources, declared_, sites, locals_, symbols, stored(_links(sites, symbols, locals_, sources, options), "links"), names, options)
 
 
 def _commands(sources: DataFrame, options: dict) -> set[str]:
@@ -336,22 +343,25 @@ def patch(project: Project, changes: DataFrame, new: DataFrame) -> Project:
     and those elsewhere that a symbol which came, went or changed may concern are resolved again. A
     batch with other files than code, or that changes the names of constants, is built anew.
     """
-    changes = stored(changes.select("path", "kind"), "changes")
-    sources = incremental.apply_batch(project.sources.withColumnRenamed("rel_path", "path"), changes, new.select(*project.sources.columns).withColumnRenamed("rel_path", "path")).withColumnRenamed("path", "rel_path")
-    if not changes.filter("path not like '%.4dm'").isEmpty():
-        return build(sources, **project.options)
-    sources = stored(sources, "sources")
-    fresh = _extracted(sources.join(changes.select(F.col("path").alias("rel_path")), "rel_path", "left_semi"), project.names, _commands(sources, project.options))
-    declared_, sites, locals_ = (stored(_swapped(old, changes, now), "patched") for old, now in zip((project.declared, project.sites, project.locals_), fresh, strict=True))
-    symbols = _symbols(sources, declared_, project.options)
-    if _names(symbols) != project.names:
-        return build(sources, **project.options)
-
-    again = affected(sites, locals_, project.symbols, symbols, changes)
-    links = _links(sites.join(again, ["rel_path", "site_no"], "left_semi"), symbols, locals_, sources, project.options)
-    gone = again.union(project.sites.select("rel_path", "site_no").join(changes.select(F.col("path").alias("rel_path")), "rel_path", "left_semi")).distinct()
-    kept = project.links.join(gone, ["rel_path", "site_no"], "left_anti")
-    return _project(sources, declared_, sites, locals_, symbols, stored(kept.unionByName(links), "links"), project.names, project.options)
+    with measured_joins(project.sources.sparkSession):
+        changes = stored(changes.select("path", "kind"), "changes")
+        paths = changes.select(F.col("path").alias("rel_path"))
+        sources = incremental.apply_batch(project.sources.withColumnRenamed("rel_path", "path"), changes, new.select(*project.sources.columns).withColumnRenamed("rel_path", "path")).withColumnRenamed("path", "rel_path")
+        if not changes.filter("path not like '%.4dm'").isEmpty():
+            return build(sources, **project.options)
+        sources = stored(sources, "sources")
+        changed = sources.join(paths, "rel_path", "left_semi")
+        fresh = (stored(extract.symbols_of(_code(changed)), "declared"), *_extracted(changed, project.names, _commands(sources, project.options)))
+        declared_, sites, locals_ = (stored(_swapped(old, changes, now), "patched") for old, now in zip((project.declared, project.sites, project.locals_), fresh, strict=True))
+        symbols = _symbols(sources, declared_, project.options)
+        if _names(symbols) != project.names:
+            return build(sources, **project.options)
+
+        again = affected(sites, locals_, project.symbols, symbols, changes)
+        links = _links(sites.join(again, ["rel_path", "site_no"], "left_semi"), symbols, locals_, sources, project.options)
+        gone = again.union(project.sites.select("rel_path", "site_no").join(paths, "rel_path", "left_semi")).distinct()
+        kept = project.links.join(gone, ["rel_path", "site_no"], "left_anti")
+        return _project(sources, declared_, sites, locals_, symbols, stored(kept.unionByName(links), "links"), project.names, project.options)
 
 
 def _swapped(old: DataFrame, changes: DataFrame, new: DataFrame) -> DataFrame:
@@ -366,29 +376,30 @@ def affected(sites: DataFrame, locals_: DataFrame, before: DataFrame, after: Dat
     its variable's type. A class that changed concerns all members looked up on it or below it, and
     every chain, since what a chain's steps give isn't known before it is walked.
     """
-    columns = [c for c in SYMBOL_COLUMNS if c not in ("uri", "line", "params")]
-    content = lambda x: x.select("name_lc", *columns).distinct()
-    a, b = content(before), content(after)
-    changed = stored(a.exceptAll(b).union(b.exceptAll(a)), "changed")
-    classes_ = changed.filter("kind = 'Class'").select("name_lc")
-    keys = changed.select(F.col("name_lc").alias("key")).union(changed.filter("kind = 'FormObjectMethod'").select(F.substring_index("name_lc", ".", -1)))
-    below = [graph.ancestors(x).join(classes_.select(F.col("name_lc").alias("ancestor_lc")), "ancestor_lc", "left_semi").select(F.col("class_lc").alias("key")) for x in (before, after)]
-    hot = stored(classes_.select(F.col("name_lc").alias("key")).union(below[0]).union(below[1]).distinct(), "hot")
-    keys = keys.union(changed.filter("kind = 'ClassConstructor'").select(F.lower("owner_class"))).distinct()
-    types = locals_.select("from_id", "variable", F.lower(F.regexp_extract("type", r"(\w+)$", 1)).alias("typ"))
-    owners = after.select(F.col("symbol_id").alias("from_id"), F.lower("owner_class").alias("own"))
-    rows = sites.join(types, ["from_id", "variable"], "left").join(owners, "from_id", "left")
-    # a table stands for its entity class
-    heads = F.array_compact(F.array(F.lower(F.regexp_replace("class_name", "^_", "")), F.concat(F.lower(F.regexp_replace("class_name", "^_", "")), F.lit("entity")), "typ", F.concat("typ", F.lit("entity")), "own"))
-    used = F.concat(F.array_compact(F.array(F.lower("name"), F.lower("class_name"))), F.transform(F.split(F.coalesce(F.regexp_replace("path", r"\(\)", ""), F.lit("")), "/"), lambda x: F.lower(x)))
-    rows = rows.select("rel_path", "site_no", used.alias("used"), heads.alias("heads"), (F.coalesce("path", F.lit("")) != "").alias("chain"))
-    by_name = rows.select("rel_path", "site_no", F.explode("used").alias("key")).join(keys, "key", "left_semi").select("rel_path", "site_no")
-    by_class = rows.select("rel_path", "site_no", F.explode("heads").alias("key")).join(hot, "key", "left_semi").select("rel_path", "site_no")
-    out = by_name.union(by_class)
-    if not hot.isEmpty():
-        out = out.union(rows.filter("chain").select("rel_path", "site_no"))
-    mine = sites.join(changes.select(F.col("path").alias("rel_path")), "rel_path", "left_semi").select("rel_path", "site_no")
-    return stored(out.union(mine).distinct(), "again")
+    with measured_joins(sites.sparkSession):
+        columns = [c for c in SYMBOL_COLUMNS if c not in ("uri", "line", "params")]
+        content = lambda x: x.select("name_lc", *columns).distinct()
+        a, b = content(before), content(after)
+        changed = stored(a.exceptAll(b).union(b.exceptAll(a)), "changed")
+        classes_ = changed.filter("kind = 'Class'").select("name_lc")
+        keys = changed.select(F.col("name_lc").alias("key")).union(changed.filter("kind = 'FormObjectMethod'").select(F.substring_index("name_lc", ".", -1)))
+        below = [graph.ancestors(x).join(classes_.select(F.col("name_lc").alias("ancestor_lc")), "ancestor_lc", "left_semi").select(F.col("class_lc").alias("key")) for x in (before, after)]
+        hot = stored(classes_.select(F.col("name_lc").alias("key")).union(below[0]).union(below[1]).distinct(), "hot")
+        keys = keys.union(changed.filter("kind = 'ClassConstructor'").select(F.lower("owner_class"))).distinct()
+        types = locals_.select("from_id", "variable", F.lower(F.regexp_extract("type", r"(\w+)$", 1)).alias("typ"))
+        owners = after.select(F.col("symbol_id").alias("from_id"), F.lower("owner_class").alias("own"))
+        rows = sites.join(types, ["from_id", "variable"], "left").join(owners, "from_id", "left")
+        # a table stands for its entity class
+        heads = F.array_compact(F.array(F.lower(F.regexp_replace("class_name", "^_", "")), F.concat(F.lower(F.regexp_replace("class_name", "^_", "")), F.lit("entity")), "typ", F.concat("typ", F.lit("entity")), "own"))
+        used = F.concat(F.array_compact(F.array(F.lower("name"), F.lower("class_name"))), F.transform(F.split(F.coalesce(F.regexp_replace("path", r"\(\)", ""), F.lit("")), "/"), lambda x: F.lower(x)))
+        rows = rows.select("rel_path", "site_no", used.alias("used"), heads.alias("heads"), (F.coalesce("path", F.lit("")) != "").alias("chain"))
+        by_name = rows.select("rel_path", "site_no", F.explode("used").alias("key")).join(keys, "key", "left_semi").select("rel_path", "site_no")
+        by_class = rows.select("rel_path", "site_no", F.explode("heads").alias("key")).join(hot, "key", "left_semi").select("rel_path", "site_no")
+        out = by_name.union(by_class)
+        if not hot.isEmpty():
+            out = out.union(rows.filter("chain").select("rel_path", "site_no"))
+        mine = sites.join(changes.select(F.col("path").alias("rel_path")), "rel_path", "left_semi").select("rel_path", "site_no")
+        return stored(out.union(mine).distinct(), "again")
 
 
 def index_sources(sources: DataFrame, **options) -> Index:
